@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from weftcorpus.llm import lsm_dedup
+from weftcorpus.llm import lsm_dedup, quality, toxicity
 
-QUERIES = {"op10_exact_dedup": lsm_dedup.op10}
+QUERIES = {
+    "op2_quality_classifier": quality.op2,
+    "op8_toxicity": toxicity.op8,
+    "op10_exact_dedup": lsm_dedup.op10,
+}
 ORACLES = {"op10_exact_dedup": lsm_dedup.ORACLE}
