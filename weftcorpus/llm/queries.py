@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftcorpus.llm import lsm_dedup, quality, toxicity
+from weftcorpus.llm import bpe, lsm_dedup, quality, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality.op2,
+    "op6_bpe_encoding": bpe.op6,
     "op8_toxicity": toxicity.op8,
     "op10_exact_dedup": lsm_dedup.op10,
 }

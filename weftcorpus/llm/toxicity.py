@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import held_out, table
+from weftcorpus.llm.common import drop, held_out, table, written
 from weftcorpus.llm.samples import labelled_sample
 
 BUCKETS = 1 << 20
@@ -42,44 +42,69 @@ def sentences(text: str):
             yield m.start(), m.end(), words
 
 
-def bags(sample: DataFrame) -> list:
-    """The sample's rows as hashed features with the sentence that each belongs to."""
+def telling(sample: DataFrame, least_gap: float = 4.0, most: int = 1 << 16) -> np.ndarray:
+    """The features that bags of label 1 hold more often than chance explains (a
+    two-proportion z over least_gap); only these can add to a sentence. The
+    strongest `most` at most."""
+
+    def counted(batches):
+        n = np.zeros((2, BUCKETS), np.int32)
+        for batch in batches:
+            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = set().union(*(w for _, _, w in sentences(text or "")))
+                n[y, list({x for w in words for x in features(w)})] += 1
+        at = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[0][at], pa.int64()), pa.array(n[1][at], pa.int64())], ["feature", "d0", "d1"])
+
+    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        return np.zeros(0, np.int32)
+    pooled = (F.col("d0") + F.col("d1")) / (n0 + n1)
+    gap = (F.col("d1") / n1 - F.col("d0") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1) + 1e-12)
+    found = (
+        sample.mapInArrow(counted, "feature int, d0 long, d1 long")
+        .groupBy("feature")
+        .agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+        .withColumn("gap", gap)
+        .where((F.col("d1") >= 2) & (F.col("gap") > least_gap))
+        .orderBy(F.desc("gap"), "feature")
+        .limit(most)
+    )
+    return np.array(sorted(r.feature for r in found.select("feature").collect()), np.int32)
+
+
+def bags(sample: DataFrame, kinds: np.ndarray) -> list:
+    """The sample's rows as their telling features (places in kinds), the
+    sentence that each belongs to and the number of sentences."""
+    shared = sample.sparkSession.sparkContext.broadcast(kinds)
 
     def hashed(batches):
+        place = {int(k): i for i, k in enumerate(shared.value)}
         for batch in batches:
-            f, s, y = [], [], batch.column(2).to_pylist()
+            f, s, n = [], [], []
             for text in batch.column(1).to_pylist():
-                own = [[x for w in words for x in features(w)] for _, _, words in sentences(text or "")]
+                own = [[place[x] for w in words for x in features(w) if x in place] for _, _, words in sentences(text or "")]
                 f.append(np.array([x for row in own for x in row], np.int32).tobytes())
                 s.append(np.repeat(np.arange(len(own), dtype=np.int32), [len(row) for row in own]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(s, pa.binary()), pa.array(y, pa.int32())], ["doc_id", "f", "s", "y"])
+                n.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(s, pa.binary()), pa.array(n, pa.int32()), batch.column(2)], ["doc_id", "f", "s", "n", "y"])
 
-    return sorted(sample.mapInArrow(hashed, "doc_id long, f binary, s binary, y int").collect())
+    return sorted(sample.mapInArrow(hashed, "doc_id long, f binary, s binary, n int, y int").collect())
 
 
-def fit(rows: list, rounds: int = 160, rate: float = 0.15, ridge: float = 1e-2, least_gap: float = 4.0) -> tuple[np.ndarray, float]:
+def fit(rows: list, kinds: np.ndarray, rounds: int = 160, rate: float = 0.15, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
     """From bags(): weights of the hashed features and the intercept, by Adam on the noisy-or likelihood."""
-    rows = [r for r in rows if r.f]
+    rows = [r for r in rows if r.n]
     weights = np.zeros(BUCKETS, np.float32)
     y = np.array([r.y for r in rows], bool)
     if not len(rows) or y.all() or not y.any():
         return weights, -40.0
+    counts = np.array([r.n for r in rows])
+    start = np.concatenate([[0], np.cumsum(counts)[:-1]])
     f = np.concatenate([np.frombuffer(r.f, np.int32) for r in rows])
-    own = [np.frombuffer(r.s, np.int32) for r in rows]
-    counts = np.array([s[-1] + 1 for s in own])
-    s = np.concatenate([a + b for a, b in zip(own, np.concatenate([[0], np.cumsum(counts)[:-1]]))])
+    s = np.concatenate([np.frombuffer(r.s, np.int32) + a for r, a in zip(rows, start)])
     bag = np.repeat(np.arange(len(rows)), counts)
-    at_bag = bag[s]
-    # only features that toxic bags hold more often than chance explains can add to a sentence
-    pair = np.unique(f.astype(np.int64) * len(rows) + at_bag)
-    kind, of_toxic = pair // len(rows), y[pair % len(rows)]
-    n1, n0 = y.sum(), (~y).sum()
-    d1, d0 = np.bincount(kind, of_toxic, BUCKETS), np.bincount(kind, ~of_toxic, BUCKETS)
-    pooled = (d1 + d0) / len(rows)
-    gap = (d1 / n1 - d0 / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    keep = ((d1 >= 2) & (gap > least_gap))[f]
-    kinds, f = np.unique(f[keep], return_inverse=True)
-    s = s[keep]
     share = y.mean()
     class_weight = np.where(y, 0.5 / share, 0.5 / (1 - share)) / len(rows)
     w, b = np.zeros(len(kinds)), -math.log(np.mean(counts) * 2 + 1)
@@ -87,6 +112,8 @@ def fit(rows: list, rounds: int = 160, rate: float = 0.15, ridge: float = 1e-2,
     for step in range(1, rounds + 1):
         z = np.clip(np.bincount(s, w[f], len(bag)) + b, -40, 40)
         total = np.bincount(bag, np.logaddexp(0, z), len(rows))
+        # minus the likelihood's slope: sentences of clean bags go down, those of
+        # toxic bags share what the noisy-or still lacks
         outer = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) * class_weight
         slope = outer[bag] / (1 + np.exp(-z))
         grad = np.append(np.bincount(f, slope[s], len(kinds)) + ridge * w / len(rows), slope.sum())
@@ -97,6 +124,14 @@ def fit(rows: list, rounds: int = 160, rate: float = 0.15, ridge: float = 1e-2,
     return weights, float(b)
 
 
+def train(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[np.ndarray, float]:
+    sample = written(labelled_sample(docs, labels, "toxic", per_class).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label"), "toxic-sample")
+    kinds = telling(sample)
+    model = fit(bags(sample, kinds), kinds)
+    drop(sample)
+    return model
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
     """doc_id, score and the offending sentences (code-point start, end, score) of each row, with its other named columns dropped."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -132,7 +167,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = 0.5, model=None) -> DataFrame:
     """doc_id, held_out, score, predicted, offending. Trains on at most per_class rows of each label."""
-    model = model or fit(bags(labelled_sample(docs, labels, "toxic", per_class)))
+    model = model or train(docs, labels, per_class)
     return score(docs, model, threshold).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
 
 
