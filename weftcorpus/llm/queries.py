@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftcorpus.llm import bpe, lsm_dedup, quality, toxicity
+from weftcorpus.llm import bpe, lsm_dedup, mixing, quality, toxicity
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1,
     "op2_quality_classifier": quality.op2,
     "op6_bpe_encoding": bpe.op6,
     "op8_toxicity": toxicity.op8,
