@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from weftcorpus.llm import bpe, lsm_dedup, mixing, quality, toxicity
+from weftcorpus.llm import additive_ann, bpe, html_extract, jaccard, lsm_dedup, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_quality_classifier": quality.op2,
+    "op3_html_extraction": html_extract.op3,
+    "op5_nearest_neighbours": additive_ann.op5,
     "op6_bpe_encoding": bpe.op6,
     "op8_toxicity": toxicity.op8,
+    "op9_jaccard_join": jaccard.op9,
     "op10_exact_dedup": lsm_dedup.op10,
 }
 ORACLES = {"op10_exact_dedup": lsm_dedup.ORACLE}
