@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftcorpus.llm import additive_ann, bpe, html_extract, jaccard, lsm_dedup, mixing, quality, toxicity
+from weftcorpus.llm import additive_ann, bpe, html_extract, jaccard, lsm_dedup, mixing, quality, substrings, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_extraction": html_extract.op3,
     "op5_nearest_neighbours": additive_ann.op5,
     "op6_bpe_encoding": bpe.op6,
+    "op7_suffix_dedup": substrings.op7,
     "op8_toxicity": toxicity.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_exact_dedup": lsm_dedup.op10,
