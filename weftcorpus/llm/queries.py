@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftcorpus.llm import additive_ann, bpe, html_extract, jaccard, lsm_dedup, mixing, quality, substrings, toxicity
+from weftcorpus.llm import additive_ann, bpe, chat, html_extract, jaccard, lsm_dedup, mixing, quality, substrings, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_quality_classifier": quality.op2,
     "op3_html_extraction": html_extract.op3,
+    "op4_chat_format": chat.op4,
     "op5_nearest_neighbours": additive_ann.op5,
     "op6_bpe_encoding": bpe.op6,
     "op7_suffix_dedup": substrings.op7,
