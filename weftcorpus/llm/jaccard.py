@@ -262,5 +262,12 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataF
     return where.join(labels, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "v").alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its component; null ids stay."""
+    gone = written(near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    few = gone.count() <= 1_000_000
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

@@ -187,6 +187,15 @@ def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("copies", F.col("base") + F.coalesce(more, F.lit(False)).cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("pp", "base", "extra", "cut_at", "cb", "fill", "bits")
 
 
+def mix(docs: DataFrame, memberships, seed: int = 17) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them; texts are read twice and never shuffled."""
+    full = measured(docs, memberships, seed)
+    narrow = written(full.select("doc_id", "pattern", "size", "u", "tie"), "mix-sizes")
+    out = mixed(full, plan(narrow)).where("copies > 0 OR size = 0")
+    # a document without words costs nothing and stays
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).select(*docs.columns)
+
+
 def op1(spark: SparkSession, sf_dir: str, seed: int = 17) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     narrow = written(measured(docs, F.array("source"), seed).drop("text"), "mix-sizes")

@@ -132,37 +132,56 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[np.ndarra
     return model
 
 
+class Scorer:
+    """Scores texts one by one; words' weights are kept between texts, in bounded number."""
+
+    def __init__(self, model: tuple[np.ndarray, float], threshold: float):
+        self.weights, self.bias = model
+        self.threshold, self.known = threshold, {}
+
+    def weight(self, word: str) -> float:
+        if (x := self.known.get(word)) is None:
+            if len(self.known) > 400_000:
+                self.known.clear()
+            x = self.known[word] = float(self.weights[features(word)].sum())
+        return x
+
+    def __call__(self, text: str | None) -> tuple[float, list[dict]]:
+        """The noisy-or of the sentences and those over the threshold."""
+        total, found = 0.0, []
+        for start, end, words in sentences(text or ""):
+            z = self.bias + math.fsum(map(self.weight, words))
+            if z > -28:
+                total += math.log1p(math.exp(z)) if z < 30 else z
+                if (p := 1 / (1 + math.exp(-z))) >= self.threshold:
+                    found.append({"start": start, "end": end, "score": p})
+        return -math.expm1(-total), found
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
-    """doc_id, score and the offending sentences (code-point start, end, score) of each row, with its other named columns dropped."""
+    """doc_id, score and the offending sentences (start and end in code points, score) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def scored(batches):
-        weights, bias = shared.value
-        known: dict[str, float] = {}
-        low = math.log(1e-12)
+        scorer = Scorer(shared.value, threshold)
+        for batch in batches:
+            out = [scorer(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], spans)], ["doc_id", "score", "offending"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>")
+
 
-        def weight(word):
-            if (x := known.get(word)) is None:
-                if len(known) > 400_000:
-                    known.clear()
-                x = known[word] = float(weights[features(word)].sum())
-            return x
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is under the threshold; a pure filter, no row moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
+    def kept(batches):
+        scorer = Scorer(shared.value, threshold)
         for batch in batches:
-            out, spans = [], []
-            for text in batch.column(1).to_pylist():
-                total, own = 0.0, []
-                for start, end, words in sentences(text or ""):
-                    z = bias + math.fsum(map(weight, words))
-                    p = 1 / (1 + math.exp(-z)) if z > low else 0.0
-                    total += math.log1p(math.exp(z)) if z < 30 else z
-                    if p >= threshold:
-                        own.append({"start": start, "end": end, "score": p})
-                out.append(-math.expm1(-total))
-                spans.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))], ["doc_id", "score", "offending"])
+            yield batch.filter(pa.array([scorer(t)[0] < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>")
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = 0.5, model=None) -> DataFrame:
