@@ -20,16 +20,16 @@ _SPAN = "struct<st:int,neg:int,ord:int,type:string,value:string>"
 def _spans_of(t: Column, pattern: str, order: int, kind: str) -> Column:
     """All spans of one pattern as (start, -length, order, type, value)."""
     p = T.rx(pattern)
-    matches, gaps = F.regexp_extract_all(t, F.lit(p), F.lit(0)), F.split(t, p, -1)
+    # the text between matches and each match, side by side; the last gap has no match
+    pairs = F.zip_with(F.split(t, p, -1), F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
     empty = F.expr(f"cast(array() as array<{_SPAN}>)")
-    step = lambda a, i: F.struct(
-        (a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).cast("int").alias("at"),
-        F.concat(
-            a["out"],
-            F.array(F.struct((a["at"] + F.length(F.get(gaps, i))).cast("int").alias("st"), (-F.length(F.get(matches, i))).cast("int").alias("neg"), F.lit(order).alias("ord"), F.lit(kind).alias("type"), F.get(matches, i).alias("value"))),
-        ).alias("out"),
-    )
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+    def step(a, x):
+        start = (a["at"] + x["gap"]).cast("int")
+        span = F.struct(start.alias("st"), (-F.length(x["value"])).cast("int").alias("neg"), F.lit(order).alias("ord"), F.lit(kind).alias("type"), x["value"].alias("value"))
+        return F.when(x["value"].isNull(), a).otherwise(F.struct((start + F.length(x["value"])).cast("int").alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
+
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
     return F.when(t.rlike(p), found).otherwise(empty)
 
 
@@ -51,7 +51,7 @@ def spans(t: Column, slots: dict[str, Sequence[str]] = rules.SLOTS) -> Column:
         ).otherwise(a),
         lambda a: a["out"],
     )
-    return F.when(T.matches_any(t, [p for ps in slots.values() for p in ps]), fold).otherwise(empty)
+    return fold
 
 
 def tagged(t: Column, found: Column) -> Column:

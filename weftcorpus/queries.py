@@ -22,6 +22,7 @@ from weftcorpus.operators.quality import QualityFilter
 from weftcorpus.operators.rewrite import TemplateRewriter
 from weftcorpus.operators.scorers import FactualityEvaluator, SafetyEvaluator, TaskCompletionEvaluator
 from weftcorpus.operators.slots import SlotAnnotator
+from weftcorpus.sources import records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,7 @@ QA_SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in QA_COLUMNS.items()) + "
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {c}" for c, e in QA_COLUMNS.items()])
+    return records.spread(table(spark, sf_dir, "orders").select("o_orderkey")).selectExpr(*[f"{e} AS {c}" for c, e in QA_COLUMNS.items()])
 
 
 #: Candidate responses: the line items of an order, scored by integers.
@@ -66,7 +67,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY l_linenumber, sc
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return records.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def quality_flags(spark, sf_dir):

@@ -40,6 +40,13 @@ def load(spark: SparkSession, path: str, schema: str | S.StructType | None = Non
     return reader.json(path, multiLine=suffix == ".json")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: small files come as one
+    task each, too few for expressions that cost more than a shuffle of their columns."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """df with a number that grows in the order of the input, where it has none."""
     return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
