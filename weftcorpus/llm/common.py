@@ -1,25 +1,23 @@
-"""Helpers that the training-data operators share: the shared folder, written
-tables, bounded filters and byte-level views of Arrow text columns."""
+"""Helpers that the training-data operators share: bounded filters and byte-level
+views of Arrow text columns."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the only separators that the corpus operators know.
-SPACE = " \t\n\x0b\x0c\r"
+from weftcorpus.sources.shared import drop, shared_dir, written
 
-# Executors need no copy of this package: functions travel with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+__all__ = ["Bloom", "SPACE", "as_long", "bloom_of", "drop", "held_out", "mix64", "shared_dir", "table", "text_bytes", "trim", "worker_cache", "written"]
 
+#: ASCII white space, the only separators that the corpus operators know.
+SPACE = " \t\n\x0b\x0c\r"
 
 def worker_cache(key, make):
     """A value made once for each Python worker, whichever task asks first."""
@@ -29,37 +27,12 @@ def worker_cache(key, make):
     return store[key]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only a local
-    session without that setting gets a temporary folder of its own."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="weft-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by written() that no later plan reads."""
-    for df in tables:
-        if path := getattr(df, "_weft_path", None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+def trim() -> None:
+    """Gives freed memory of a worker back to the system; large arrays leave holes in its heap."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,19 +18,20 @@ repeat a doc_id are one document; a null doc_id gets a null component.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import as_long, bloom_of, drop, shared_dir, table, text_bytes, written
+from weftcorpus.llm.common import as_long, bloom_of, drop, mix64, shared_dir, table, text_bytes, trim, written
 from weftcorpus.llm.components import components
 from weftcorpus.llm.shingles import shingle_sets, text_blocks
 
 WIDTH = 5
 SIGNATURE_BITS = 1024
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 
 def needed(n, percent: int):
@@ -39,9 +40,24 @@ def needed(n, percent: int):
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of SIGNATURE_BITS cells: every differing bit takes a differing shingle."""
-    cell = (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SIGNATURE_BITS.bit_length() + 1)
-    return np.packbits((np.bincount(cell.astype(np.int64), minlength=SIGNATURE_BITS) & 1).astype(bool)).tobytes()
+    """Parity of the shingles in each of as many cells as the set has members (a power
+    of two, SIGNATURE_BITS at least): every differing bit takes a differing shingle."""
+    bits = max(SIGNATURE_BITS, 1 << int(len(s) - 1).bit_length())
+    cell = (mix64(s) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of 64-bit words, the wider ones folded to the width of the
+    narrowest: a cell modulo half the width has the parity of its two cells."""
+    width = min(map(len, signatures)) // 8
+    out = np.empty((len(signatures), width), np.uint64)
+    for i, raw in enumerate(signatures):
+        x = np.frombuffer(raw, np.uint64)
+        while len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
 
 
 def _sets(batch, width):
@@ -51,31 +67,37 @@ def _sets(batch, width):
 
 
 def cell_classes(docs: DataFrame, bits: int, width: int) -> np.ndarray:
-    """For each of 2^bits cells of shingles, by how many doublings its count is above the mean."""
+    """For each of 2^bits cells of shingles, by how many half doublings its count is well above the mean."""
     slices = 16
     size = (1 << bits) // slices
 
     def counted(batches):
-        n = np.zeros(1 << bits, np.int64)
+        n = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, sets in _sets(batch, width):
-                n += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                cell, k = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                n[cell] += k.astype(np.uint32)
         for i in range(slices):
-            part = n[i * size : (i + 1) * size].astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "n"])
+            part = np.minimum(n[i * size : (i + 1) * size], 65535).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "n"])
+        trim()
 
     def added(batches):
         have = {}
         for batch in batches:
             for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(n, np.uint32).astype(np.int64)
+                own = np.frombuffer(zlib.decompress(n), np.uint16).astype(np.int64)
                 have[i] = have[i] + own if i in have else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([n.tobytes() for n in have.values()], pa.binary())], ["slice", "n"])
+        for i, n in have.items():
+            # in half doublings above 1, so that a slice is a byte a cell
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([np.round(2 * np.log2(np.maximum(n, 1))).astype(np.uint8).tobytes()], pa.binary())], ["slice", "total", "n"])
 
-    n = np.zeros(1 << bits, np.int64)
-    for row in docs.mapInArrow(counted, "slice int, n binary").repartition("slice").mapInArrow(added, "slice int, n binary").collect():
-        n[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.n, np.int64)
-    return np.clip(np.log2(np.maximum(n / max(n.mean(), 1e-9), 1)), 0, 255).astype(np.uint8)
+    logs, total = np.zeros(1 << bits, np.uint8), 0
+    for row in docs.mapInArrow(counted, "slice int, n binary").repartition("slice").mapInArrow(added, "slice int, total long, n binary").collect():
+        logs[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.n, np.uint8)
+        total += row.total
+    mean = 2 * np.log2(max(total / (1 << bits), 1.0)) + 1
+    return np.where(logs > mean, logs - np.uint8(mean), 0).astype(np.uint8)
 
 
 def indexed(docs: DataFrame, classes, bits: int, width: int, percent: int) -> DataFrame:
@@ -147,8 +169,10 @@ def bounded(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = as_long(batch.column("na")), as_long(batch.column("nb"))
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            apart = _POPCOUNT[sa ^ sb].sum(axis=1, dtype=np.int64)
+            apart = np.empty(len(na), np.int64)
+            for i, pair in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())):
+                x, y = folded(list(pair))
+                apart[i] = int(np.bitwise_count(x ^ y).sum())
             ok = _allowed(na, nb, apart, percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
@@ -206,7 +230,8 @@ def tiles(postings: DataFrame, vertices: DataFrame, labels: DataFrame, percent:
 
         def pairs():
             lower, cut, v, n, root = (np.array([r[c] for r in held]) for c in (0, 1, 2, 3, 4))
-            bits = np.frombuffer(b"".join(r[5] for r in held), np.uint8).reshape(len(held), -1)
+            bits = folded([r[5] for r in held])
+            some = max(256, (1 << 20) // bits.shape[1])
             own = np.flatnonzero(lower == 0)
             for at in range(0, len(own), 256):
                 x = own[at : at + 256, None]
@@ -215,9 +240,9 @@ def tiles(postings: DataFrame, vertices: DataFrame, labels: DataFrame, percent:
                 if name[2] != name[3]:
                     fits &= cut[x] != cut[y]
                 i, j = np.nonzero(fits)
-                for part in range(0, len(i), 65536):
-                    p, q = own[at + i[part : part + 65536]], j[part : part + 65536]
-                    ok = _allowed(n[p], n[q], _POPCOUNT[bits[p] ^ bits[q]].sum(axis=1, dtype=np.int64), percent)
+                for part in range(0, len(i), some):
+                    p, q = own[at + i[part : part + some]], j[part : part + some]
+                    ok = _allowed(n[p], n[q], np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64), percent)
                     p, q = v[p[ok]], v[q[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64())], ["a", "b"])
 
@@ -241,7 +266,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataF
     shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.count()
-    bits = min(22, max(18, (4 * max(rows, 1) - 1).bit_length()))
+    bits = min(23, max(18, (64 * max(rows, 1) - 1).bit_length()))
     classes = spark.sparkContext.broadcast(cell_classes(docs, bits, width))
     index = written(indexed(docs, classes, bits, width, percent), "shingle-index")
     groups = index.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
