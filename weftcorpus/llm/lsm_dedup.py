@@ -157,9 +157,9 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 32, bits_log2: int = 26, m
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay of their groups. Row numbers are those of the scan, the same in both passes over a table."""
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    gone = written(exact_groups(rows, row="_row").where("NOT kept").select("row"), "gone")
+    gone = written(exact_groups(rows, row="_row").where("NOT kept").select(F.col("row").alias("_row")), "gone")
     few = gone.count() <= 1_000_000
-    return rows.join(F.broadcast(gone) if few else gone, F.col("_row") == F.col("row"), "left_anti").drop("_row")
+    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

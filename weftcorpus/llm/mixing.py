@@ -5,8 +5,8 @@ belong to). The flow network has a pattern's words once for each repetition, at
 costs that rise with every repetition, and a source's target as its quota; the
 cheapest flow says how many words of a pattern the mix takes. Within a pattern,
 documents are taken whole in a seeded order: all of them `base` times, and once
-more as long as the rest of the flow lasts; what the first document that
-doesn't fit leaves open is filled with smaller ones behind it.
+more each one that fits into the rest of the flow; what is left at the end is
+filled with smaller ones from behind.
 
 Only pattern totals reach the driver; their number is that of the sources'
 combinations, not of the documents. The seeded order is never sorted as a
@@ -133,9 +133,61 @@ def _order():
     return F.struct("u", F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")
 
 
-def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, per_bucket: int = 4000, fill: int = 4) -> DataFrame:
-    """One row for each pattern: source_size, target (of its first source), base copies, the cut of the
-    seeded order and the orders of the documents that fill the rest. narrow: pattern, size, u, doc_id, tie."""
+_O = "struct<u:bigint,id:bigint,tie:bigint>"
+_ROUNDS = f"array<struct<after:{_O},stop:{_O},most_size:bigint>>"
+
+
+def _cut(narrow: DataFrame, state: DataFrame, bits: int) -> DataFrame:
+    """For each pattern of state (pp, want, after, most_size): stop, the first order whose document no
+    longer fits when those behind `after` of at most most_size are taken in turn (null: all fit), and rest."""
+    bucket = F.shiftright("u", 64 - bits) if bits else F.lit(0).cast("long")
+    rows = narrow.withColumn("o", _order()).join(F.broadcast(state), F.col("pattern").eqNullSafe(F.col("pp")))
+    rows = rows.where((F.col("after").isNull() | (F.col("o") > F.col("after"))) & (F.col("size") <= F.col("most_size"))).withColumn("b", bucket)
+    w = Window.partitionBy("pp").orderBy("b")
+    sums = rows.groupBy("pp", "b").agg(F.sum("size").alias("words"), F.first("want").alias("want")).withColumn("start", F.sum("words").over(w) - F.col("words"))
+    # only the bucket that the cut falls into is sorted
+    cut = sums.where("start <= want AND start + words > want").select(F.col("pp").alias("cp"), F.col("b").alias("cb"), "start")
+    near = rows.join(F.broadcast(cut), F.col("pp").eqNullSafe(F.col("cp")) & (F.col("b") == F.col("cb")))
+    near = near.withColumn("upto", F.col("start") + F.sum("size").over(Window.partitionBy("pp").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
+    fits = F.col("upto") <= F.col("want")
+    ends = near.groupBy("pp").agg(F.min(F.when(~fits, F.col("o"))).alias("stop"), F.min(F.col("want") - F.when(fits, F.col("upto")).otherwise(F.col("start"))).alias("rest"))
+    whole = sums.groupBy("pp").agg((F.first("want") - F.sum("words")).alias("left")).withColumnRenamed("pp", "wp")
+    return whole.join(ends, F.col("wp").eqNullSafe(F.col("pp")), "left").select(F.col("wp").alias("pattern"), "stop", F.coalesce("rest", "left").alias("rest"))
+
+
+def _inside(o):
+    """Whether a document is taken in any of the rounds."""
+    return F.exists("rounds", lambda r: (F.col("size") <= r["most_size"]) & (r["after"].isNull() | (o > r["after"])) & (r["stop"].isNull() | (o < r["stop"])))
+
+
+def _fillers(narrow: DataFrame, state: DataFrame, each: int, most: int) -> DataFrame:
+    """For each pattern of state (pp, want, base, rounds) the orders of documents that fill what is left:
+    larger ones first, of the first `each` of every doubling of size (a bounded choice, whatever the
+    pattern's size), those not taken yet before others; or the one document just too large, if that comes nearer."""
+    rows = narrow.where("size > 0").withColumn("o", _order()).join(F.broadcast(state), F.col("pattern").eqNullSafe(F.col("pp")))
+    rows = rows.withColumn("again", _inside(F.col("o")).cast("int")).where(F.col("base") + F.col("again") < most).withColumn("place", F.struct("again", "o"))
+    kind = F.floor(F.log2("size"))
+    # the first of each share of a size's documents, then the first of those
+    firsts = rows.where("size <= want").groupBy("pp", kind.alias("kind"), F.pmod(F.col("u"), F.lit(16 * each)).alias("share")).agg(F.min("place").alias("place"), F.min_by("size", "place").alias("size"))
+    nth = F.row_number().over(Window.partitionBy("pp", "kind").orderBy("place"))
+    small = firsts.withColumn("nth", nth).where(F.col("nth") <= each).groupBy("pp").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("n"), F.col("place.o").alias("o")))).alias("c"))
+    large = rows.where("size > want").groupBy("pp").agg(F.min(F.struct("size", "place")).alias("l"))
+    both = state.join(small.withColumnRenamed("pp", "sp"), F.col("pp").eqNullSafe(F.col("sp")), "left").join(large.withColumnRenamed("pp", "lp"), F.col("pp").eqNullSafe(F.col("lp")), "left")
+    empty = F.expr(f"cast(array() as array<{_O}>)")
+    greedy = F.aggregate(
+        F.coalesce("c", F.expr(f"cast(array() as array<struct<n:bigint,o:{_O}>>)")),
+        F.struct(F.col("want").alias("left"), empty.alias("got")),
+        lambda a, x: F.when(-x["n"] <= a["left"], F.struct((a["left"] + x["n"]).alias("left"), F.concat(a["got"], F.array(x["o"])).alias("got"))).otherwise(a),
+    )
+    both = both.withColumn("g", greedy)
+    return both.select(F.col("pp").alias("pattern"), F.when(F.col("l.size") - F.col("want") < F.col("g.left"), F.array("l.place.o")).otherwise(F.col("g.got")).alias("fill"))
+
+
+def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, per_bucket: int = 4000, rounds: int = 6, fill: int = 4) -> DataFrame:
+    """One row for each pattern: source_size, target (of its first source), base copies, and which documents
+    are taken once more: those of any round (behind `after`, before `stop`, of at most most_size) and those of fill.
+    narrow: pattern, size, u, doc_id, tie. A pattern takes another round only while one document that
+    didn't fit leaves more open than a hundredth of its flow."""
     spark = narrow.sparkSession
     totals = narrow.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
     patterns = {tuple(r.pattern or ()): r.words for r in totals}
@@ -146,54 +198,48 @@ def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, per_bucket
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     targets = fair_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, sum(patterns.values()), most)
     taken = route(patterns, targets, most)
-    rows = [(list(p), sizes[p[0]] if p else 0, targets[p[0]] if p else 0.0, *(divmod(taken[p], words) if words else (0, 0))) for p, words in patterns.items()]
-    flow = spark.createDataFrame(rows, "pattern array<string>, source_size long, target double, base long, extra long")
-    flow = F.broadcast(flow) if len(rows) <= 100_000 else flow
+    parts = {p: divmod(taken[p], words) if words else (0, 0) for p, words in patterns.items()}
     bits = max(0, (max([r.rows for r in totals], default=1) // per_bucket).bit_length())
-    bucket = F.shiftright("u", 64 - bits) if bits else F.lit(0).cast("long")
-    open_ = narrow.join(flow.where("extra > 0").withColumnRenamed("pattern", "p"), F.col("pattern").eqNullSafe(F.col("p"))).withColumn("b", bucket)
-    w = Window.partitionBy("pattern").orderBy("b")
-    sums = open_.groupBy("pattern", "b").agg(F.sum("size").alias("words"), F.first("extra").alias("extra")).withColumn("start", F.sum("words").over(w) - F.col("words"))
-    cut = sums.where("start <= extra AND start + words > extra").select(F.col("pattern").alias("cp"), F.col("b").alias("cb"), F.col("extra").alias("want"), "start")
-    # the bucket of the cut and the next ones hold the documents that matter
-    near = open_.join(cut, F.col("pattern").eqNullSafe(F.col("cp")) & F.col("b").between(F.col("cb"), F.col("cb") + 2)).withColumn("o", _order())
-    near = near.withColumn("upto", F.col("start") + F.sum("size").over(Window.partitionBy("pattern").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
-    near = near.withColumn("fits", F.col("upto") <= F.col("want"))
-    last = near.groupBy("pattern").agg(F.max(F.when(F.col("fits"), F.col("o"))).alias("last"), F.first("cb").alias("cb"), F.min(F.col("want") - F.when(F.col("fits"), F.col("upto")).otherwise(F.col("start"))).alias("rest"))
-    spare = near.where("NOT fits AND size > 0").withColumn("nth", F.row_number().over(Window.partitionBy("pattern", F.floor(F.log2("size"))).orderBy("o"))).where(F.col("nth") <= fill)
-    picks = spare.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("n"), "o"))).alias("c")).join(last.select(F.col("pattern").alias("lp"), "rest"), F.col("pattern").eqNullSafe(F.col("lp")))
-    empty = F.expr("cast(array() as array<struct<u:bigint,id:bigint,tie:bigint>>)")
-    greedy = F.aggregate(
-        "c",
-        F.struct(F.col("rest").alias("left"), empty.alias("got")),
-        lambda a, x: F.when(-x["n"] <= a["left"], F.struct((a["left"] + x["n"]).alias("left"), F.concat(a["got"], F.array(x["o"])).alias("got"))).otherwise(a),
-        lambda a: a["got"],
-    )
-    picks = picks.select(F.col("pattern").alias("fp"), greedy.alias("fill"))
-    last = last.withColumnRenamed("pattern", "lp")
-    out = flow.join(last, F.col("pattern").eqNullSafe(F.col("lp")), "left").join(picks, F.col("pattern").eqNullSafe(F.col("fp")), "left")
-    return written(out.select("pattern", "source_size", "target", "base", "extra", "last", "cb", "fill", F.lit(bits).alias("bits")), "mix-plan")
+    kind = f"pp array<string>, want long, after {_O}, most_size long"
+    state = {p: (extra, None, extra) for p, (_, extra) in parts.items() if extra}
+    steps, fills, open_ = {p: [] for p in parts}, {}, set(state)
+    for _ in range(rounds):
+        if not open_:
+            break
+        asked = spark.createDataFrame([(list(p), *state[p]) for p in open_], kind)
+        for r in _cut(narrow, asked, bits).collect():
+            p = tuple(r.pattern or ())
+            _, after, size = state[p]
+            stop = tuple(r.stop) if r.stop else None
+            steps[p].append((after, stop, size))
+            state[p] = (r.rest, stop, r.rest)
+        open_ = {p for p in open_ if steps[p] and steps[p][-1][1] is not None and 100 * state[p][0] > parts[p][1]}
+    left = [p for p in state if state[p][0]]
+    if left:
+        asked = spark.createDataFrame([(list(p), state[p][0], parts[p][0], steps[p]) for p in left], f"pp array<string>, want long, base long, rounds {_ROUNDS}")
+        fills = {tuple(r.pattern or ()): [tuple(o) for o in r.fill] for r in _fillers(narrow, asked, fill, most).collect()}
+    rows = [(list(p), sizes[p[0]] if p else 0, targets[p[0]] if p else 0.0, base, steps[p], fills.get(p, [])) for p, (base, _) in parts.items()]
+    return written(spark.createDataFrame(rows, f"pattern array<string>, source_size long, target double, base long, rounds {_ROUNDS}, fill array<{_O}>"), "mix-plan")
 
 
 def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """docs (as from measured()) with source_size, target, copies and taken; no shuffle of docs."""
     small = plan.count() <= 100_000
-    p = plan.withColumnRenamed("pattern", "pp").withColumnRenamed("last", "cut_at")
+    p = plan.withColumnRenamed("pattern", "pp")
     p = F.broadcast(p) if small else p
-    shift = F.expr("CASE WHEN bits = 0 THEN 0 ELSE shiftright(u, 64 - bits) END")
     o = _order()
-    more = F.when(F.col("extra") == 0, False).otherwise((shift < F.col("cb")) | F.coalesce(o <= F.col("cut_at"), F.lit(False)) | F.coalesce(F.array_contains("fill", o), F.lit(False)))
+    more = _inside(o).cast("long") + F.array_contains("fill", o).cast("long")
     out = docs.join(p, F.col("pattern").eqNullSafe(F.col("pp")))
-    return out.withColumn("copies", F.col("base") + F.coalesce(more, F.lit(False)).cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("pp", "base", "extra", "cut_at", "cb", "fill", "bits")
+    return out.withColumn("copies", F.col("base") + more).withColumn("taken", F.col("copies") * F.col("size")).drop("pp", "base", "rounds", "fill")
 
 
 def mix(docs: DataFrame, memberships, seed: int = 17) -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them; texts are read twice and never shuffled."""
-    full = measured(docs, memberships, seed)
+    full = measured(docs.select(F.struct("*").alias("doc"), "doc_id", "text", memberships.alias("in")), F.col("in"), seed)
     narrow = written(full.select("doc_id", "pattern", "size", "u", "tie"), "mix-sizes")
     out = mixed(full, plan(narrow)).where("copies > 0 OR size = 0")
     # a document without words costs nothing and stays
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).select(*docs.columns)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).select("doc.*")
 
 
 def op1(spark: SparkSession, sf_dir: str, seed: int = 17) -> DataFrame:
