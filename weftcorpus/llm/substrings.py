@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import as_long, bloom_of, drop, mix64, shared_dir, table, text_bytes, worker_cache, written
+from weftcorpus.llm.common import as_long, bloom_of, drop, mix64, shared_dir, table, text_bytes, trim, worker_cache, written
 from weftcorpus.llm.shingles import text_blocks
 
 LENGTH, GRAM = 100, 32
@@ -48,7 +48,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         inverse = pow(_BASE, -1, 1 << 64)
         return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, x, np.uint64)])) for x in (_BASE, inverse))
 
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     return worker_cache(("powers", size), lambda: make(size))
 
 
@@ -107,7 +107,7 @@ def merged_ranges(doc, s, e):
     return doc[i], s[i], np.append(reach[i[1:] - 1], reach[-1]) - lift[i]
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int, chunk: int = 1_000_000) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int, gram: int, chunk: int = 300_000) -> DataFrame:
     """Kind 0: contexts, of equal ones of a chunk the earliest. Kind 1: ranges of starts that are repeats."""
 
     def thin(parts):
@@ -128,7 +128,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, chunk: int = 1_000_000)
         for batch in batches:
             ids = as_long(batch.column(0), _LAST)
             data, at = text_bytes(batch.column(1))
-            for a, b, own, off in text_blocks(data, at):
+            for a, b, own, off in text_blocks(data, at, 1 << 20):
                 h, t, d, s, e, p = anchors(own, off, length, gram)
                 if len(h):
                     parts.append((h, t, ids[a:b][d], s, e, p))
@@ -138,6 +138,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, chunk: int = 1_000_000)
                     parts, size = [], 0
         if parts:
             yield from thin(parts)
+        trim()
 
     return docs.mapInArrow(run, ANCHORS)
 
@@ -326,6 +327,7 @@ def indexed_repeats(contexts: DataFrame, length: int, block_bytes: int) -> DataF
         held += group
         if held:
             yield found(held)
+        trim()
 
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc long, s int, e int")
 
@@ -380,7 +382,7 @@ def _digests(texts, ranges, length):
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 2 << 20, most_contexts: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 20, most_contexts: int = 20_000) -> DataFrame:
     """(doc, s, e): ranges of starts whose string also starts earlier. docs: doc_id (not null), text."""
     found = written(compared(anchor_rows(docs, length, gram)), "anchors")
     asked = found.where("kind = 2").select("h", "doc", "s", "e")
@@ -398,7 +400,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 2 << 20, most_contexts: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 20, most_contexts: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
     shared_dir(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
