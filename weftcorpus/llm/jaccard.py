@@ -31,7 +31,7 @@ from weftcorpus.llm.components import components
 from weftcorpus.llm.shingles import shingle_sets, text_blocks
 
 WIDTH = 5
-SIGNATURE_BITS = 1024
+SIGNATURE_BITS = 256
 
 
 def needed(n, percent: int):
@@ -40,9 +40,10 @@ def needed(n, percent: int):
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of as many cells as the set has members (a power
-    of two, SIGNATURE_BITS at least): every differing bit takes a differing shingle."""
-    bits = max(SIGNATURE_BITS, 1 << int(len(s) - 1).bit_length())
+    """Parity of the shingles in each of three quarters as many cells as the set has members
+    or more (a power of two, SIGNATURE_BITS at least): every differing bit takes a differing
+    shingle, and unlike sets differ in about half of the bits, which is beyond the threshold."""
+    bits = max(SIGNATURE_BITS, 1 << int(len(s) * 3 // 4).bit_length())
     cell = (mix64(s) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
@@ -266,7 +267,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataF
     shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.count()
-    bits = min(23, max(18, (64 * max(rows, 1) - 1).bit_length()))
+    bits = min(24, max(18, (64 * max(rows, 1) - 1).bit_length()))
     classes = spark.sparkContext.broadcast(cell_classes(docs, bits, width))
     index = written(indexed(docs, classes, bits, width, percent), "shingle-index")
     groups = index.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
@@ -280,8 +281,14 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataF
     links = written(verified(bounded(stars, vertices, percent), docs, width, percent), "star-links")
     labels = written(components(links), "star-labels")
     more = written(verified(tiles(postings, vertices, labels, percent), docs, width, percent), "tile-links")
-    labels = components(labels.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more)) if not more.isEmpty() else labels
-    labels = written(labels, "labels")
+    if not more.isEmpty():
+        # links across components join their roots; members follow
+        side = lambda x: labels.select(F.col("v").alias(x), F.col("root").alias(f"r{x}"))
+        roots = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        over = written(components(roots), "root-labels").withColumnRenamed("v", "r").withColumnRenamed("root", "top")
+        members = labels.join(over, labels["root"] == over["r"], "left").select("v", F.coalesce("top", "root").alias("root"))
+        alone = over.join(labels, over["r"] == labels["v"], "left_anti").select(F.col("r").alias("v"), F.col("top").alias("root"))
+        labels = written(members.unionByName(alone), "labels")
     where = index.select("doc_id", "n").join(F.broadcast(others) if few else others, "doc_id", "left").withColumn("v", F.coalesce("rep", "doc_id"))
     drop(postings)
     return where.join(labels, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "v").alias("component_id"))
@@ -289,9 +296,9 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataF
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its component; null ids stay."""
-    gone = written(near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = written(near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     few = gone.count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
