@@ -107,7 +107,7 @@ def merged_ranges(doc, s, e):
     return doc[i], s[i], np.append(reach[i[1:] - 1], reach[-1]) - lift[i]
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int, chunk: int = 300_000) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int, gram: int, chunk: int = 200_000) -> DataFrame:
     """Kind 0: contexts, of equal ones of a chunk the earliest. Kind 1: ranges of starts that are repeats."""
 
     def thin(parts):
@@ -382,7 +382,7 @@ def _digests(texts, ranges, length):
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 20, most_contexts: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 19, most_contexts: int = 20_000) -> DataFrame:
     """(doc, s, e): ranges of starts whose string also starts earlier. docs: doc_id (not null), text."""
     found = written(compared(anchor_rows(docs, length, gram)), "anchors")
     asked = found.where("kind = 2").select("h", "doc", "s", "e")
@@ -400,7 +400,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 20, most_contexts: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 19, most_contexts: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
     shared_dir(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
