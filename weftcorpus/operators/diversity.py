@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftcorpus.functions import rules
 from weftcorpus.functions import text as T
+from weftcorpus.sources.shared import written
 
 
 def _keys(by: Sequence[str], *more: str) -> list[str]:
@@ -21,6 +24,26 @@ def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return left.join(right, list(by), "left") if by else left.crossJoin(right)
 
 
+def _near(n_by: int, threshold: float):
+    """Of rows (by..., k, pa, wa, pb, wb) those whose sparse vectors (ascending places, weights) have a cosine of threshold or more."""
+
+    def flat(places, weights):
+        lengths = places.value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+        return (row << 32) | places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), weights.flatten().to_numpy(zero_copy_only=False)
+
+    def run(batches):
+        for batch in batches:
+            pa_, wa, pb, wb = (batch.column(n_by + 1 + i) for i in range(4))
+            (ka, wa), (kb, wb) = flat(pa_, wa), flat(pb, wb)
+            shared, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+            cosine = np.bincount(shared >> 32, wa[ia] * wb[ib], minlength=batch.num_rows)
+            hit = pa.array(cosine >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(hit) for i in range(n_by + 1)], batch.schema.names[: n_by + 1])
+
+    return run
+
+
 @dataclass(frozen=True)
 class TemplateRateEvaluator:
     """Empty responses don't count. Every method takes the columns to group by, none for the whole table."""
@@ -53,35 +76,43 @@ class TemplateRateEvaluator:
         return both.select(*by, "total_responses", F.coalesce("sentence_pattern_rate", F.lit(0.0)).alias("sentence_pattern_rate"), *[c.alias(k) for k, c in {**rep, **distinct}.items()])
 
     def weights(self, df: DataFrame, *by: str) -> DataFrame:
-        """TF-IDF of character 2- and 3-grams of the spaced text: (class, term, w, df), rows of
-        length 1; a class is a distinct response, of size `copies`."""
+        """TF-IDF of character 2- and 3-grams of the spaced text: (class, copies, term, w, df, place), rows of
+        length 1; a class is a distinct response, of size `copies`, `place` the term's number."""
         spaced = F.regexp_replace(F.lower(F.regexp_replace("_r", "(?s)(.)(?!\\z)", "$1 ")), r"(?U)[\s\x1c-\x1f]{2,}", " ")
         classes = self.responses(df, *by).groupBy(*by, "_r").agg(F.min("_id").alias("class"), F.count("*").alias("copies"))
         n = classes.groupBy(*by).agg(F.sum("copies").alias("n"))
         grams = F.explode(F.concat(T.char_ngrams(spaced, 2), T.char_ngrams(spaced, 3)))
         tf = classes.select(*by, "class", "copies", grams.alias("term")).groupBy(*by, "class", "copies", "term").agg(F.count("*").alias("tf"))
         totals = tf.groupBy(*by, "term").agg(F.sum(F.col("tf") * F.col("copies")).alias("total"), F.sum("copies").alias("df"))
-        top = totals.withColumn("place", F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("total"), "term"))).where(F.col("place") <= self.max_features) if by else totals.orderBy(F.desc("total"), "term").limit(self.max_features)
-        top = _join(top.select(*by, "term", "df"), n, by).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+        most = totals if by else totals.orderBy(F.desc("total"), "term").limit(self.max_features)
+        top = most.withColumn("place", F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("total"), "term"))).where(F.col("place") <= self.max_features)
+        top = _join(top.select(*by, "term", "df", "place"), n, by).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
         w = tf.join(F.broadcast(top) if not by else top, _keys(by, "term")).withColumn("x", F.col("tf") * F.col("idf"))
-        return w.withColumn("w", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*by, "class")))).select(*by, "class", "copies", "term", "w", "df")
+        return w.withColumn("w", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*by, "class")))).select(*by, "class", "copies", "term", "w", "df", "place")
 
     def cluster_rate(self, df: DataFrame, *by: str) -> DataFrame:
         """semantic_cluster_rate: the share of all pairs of responses with a cosine of cluster_threshold or more.
 
         Two vectors that reach the threshold share a term of both their prefixes: the
-        rarest terms, up to where the rest is shorter than the threshold. So only
-        those pairs are multiplied out, not all pairs."""
+        rarest terms, up to where the rest is shorter than the threshold. What a pair's
+        prefixes give and the lengths of what follows the last term that they share
+        bound its cosine from above; only pairs that may reach the threshold are
+        multiplied out, not all pairs."""
         t = self.cluster_threshold
-        w = self.weights(df, *by)
+        w = written(self.weights(df, *by), "weights")
         tail = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "class").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        prefix = w.withColumn("tail", tail).where(F.col("tail") >= t * t - 1e-9).select(*by, "class", "term")
-        a, b = prefix.withColumnRenamed("class", "a"), prefix.withColumnRenamed("class", "b")
-        pairs = a.join(b, _keys(by, "term")).where("a < b").select(*by, "a", "b").distinct()
-        wa, wb = (w.select(*by, F.col("class").alias(c), F.col("copies").alias(f"n{c}"), "term", F.col("w").alias(f"w{c}")) for c in "ab")
-        near = pairs.join(wa, _keys(by, "a")).join(wb, _keys(by, "b", "term")).groupBy(*by, "a", "b", "na", "nb").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= t)
-        across = near.select(*by, (F.col("na") * F.col("nb")).alias("k"))
-        within = w.select(*by, "class", "copies").distinct().select(*by, (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("k"))
+        rest = F.sqrt(F.greatest(F.col("tail") - F.col("w") * F.col("w"), F.lit(0.0)))
+        prefix = w.withColumn("tail", tail).where(F.col("tail") >= t * t - 1e-9).select(*by, "place", "class", "w", rest.alias("rest"))
+        a, b = (prefix.select(*by, "place", F.col("class").alias(c), F.col("w").alias(f"w{c}"), F.col("rest").alias(f"rest{c}")) for c in "ab")
+        bound = F.sum(F.col("wa") * F.col("wb")) + F.min(F.col("resta") * F.col("restb"))
+        pairs = a.join(b, _keys(by, "place")).where("a < b").groupBy(*by, "a", "b").agg(bound.alias("bound")).where(F.col("bound") >= t - 1e-6).select(*by, "a", "b")
+        vectors = written(w.groupBy(*by, "class", "copies").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("v")).select(*by, "class", "copies", F.col("v.place").alias("p"), F.col("v.w").alias("w")), "vectors")
+        small = vectors.agg(F.coalesce(F.sum(F.size("p") * 12 + 50), F.lit(0))).first()[0] <= 16 << 20
+        va, vb = (vectors.select(*by, F.col("class").alias(c), F.col("copies").alias(f"n{c}"), F.col("p").alias(f"p{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
+        side = F.broadcast if small else lambda v: v
+        both = pairs.join(side(va), _keys(by, "a")).join(side(vb), _keys(by, "b")).withColumn("k", F.col("na") * F.col("nb"))
+        across = both.select(*by, "k", "pa", "wa", "pb", "wb").mapInArrow(_near(len(by), t), both.select(*by, "k").schema)
+        within = vectors.select(*by, (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("k"))
         hits = across.unionByName(within).groupBy(*by).agg(F.sum("k").alias("k"))
         n = self.responses(df, *by).groupBy(*by).agg(F.count("*").alias("m"))
         rate = F.coalesce(F.col("k"), F.lit(0)) / F.greatest(F.col("m") * (F.col("m") - 1) / 2, F.lit(1))

@@ -238,7 +238,7 @@ _PART = "p_brand || ' ' || p_type"
 
 def template_overall(spark, sf_dir):
     keep = ("cross_ngram_rep_2", "cross_ngram_rep_3", "cross_ngram_rep_4", "distinct_2", "distinct_3", "sentence_pattern_rate", "semantic_cluster_rate", "overall_template_rate", "template_rate_percentage")
-    return TemplateRateEvaluator().evaluate(qa(spark, sf_dir).where("row_id % 50 = 1"), "model").select("model", "total_responses", *[F.round(c, 8).alias(c) for c in keep])
+    return TemplateRateEvaluator().evaluate(qa(spark, sf_dir), "model").select("model", "total_responses", *[F.round(c, 8).alias(c) for c in keep])
 
 
 def score_pairs(spark, sf_dir):
