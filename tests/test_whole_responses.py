@@ -8,6 +8,8 @@ from test_scores_and_evaluation import cosine_rate
 
 from weftcorpus import queries
 from weftcorpus.functions import rules
+from weftcorpus.operators.buckets import ErrorBucketing
+from weftcorpus.operators.scorers import FactualityEvaluator, SafetyEvaluator, TaskCompletionEvaluator
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +43,16 @@ def test_template_overall_reads_every_response(spark, orders):
     for model, r in got.items():
         expected = template(of_model(rows, model))
         assert {k: v for k, v in r.items() if k != "model"} == pytest.approx({k: expected[k] for k in r if k != "model"}, abs=2e-8)
+
+
+def test_full_evaluation_reads_every_response(spark, orders):
+    qa = queries.qa(spark, orders)
+    scored = ErrorBucketing().bucket(SafetyEvaluator().score(TaskCompletionEvaluator().score(FactualityEvaluator().score(qa)))).collect()
+    got = {r.model: r for r in queries.full_evaluation(spark, orders).collect()}
+    assert set(got) == {"alpha", "beta", "gamma"}
+    for model, r in got.items():
+        own = [x for x in scored if x.model == model]
+        mean = lambda c: sum(x[c] for x in own) / len(own)
+        expected = 0.3 * mean("factuality_score") + 0.3 * mean("task_completion_score") + 0.25 * mean("safety_score") + 0.15 * 5 * (1 - template(of_model(scored, model))["overall_template_rate"])
+        assert (r.total, r.human_review_needed, r.unsafe_count) == (40, sum(x.needs_human_review for x in own), sum(not x.is_safe for x in own))
+        assert r.overall_score == pytest.approx(expected, abs=2e-8)
