@@ -1,17 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. A few pages of each host are parsed to DOM
-trees and aligned by simple tree matching; text that stays the same in the
-aligned places is template, the rest varies and is content. The constant nodes
-with their ancestors are the host's wrapper, which every page of the host is
-aligned with. On top of that, elements whose tag, role, class or id says menu,
-header, footer, sidebar, notice, advert, form or comments are no content, also
-where a host has too few pages to compare; if a page marks its article, only
-that is read.
-
-Wrappers come from at most `pivots` pages a host (a documented bound); every page
-is extracted whole. A host with a third of all pages is one row of the wrapper
-table; its pages stay where they are.
+Pages of one host share a template. All pages of a host are counted: a block of
+text (its path of tags and its words) is template if more than half of the host's
+pages have it, or more than half of those with the same containers (a layout), and
+if at least three of these pages are no near copies of each other. Pages of equal
+content count once. Elements whose tag, role, class or id says menu, header,
+footer, sidebar, notice, advert, form or comments are no content, also where a host
+has too few pages to compare; if a page marks its article, only that is read.
+
+Counts are aggregated before they are shuffled by host, layout and block, so a host
+with a third of all pages is never gathered; its pages stay where they are.
 
 Edge cases: null html has no text; pages without a host or with unlike pages only
 use roles alone; markup that is cut off ends where the page ends; repeated rows
@@ -21,10 +19,10 @@ give repeated rows.
 from __future__ import annotations
 
 import html
-import json
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +48,18 @@ _CLOSES = {
 }
 _SCOPE = frozenset("html body article main section div table td th ul ol nav header footer aside form".split())
 
+_CONTAINERS = frozenset("body main article section div table".split())
+
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*[\"']?([^\"'>]*)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "text", "chrome")
+    __slots__ = ("tag", "names", "children", "text", "chrome", "classes")
 
-    def __init__(self, tag, names="", chrome=False, text=None):
-        self.tag, self.names, self.chrome, self.text, self.children = tag, names, chrome, text, []
+    def __init__(self, tag, names="", chrome=False, text=None, classes=""):
+        self.tag, self.names, self.chrome, self.text, self.children, self.classes = tag, names, chrome, text, [], classes
 
 
 def _is_chrome(tag: str, raw: str) -> tuple[bool, str]:
@@ -116,7 +117,8 @@ def parse(page: str) -> Node:
             if i == 0:
                 break
         chrome, role = _is_chrome(tag, raw)
-        node = Node(tag, role, chrome)
+        named = _CLASS.search(raw) if tag in _CONTAINERS else None
+        node = Node(tag, role, chrome, classes=re.sub(r"\d+", "", named[1]).strip() if named else "")
         stack[-1].children.append(node)
         if tag in _VOID or raw.endswith("/") and tag in ("svg", "math", "path"):
             continue
@@ -197,43 +199,61 @@ def tree_match(a: Node, b: Node, most: int = 40_000) -> tuple[float, list[tuple[
     return best[len(x)][len(y)][0] + 1, pairs
 
 
-def induce(pages: list[str]) -> str | None:
-    """The wrapper of pages of one host as JSON: the nodes whose text the aligned
-    pages agree on, with their ancestors. None if fewer than three unlike pages are there."""
-    trees = [parse(p) for p in pages]
-    unlike, seen = [], set()
-    for t in trees:
-        # pages with the same content say nothing about what varies
-        content = extract(t, None)
-        if content and content not in seen:
-            seen.add(content)
-            unlike.append(t)
-    if len(unlike) < 3:
-        return None
-    base, votes = unlike[0], {}
-    for other in unlike[1:]:
-        for x, y in tree_match(base, other)[1]:
-            if x.text is not None and " ".join(x.text.split()) == " ".join(y.text.split()):
-                votes[id(x)] = votes.get(id(x), 0) + 1
-    least = len(unlike) - 1 - (len(unlike) - 1) // 4
-
-    def keep(x):
-        if x.text is not None:
-            text = " ".join(x.text.split())
-            return {"x": text} if text and votes.get(id(x), 0) >= least else None
-        kids = [k for k in map(keep, _kids(x)) if k]
-        return {"t": x.tag, "c": kids} if kids else None
-
-    kept = keep(base)
-    return json.dumps(kept, ensure_ascii=False) if kept else None
-
-
-def _tree_of(spec: dict) -> Node:
-    if "x" in spec:
-        return Node("#text", text=spec["x"])
-    node = Node(spec["t"])
-    node.children = [_tree_of(c) for c in spec["c"]]
-    return node
+def _signed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def blocks(parts: list[Node]) -> list[tuple[int, list[Node]]]:
+    """The runs of text of the main part between two block elements: the hash of tag path and text, and the text nodes."""
+    out, run = [], []
+
+    def flush(path):
+        text = " ".join("".join(x.text for x in run).split())
+        if text:
+            out.append((_signed(f"{path}\0{text}"), run[:]))
+        run.clear()
+
+    todo = [(x, "", False) for x in reversed(parts)]
+    while todo:
+        x, path, leaves = todo.pop()
+        if leaves:
+            flush(path)
+        elif x.text is not None:
+            run.append(x)
+        elif not x.chrome:
+            below = path
+            if x.tag not in _INLINE:
+                flush(path)
+                below = f"{path}/{x.tag}"
+                todo.append((x, below, True))
+            todo.extend((c, below, False) for c in reversed(x.children))
+    flush("")
+    return out
+
+
+def layout_of(root: Node) -> int:
+    """A hash of the containers of a page that are no furniture, as a set of paths of tags with classes."""
+    paths, todo = set(), [(root, "")]
+    while todo:
+        x, path = todo.pop()
+        if x.chrome or x.text is not None:
+            continue
+        if x.tag in _CONTAINERS:
+            path = f"{path}/{x.tag}.{x.classes}"
+            paths.add(path)
+        todo.extend((c, path) for c in x.children)
+    return _signed("\n".join(sorted(paths))) or 1
+
+
+def sketch_of(content: str, size: int = 64) -> list[int]:
+    """The least hashes of the words of a text; all of them if there are few."""
+    return sorted(map(_signed, set(content.split())))[:size]
+
+
+def alike(a: frozenset[int], b: frozenset[int], size: int = 64) -> bool:
+    """Whether two sketches are those of near copies: four fifths of their words are shared, as far as the sketches show."""
+    least = sorted(a | b)[:size]
+    return 5 * sum(x in a and x in b for x in least) >= 4 * len(least)
 
 
 def _only_links(x: Node) -> bool:
@@ -250,13 +270,11 @@ def _only_links(x: Node) -> bool:
     return links >= 3 and loose == 0
 
 
-def extract(root: Node, wrapper: str | None) -> str:
-    """The text of a parsed page's main part without furniture and template."""
+def extract(root: Node, wrapper: set[int] | None) -> str:
+    """The text of a parsed page's main part without furniture and the blocks of text whose hash is in wrapper."""
     template: set[int] = set()
     if wrapper:
-        for x, y in tree_match(root, _tree_of(json.loads(wrapper)))[1]:
-            if x.text is not None and " ".join(x.text.split()) == y.text:
-                template.add(id(x))
+        template = {id(x) for key, run in blocks(_main(root)) if key in wrapper for x in run}
     parts = _main(root)
     marked = parts != [root]
     out, todo = [], list(reversed(parts))
@@ -280,50 +298,90 @@ def host():
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def wrappers(pages: DataFrame, pivots: int) -> DataFrame:
-    """(host, wrapper) of the hosts that have a template. pages: page_id, html, host."""
-    own = pages.where("host <> '' AND html IS NOT NULL AND page_id IS NOT NULL").select("host", "page_id", F.struct(F.xxhash64("page_id").alias("h"), "page_id").alias("o"))
-    # the first by hash of each of 4 * pivots shares of a host, then the first of those: a hot host is never gathered
-    some = own.groupBy("host", F.pmod(F.xxhash64("page_id", F.lit(1)), F.lit(4 * pivots)).alias("share")).agg(F.min("o").alias("o"))
-    chosen = some.groupBy("host").agg(F.slice(F.array_sort(F.collect_list("o")), 1, pivots).alias("os")).where(F.size("os") >= 3).select("host", F.explode("os.page_id").alias("page_id"))
-    chosen = written(chosen, "pivots")
-    few = chosen.count() <= 500_000
-    rows = pages.where("html IS NOT NULL").select("host", "page_id", "html").join(F.broadcast(chosen) if few else chosen, ["host", "page_id"], "left_semi")
-
-    def run(batches):
-        held, name = [], None
-
-        def made():
-            w = induce(held)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([w], pa.string())], ["host", "wrapper"])
-
+def _summary(batches):
+    for batch in batches:
+        out = []
+        for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root = parse(page)
+            content = extract(root, None)
+            if content:
+                out.append((name, _signed(content), layout_of(root), sorted({key for key, _ in blocks(_main(root))}), sketch_of(content)))
+        columns = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["host", "content", "layout", "keys", "sketch"])
+
+
+def _unlike(net: list, sketch: frozenset[int], least: int) -> None:
+    """Adds a page to the pages of which no two are near copies, up to least."""
+    if len(net) < least and not any(alike(sketch, x) for x in net):
+        net.append(sketch)
+
+
+def wrappers(pages: DataFrame, least: int = 3) -> DataFrame:
+    """(host, layouts, keys): the blocks that are template on all pages of a host (layout 0) or of one layout.
+
+    Every page counts, pages of equal content once. A block is template if more than
+    half of the pages have it, among them at least `least` of which no two are near copies."""
+    summary = pages.where("host <> '' AND html IS NOT NULL").select("host", "html").mapInArrow(_summary, "host string, content long, layout long, keys array<long>, sketch array<long>")
+    distinct = summary.groupBy("host", "content").agg(F.min(F.struct("layout", "keys", "sketch")).alias("p")).select("host", "p.*")
+    distinct = written(distinct, "pages")
+    levels = distinct.select("host", F.explode(F.array(F.lit(0).cast("long"), "layout")).alias("layout"), "keys", "sketch")
+    sizes = written(levels.groupBy("host", "layout").agg(F.count("*").alias("n")).where(F.col("n") >= least), "sizes")
+    counts = levels.select("host", "layout", F.explode("keys").alias("key")).groupBy("host", "layout", "key").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    common = counts.join(F.broadcast(sizes) if sizes.count() <= 200_000 else sizes, ["host", "layout"]).where("2 * c > n")
+    common = written(common.groupBy("host", "layout").agg(F.collect_list("key").alias("common")), "common")
+    size = common.agg(F.coalesce(F.sum(F.size("common") * 8 + 100), F.lit(0))).first()[0]
+
+    def first(batches):
+        nets: dict[tuple, list] = {}
         for batch in batches:
-            for h, _, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if h != name:
-                    if held:
-                        yield made()
-                    held, name = [], h
-                if len(held) < 2 * pivots:  # ids may repeat
-                    held.append(page)
-        if held:
-            yield made()
-
-    return rows.repartition("host").sortWithinPartitions("host", "page_id").mapInArrow(run, "host string, wrapper string").where("wrapper IS NOT NULL")
-
-
-def main_text(pages: DataFrame, pivots: int = 5) -> DataFrame:
+            for name, layout, keys, sketch in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                sketch = frozenset(sketch)
+                for key in keys:
+                    _unlike(nets.setdefault((name, layout, key), []), sketch, least)
+        rows = [(*k, sorted(x)) for k, net in nets.items() for x in net]
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000]), (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["host", "layout", "key", "sketch"])
+
+    def merged(batches):
+        at, net = None, []
+        for batch in batches:
+            found = []
+            for name, layout, key, sketch in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if at != (name, layout, key):
+                    at, net = (name, layout, key), []
+                was = len(net)
+                _unlike(net, frozenset(sketch), least)
+                if was < least == len(net):
+                    found.append(at)
+            columns = list(zip(*found)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["host", "layout", "key"])
+
+    shared = levels.join(F.broadcast(common) if size <= 8 << 20 else common, ["host", "layout"]).select("host", "layout", F.array_intersect("keys", "common").alias("keys"), "sketch").where(F.size("keys") > 0)
+    nets = shared.mapInArrow(first, "host string, layout long, key long, sketch array<long>")
+    kept = nets.repartition("host", "layout", "key").sortWithinPartitions("host", "layout", "key", "sketch").mapInArrow(merged, "host string, layout long, key long")
+    return kept.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("layout", "key"))).alias("w")).select("host", F.col("w.layout").alias("layouts"), F.col("w.key").alias("keys"))
+
+
+def main_text(pages: DataFrame, least: int = 3) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html", host().alias("host"))
-    found = written(wrappers(pages, pivots), "wrappers")
-    size = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + 100), F.lit(0))).first()[0]
-    rows = pages.join(F.broadcast(found) if size <= 8 << 20 else found, "host", "left").select("page_id", "url", "html", "wrapper")
+    found = written(wrappers(pages, least), "wrappers")
+    size = found.agg(F.coalesce(F.sum(F.size("keys") * 16 + 100), F.lit(0))).first()[0]
+    rows = pages.join(F.broadcast(found) if size <= 8 << 20 else found, "host", "left").select("page_id", "url", "html", "layouts", "keys")
+
+    def text_of(page, layouts, keys):
+        if not page:
+            return ""
+        root = parse(page)
+        own = (0, layout_of(root)) if keys else ()
+        return extract(root, {k for l, k in zip(layouts or (), keys or ()) if l in own})
 
     def run(batches):
         for batch in batches:
-            texts = [extract(parse(p), w) if p else "" for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [text_of(*row) for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "layouts", "keys").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
