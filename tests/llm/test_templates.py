@@ -28,3 +28,13 @@ def test_notice_of_a_part_of_the_pages(spark):
 def test_near_copies_show_no_template(spark):
     bodies = [f"<div><p>{words(1)}</p><p>{words(2)} {c}</p></div>" for c in "xyz"]
     assert texts(spark, bodies) == {i: f"{words(1)} {words(2)} {c}" for i, c in enumerate("xyz")}
+
+
+def test_middle_of_long_pages(spark):
+    body = lambda i: "<div>" + "".join(f"<p>{words(1000 * i + k, 2)}</p>" + ("<p>Read on below</p>" if k == 120 else "") for k in range(240 + i)) + "</div>"
+    got = texts(spark, map(body, range(6)))
+    assert got == {i: " ".join(words(1000 * i + k, 2) for k in range(240 + i)) for i in range(6)}
+    a, b = (html_extract.parse(body(i)) for i in range(2))
+    size, pairs = html_extract.tree_match(a, b)
+    assert ("Read on below",) * 2 in [(x.text, y.text) for x, y in pairs]
+    assert size == sum(2 if x.text is not None and x.text == y.text else 1 for x, y in pairs)

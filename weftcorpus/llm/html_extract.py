@@ -166,37 +166,58 @@ def _kids(x: Node) -> list[Node]:
     return [c for c in x.children if not c.chrome and (c.text is None or not c.text.isspace())]
 
 
-def tree_match(a: Node, b: Node, most: int = 40_000) -> tuple[float, list[tuple[Node, Node]]]:
+def _same(a: Node, b: Node) -> bool:
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if a.tag != b.tag or a.text is not None and " ".join(a.text.split()) != " ".join(b.text.split()):
+            return False
+        x, y = _kids(a), _kids(b)
+        if len(x) != len(y):
+            return False
+        todo.extend(zip(x, y))
+    return True
+
+
+def tree_match(a: Node, b: Node) -> tuple[float, list[tuple[Node, Node]]]:
     """Simple tree matching: the size of the largest order-keeping match of two
-    trees with equal labels, and its pairs. Equal texts count double, so they align."""
+    trees with equal labels, and its pairs. Equal texts count double, so they align.
+    Children that are the same at both ends belong to a largest match and need no
+    table; of the table of the others only a byte a cell is kept."""
     if a.tag != b.tag:
         return 0.0, []
     if a.text is not None:
         return (2.0 if " ".join(a.text.split()) == " ".join(b.text.split()) else 1.0), [(a, b)]
     x, y = _kids(a), _kids(b)
-    if len(x) * len(y) > most:  # very long lists: the template stands at their ends
-        x, y = (z if len(z) <= 200 else z[:100] + z[-100:] for z in (x, y))
-    best = [[(0.0, None)] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            score = max(best[i - 1][j][0], best[i][j - 1][0])
-            choice = None
-            if x[i - 1].tag == y[j - 1].tag:
-                w, pairs = tree_match(x[i - 1], y[j - 1], most)
-                if best[i - 1][j - 1][0] + w > score:
-                    score, choice = best[i - 1][j - 1][0] + w, pairs
-            best[i][j] = (score, choice)
-    pairs, i, j = [(a, b)], len(x), len(y)
+    first, last = 0, 0
+    while first < min(len(x), len(y)) and _same(x[first], y[first]):
+        first += 1
+    while last < min(len(x), len(y)) - first and _same(x[-1 - last], y[-1 - last]):
+        last += 1
+    ends = list(zip(x[:first], y[:first])) + list(zip(x[len(x) - last :], y[len(y) - last :]))
+    x, y = x[first : len(x) - last], y[first : len(y) - last]
+    above, steps = [0.0] * (len(y) + 1), []
+    for u in x:
+        row, step = [0.0], bytearray(len(y) + 1)
+        for j, v in enumerate(y, 1):
+            score, way = (above[j], 1) if above[j] >= row[j - 1] else (row[j - 1], 2)
+            if u.tag == v.tag and (w := above[j - 1] + tree_match(u, v)[0]) > score:
+                score, way = w, 3
+            row.append(score)
+            step[j] = way
+        above = row
+        steps.append(step)
+    size, pairs, i, j = above[-1] + 1, [(a, b)], len(x), len(y)
     while i and j:
-        score, choice = best[i][j]
-        if choice is not None:
-            pairs += choice
-            i, j = i - 1, j - 1
-        elif best[i - 1][j][0] == score:
-            i -= 1
-        else:
-            j -= 1
-    return best[len(x)][len(y)][0] + 1, pairs
+        way = steps[i - 1][j]
+        if way == 3:
+            pairs += tree_match(x[i - 1], y[j - 1])[1]
+        i, j = i - (way != 2), j - (way != 1)
+    for u, v in ends:
+        w, more = tree_match(u, v)
+        size += w
+        pairs += more
+    return size, pairs
 
 
 def _signed(text: str) -> int:
