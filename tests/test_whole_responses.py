@@ -56,3 +56,8 @@ def test_full_evaluation_reads_every_response(spark, orders):
         expected = 0.3 * mean("factuality_score") + 0.3 * mean("task_completion_score") + 0.25 * mean("safety_score") + 0.15 * 5 * (1 - template(of_model(scored, model))["overall_template_rate"])
         assert (r.total, r.human_review_needed, r.unsafe_count) == (40, sum(x.needs_human_review for x in own), sum(not x.is_safe for x in own))
         assert r.overall_score == pytest.approx(expected, abs=2e-8)
+
+
+def test_response_cluster_rate_reads_every_response(spark, orders):
+    texts = [r.response for r in queries.qa(spark, orders).collect() if r.response]
+    assert queries.QUERIES["response_cluster_rate"](spark, orders).first().semantic_cluster_rate == pytest.approx(cosine_rate(texts), abs=2e-9)

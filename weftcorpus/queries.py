@@ -233,6 +233,11 @@ def semantic_cluster_rate(spark, sf_dir):
     return TemplateRateEvaluator().cluster_rate(rows).select(F.round("semantic_cluster_rate", 9).alias("semantic_cluster_rate"))
 
 
+def response_cluster_rate(spark, sf_dir):
+    """The same of all responses of all models."""
+    return TemplateRateEvaluator().cluster_rate(qa(spark, sf_dir)).select(F.round("semantic_cluster_rate", 9).alias("semantic_cluster_rate"))
+
+
 _PART = "p_brand || ' ' || p_type"
 
 
@@ -392,7 +397,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         quality_flags, quality_reason_counts, text_lengths, qa_pairs_from_turns, near_dedup, near_dedup_verified, factuality_rule, entity_accuracy, factuality_summary, task_completion_rule, safety_rule, safety_counts, error_buckets,
-        error_counts, bucket_examples, error_share, cross_ngram_rep, distinct_n, sentence_pattern_rate, semantic_cluster_rate, template_overall, score_pairs, rule_pairs, human_pairs, mixed_pairs, slot_spans, slot_counts, rewrite_styles,
+        error_counts, bucket_examples, error_share, cross_ngram_rep, distinct_n, sentence_pattern_rate, semantic_cluster_rate, response_cluster_rate, template_overall, score_pairs, rule_pairs, human_pairs, mixed_pairs, slot_spans, slot_counts, rewrite_styles,
         rewrite_stats, overall, model_comparison, best_model, full_evaluation, group_advantage, mean_reward, prompt_batches, early_stop, topk_checkpoints, convergence_step, paired_t, anova_f, baseline_deltas, best_flags, efficiency, metrics_transposed,
     )
 }
