@@ -38,3 +38,12 @@ def test_middle_of_long_pages(spark):
     size, pairs = html_extract.tree_match(a, b)
     assert ("Read on below",) * 2 in [(x.text, y.text) for x, y in pairs]
     assert size == sum(2 if x.text is not None and x.text == y.text else 1 for x, y in pairs)
+
+
+def test_elements_without_an_end_hide_nothing():
+    text = lambda page: html_extract.extract(html_extract.parse(page), None)
+    for tag in ("select", "object", "svg", "noscript", "template"):
+        assert text(f"<article><p>a</p><{tag}><p>b</p><p>c</p></article>") == "a b c"
+        assert text(f"<article><p>a</p><{tag}></{tag}><p>b</p></article>") == "a b"
+    assert text("<article>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b <object data=q>in words</object></article>") == "a x = 2 b in words"
+    assert text("<article>a<select><option>1<option>2</select> b<svg><title/><text>t</text></svg> c<template><p>no</p></template> d<script>e") == "a b c d"

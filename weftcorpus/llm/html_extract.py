@@ -30,9 +30,9 @@ from weftcorpus.llm.common import table, written
 
 # Element and role names of HTML, and the usual names of page parts.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+_RAW = frozenset("script style iframe textarea title".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_CHROME_TAGS = frozenset("head nav header footer aside form button dialog menu".split()) | _RAW
+_CHROME_TAGS = frozenset("head nav header footer aside form button dialog menu noscript template svg select".split()) | _RAW
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CHROME_NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead sidebar aside widget widgets ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored "
@@ -46,7 +46,8 @@ _CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot", "thead"]),
     "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"]),
 }
-_SCOPE = frozenset("html body article main section div table td th ul ol nav header footer aside form".split())
+_CLOSES |= {"select": _CLOSES["p"] - {"hr"} | {"select", "input", "textarea"}, "svg": _CLOSES["p"]}
+_SCOPE = frozenset("html body article main section div table td th ul ol nav header footer aside form foreignobject".split())
 
 _CONTAINERS = frozenset("body main article section div table".split())
 
@@ -84,7 +85,7 @@ def _is_chrome(tag: str, raw: str) -> tuple[bool, str]:
 def parse(page: str) -> Node:
     """A DOM tree that is good enough for text: implied ends, void and raw elements, cut-off markup."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(page)
+    stack, at, n, ends = [root], 0, len(page), {}
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
@@ -120,8 +121,14 @@ def parse(page: str) -> Node:
         named = _CLASS.search(raw) if tag in _CONTAINERS else None
         node = Node(tag, role, chrome, classes=re.sub(r"\d+", "", named[1]).strip() if named else "")
         stack[-1].children.append(node)
-        if tag in _VOID or raw.endswith("/") and tag in ("svg", "math", "path"):
+        if tag in _VOID or raw.endswith("/") and (tag in ("svg", "math") or any(x.tag in ("svg", "math") for x in stack)):
             continue
+        if tag in ("noscript", "template"):
+            # without an end it would hide all that follows
+            if tag not in ends:
+                ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+            if ends[tag] < at:
+                continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
