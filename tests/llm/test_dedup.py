@@ -207,7 +207,7 @@ def odd_texts():
     return rows
 
 
-@pytest.mark.parametrize("options", [{"length": 20, "gram": 6}, {}, {"length": 20, "gram": 6, "most_contexts": 3}, {"length": 20, "gram": 6, "block_bytes": 500}])
+@pytest.mark.parametrize("options", [{"length": 20, "gram": 6}, {}, {"length": 20, "gram": 6, "most_contexts": 3}, {"length": 20, "gram": 6, "block_bytes": 500}, {"length": 20, "gram": 6, "piece": 64}])
 def test_removed_bytes_are_those_of_a_scan(spark, options):
     rows = odd_texts()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -219,6 +219,22 @@ def test_removed_bytes_are_those_of_a_scan(spark, options):
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    """Unlike texts of a null or repeated doc_id are documents of their own, in the order of a hash; equal rows are one."""
+    random.seed(8)
+    prose = lambda n: " ".join("".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d = prose(60), prose(60), prose(60), prose(40)
+    rows = [(1, a), (None, a), (None, b), (None, b + d), (None, None), (None, ""), (2, c), (2, c + " " + d), (2, c), (3, d), (None, prose(3)), (9, prose(50)), (9, prose(70))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    place = {(r.doc_id, r.t): (r.doc_id is None, r.doc_id or 0, r.h) for r in df.selectExpr("doc_id", "coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").collect()}
+    ordered = sorted(place, key=place.get)
+    want = brute([(k, t) for k, (_, t) in enumerate(ordered)], 100)
+    expected = sorted((str(i), *want[ordered.index((i, t or ""))]) for i, t in rows)
+    got = substrings.without_repeats(df).collect()
+    assert sorted((str(r.doc_id), *r[1:5]) for r in got) == expected
+    assert [r.n_removed for r in got if r.doc_id == 9] == [0, 0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(min_size=1, max_size=120).map(lambda b: bytes(x % 3 for x in b)), st.integers(1, 9))
 def test_interval_expansion_finds_equal_prefixes(raw, length):

@@ -15,9 +15,11 @@ A byte goes if a string of `length` bytes that covers it also starts earlier.
    An anchor with more contexts than a block may hold compares digests of its
    strings in a sorted stream instead, so no group has to fit into one task.
 
-Order is (doc_id, start); a null doc_id comes last. Rows that repeat a doc_id are
-one document and never repeats of each other. Null texts are empty; texts shorter
-than `length` lose nothing; an empty table gives an empty result.
+Order is (doc_id, start). Rows with a null doc_id come last, each unlike text among
+them a document of its own, in the order of its hash; so are unlike texts that share
+a doc_id. Rows that agree in id and text are one document and never repeats of each
+other. Null texts are empty; texts shorter than `length` lose nothing; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from weftcorpus.llm.common import as_long, bloom_of, drop, mix64, shared_dir, ta
 from weftcorpus.llm.shingles import text_blocks
 
 LENGTH, GRAM = 100, 32
-_LAST = (1 << 63) - 1
+#: Bits of a byte's place in what is hashed at a time; longer texts go in pieces that overlap.
 _PLACE_BITS = 28
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -85,6 +87,16 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int):
     return h[p].view(np.int64), t.view(np.int64), d, s - base, e - base, p - base
 
 
+def _pieces(data: np.ndarray, at: np.ndarray, length: int, most: int = 1 << (_PLACE_BITS - 1)):
+    """(place of its first byte, bytes, offsets) of a block, or of the pieces of its one long text. Each string of `length` is in one piece."""
+    if len(data) <= most:
+        yield 0, data, at
+    else:
+        for i in range(0, len(data), most):
+            part = data[i : i + most + length - 1]
+            yield i, part, np.array([0, len(part)])
+
+
 def _rows(kind, h, t, doc, s, e, p):
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind), pa.int32()), *[pa.array(x, pa.int64()) for x in (h, t, doc)], *[pa.array(x, pa.int32()) for x in (s, e, p)]], ["kind", "h", "t", "doc", "s", "e", "p"])
 
@@ -107,7 +119,7 @@ def merged_ranges(doc, s, e):
     return doc[i], s[i], np.append(reach[i[1:] - 1], reach[-1]) - lift[i]
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int, chunk: int = 200_000) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int, gram: int, chunk: int = 200_000, piece: int = 1 << (_PLACE_BITS - 1)) -> DataFrame:
     """Kind 0: contexts, of equal ones of a chunk the earliest. Kind 1: ranges of starts that are repeats."""
 
     def thin(parts):
@@ -126,13 +138,14 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, chunk: int = 200_000) -
     def run(batches):
         parts, size = [], 0
         for batch in batches:
-            ids = as_long(batch.column(0), _LAST)
+            ids = as_long(batch.column(0))
             data, at = text_bytes(batch.column(1))
-            for a, b, own, off in text_blocks(data, at, 1 << 20):
-                h, t, d, s, e, p = anchors(own, off, length, gram)
-                if len(h):
-                    parts.append((h, t, ids[a:b][d], s, e, p))
-                    size += len(h)
+            for a, b, whole, ends in text_blocks(data, at, min(1 << 20, piece)):
+                for first, own, off in _pieces(whole, ends, length, piece):
+                    h, t, d, s, e, p = anchors(own, off, length, gram)
+                    if len(h):
+                        parts.append((h, t, ids[a:b][d], s + first, e + first, p + first))
+                        size += len(h)
                 if size >= chunk:
                     yield from thin(parts)
                     parts, size = [], 0
@@ -297,7 +310,7 @@ def _only(docs: DataFrame, bloom, there: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            has = may.value.may_have(as_long(batch.column(0), _LAST))
+            has = may.value.may_have(as_long(batch.column(0)))
             part = batch.filter(pa.array(has if there else ~has))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.binary())], ["doc", "text"])
 
@@ -382,9 +395,32 @@ def _digests(texts, ranges, length):
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 19, most_contexts: int = 20_000) -> DataFrame:
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with a number for each pair of id and text instead of the id, in the order of ids, nulls
+    last; and the table of (key, id), or nothing where every id stands for one text and is its own number.
+
+    Pairs, as ids and two hashes of the text, are sorted by ranges and counted; texts get their number by a join."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = rows.withColumn("tie", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
+    texts = ids.groupBy("doc_id").agg(F.min("tie").alias("low"), F.max("tie").alias("high"))
+    if texts.where("doc_id IS NULL OR low <> high").isEmpty():
+        return rows, None
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    sorted_ = written(ids.select("doc_id", "tie").distinct().repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "tie", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("i")), "pairs")
+    before, shifts = 0, []
+    for r in sorted_.groupBy("part").agg(F.count("*").alias("n"), F.min("i").alias("first")).orderBy("part").collect():  # a row for each partition
+        shifts.append((r.part, before - r.first))
+        before += r.n
+    shift = docs.sparkSession.createDataFrame(shifts, "part int, shift long")
+    numbers = written(sorted_.join(F.broadcast(shift), "part").select((F.col("i") + F.col("shift")).alias("key"), F.col("doc_id").alias("id"), F.col("tie").alias("same")), "numbers")
+    own = ids.join(numbers, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("same")))
+    return written(own.select(F.col("key").alias("doc_id"), "text"), "keyed"), numbers.select("key", "id")
+
+
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 19, most_contexts: int = 20_000, piece: int = 1 << (_PLACE_BITS - 1)) -> DataFrame:
     """(doc, s, e): ranges of starts whose string also starts earlier. docs: doc_id (not null), text."""
-    found = written(compared(anchor_rows(docs, length, gram)), "anchors")
+    found = written(compared(anchor_rows(docs, length, gram, piece=piece)), "anchors")
     asked = found.where("kind = 2").select("h", "doc", "s", "e")
     many = written(asked.groupBy("h").count().where(F.col("count") > most_contexts).select("h"), "frequent")
     n_many = many.count()
@@ -400,11 +436,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 19, most_contexts: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 19, most_contexts: int = 20_000, piece: int = 1 << (_PLACE_BITS - 1)) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
     shared_dir(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
-    ranges = repeated_ranges(docs, length, gram, block_bytes, most_contexts)
+    docs, ids = keyed(docs)
+    ranges = repeated_ranges(docs, length, gram, block_bytes, most_contexts, piece)
     lists = ranges.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("own"))
     bloom = bloom_of(ranges.select("doc").distinct(), "doc")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -419,7 +455,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
 
     whole = _only(docs, bloom, False).mapInArrow(run, schema)
     cut = _only(docs, bloom, True).join(lists, "doc", "left").select("doc", "text", "own").mapInArrow(run, schema)
-    return whole.unionByName(cut).withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    out = whole.unionByName(cut)
+    return out if ids is None else out.join(ids, out["doc_id"] == ids["key"]).withColumn("doc_id", F.col("id")).drop("key", "id")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
