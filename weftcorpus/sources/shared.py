@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Only a local session without it gets
     a temporary folder of its own."""
+    small_batches(spark)
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if base is None:
@@ -22,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Arrow batches of at most 4 MB, unless the session says otherwise: a worker holds a
+    batch of texts several times over, as bytes, strings and arrays, and so does its executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(most_bytes))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     spark = df.sparkSession
