@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import table, worker_cache
+from weftcorpus.llm.common import small_batches, table, text_bytes, trim, worker_cache
 
 SCHEMA = "doc_id long, ids array<int>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -45,9 +45,9 @@ def byte_alphabet() -> dict[str, int]:
 class Codec:
     """A byte-level BPE model read from a tokenizer's JSON text."""
 
-    def __init__(self, spec: str, known_words: int = 400_000):
+    def __init__(self, spec: str, known_words: int = 200_000, known_follows: int = 400_000):
         data, to_byte = json.loads(spec), byte_alphabet()
-        self.spec, self.known_words = spec, known_words
+        self.spec, self.known_words, self.known_follows = spec, known_words, known_follows
         raw = lambda s: bytes(to_byte[c] for c in s)
         self.vocab = {raw(k): v for k, v in data["model"]["vocab"].items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
@@ -60,10 +60,11 @@ class Codec:
             self.bytes[i] = b
         for s, i in self.added.items():
             self.bytes[i] = s.encode()
+        self.sizes = [len(b) for b in self.bytes]
         self.longest = max(map(len, self.vocab))
         self.split, self.other = re.compile(_SPLIT), re.compile(_OTHER)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by before * 2^32 + token
         self.words: dict[str, bytes] = {}
         self.full = None
 
@@ -93,7 +94,7 @@ class Codec:
 
     def walk(self, words: list[bytes]) -> list[bytes]:
         """The packed ids of sorted words, depth first through their trie."""
-        vocab, follows, longest, sizes = self.vocab, self.follows, self.longest, [len(b) for b in self.bytes]
+        vocab, follows, longest, sizes = self.vocab, self.follows, self.longest, self.sizes
         stack, before, out = [-1], b"", []
         for word in words:
             depth, n = 0, len(word)
@@ -105,9 +106,9 @@ class Codec:
                 for start in range(max(0, end - longest), end):
                     if (token := vocab.get(word[start:end])) is None:
                         continue
-                    key = (stack[start], token)
+                    key = (stack[start] << 32) + token
                     if (ok := follows.get(key)) is None:
-                        ok = follows[key] = self.may_follow(*key)
+                        ok = follows[key] = self.may_follow(stack[start], token)
                     if ok:
                         stack.append(token)
                         break
@@ -119,7 +120,7 @@ class Codec:
                 at -= sizes[stack[at]]
             out.append(np.array(ids[::-1], "<u4").tobytes())
             before = word
-        if len(follows) > 2_000_000:
+        if len(follows) > self.known_follows:
             follows.clear()
         return out
 
@@ -140,12 +141,12 @@ class Codec:
         for text in texts:
             parts = self.cut.split(text) if self.cut else [text]
             split.append([self.pieces(p) if k % 2 == 0 else p for k, p in enumerate(parts)])
+        need = set(chain.from_iterable(p for parts in split for p in parts if isinstance(p, list)))
+        if len(self.words) > self.known_words:
+            # of the words known so far, those that this block has too
+            self.words = {w: self.words[w] for w in need.intersection(self.words)}
         known = self.words
-        fresh = set(chain.from_iterable(p for parts in split for p in parts if isinstance(p, list))).difference(known)
-        if len(known) + len(fresh) > self.known_words:
-            known.clear()
-            fresh = set(chain.from_iterable(p for parts in split for p in parts if isinstance(p, list)))
-        order = sorted((w.encode(), w) for w in fresh)
+        order = sorted((w.encode(), w) for w in need.difference(known))
         known.update(zip((w for _, w in order), self.walk([b for b, _ in order])))
         return [b"".join(b"".join(map(known.__getitem__, p)) if isinstance(p, list) else np.uint32(self.added[p]).astype("<u4").tobytes() for p in parts) for parts in split]
 
@@ -153,21 +154,19 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def blocks(texts: list[str | None], most: int = 1 << 20):
-    """Runs of texts of about `most` characters, so that memory stays bounded."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def blocks(column: pa.Array, most: int = 1 << 20):
+    """Runs of texts of about `most` bytes; only a run's texts are Python strings at a time."""
+    _, at = text_bytes(column)
+    i, n = 0, len(column)
+    while i < n:
+        j = max(i + 1, min(n, int(np.searchsorted(at, at[i] + most, "right")) - 1))
+        yield [t or "" for t in column.slice(i, j - i).to_pylist()]
+        i = j
 
 
 def codec_of(docs: DataFrame, path: str):
     """The tokenizer's JSON, read by the driver and sent to every worker once."""
+    small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -185,12 +184,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         codec = _codec(shared)
         for batch in batches:
             at = 0
-            for texts in blocks(batch.column(1).to_pylist()):
+            for texts in blocks(batch.column(1)):
                 ids = [np.frombuffer(x, "<i4") for x in codec.encode_batch(texts)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else [], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
                 at += len(texts)
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
@@ -216,7 +216,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         codec = _codec(shared)
         for batch in batches:
             at = 0
-            for texts in blocks(batch.column(1).to_pylist()):
+            for texts in blocks(batch.column(1)):
                 ids = codec.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -228,6 +228,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
                 at += len(texts)
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS)
 

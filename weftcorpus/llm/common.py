@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.sources.shared import drop, shared_dir, written
+from weftcorpus.sources.shared import drop, shared_dir, small_batches, written
 
-__all__ = ["Bloom", "SPACE", "as_long", "bloom_of", "drop", "held_out", "mix64", "shared_dir", "table", "text_bytes", "trim", "worker_cache", "written"]
+__all__ = ["Bloom", "SPACE", "as_long", "bloom_of", "drop", "held_out", "mix64", "shared_dir", "small_batches", "table", "text_bytes", "trim", "worker_cache", "written"]
 
 #: ASCII white space, the only separators that the corpus operators know.
 SPACE = " \t\n\x0b\x0c\r"
@@ -29,6 +29,7 @@ def worker_cache(key, make):
 
 def trim() -> None:
     """Gives freed memory of a worker back to the system; large arrays leave holes in its heap."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
@@ -36,6 +37,7 @@ def trim() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -73,14 +73,13 @@ def cell_classes(docs: DataFrame, bits: int, width: int) -> np.ndarray:
     size = (1 << bits) // slices
 
     def counted(batches):
-        n = np.zeros(1 << bits, np.uint32)
+        n = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for _, sets in _sets(batch, width):
                 cell, k = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                n[cell] += k.astype(np.uint32)
+                n[cell] = np.minimum(n[cell] + k, 65535)
         for i in range(slices):
-            part = np.minimum(n[i * size : (i + 1) * size], 65535).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(n[i * size : (i + 1) * size].tobytes(), 1)], pa.binary())], ["slice", "n"])
         trim()
 
     def added(batches):

@@ -16,7 +16,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
-def text_blocks(data: np.ndarray, at: np.ndarray, most: int = 2 << 20):
+def text_blocks(data: np.ndarray, at: np.ndarray, most: int = 1 << 19):
     """(first, last, bytes, offsets) of runs of texts of about `most` bytes."""
     i, n = 0, len(at) - 1
     while i < n:

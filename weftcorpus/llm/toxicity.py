@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import drop, held_out, table, written
+from weftcorpus.llm.common import drop, held_out, table, trim, written
 from weftcorpus.llm.samples import labelled_sample
 
 BUCKETS = 1 << 20
@@ -141,7 +141,7 @@ class Scorer:
 
     def weight(self, word: str) -> float:
         if (x := self.known.get(word)) is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             x = self.known[word] = float(self.weights[features(word)].sum())
         return x
@@ -168,6 +168,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
         for batch in batches:
             out = [scorer(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], spans)], ["doc_id", "score", "offending"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>")
 
@@ -180,6 +181,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 3000, thr
         scorer = Scorer(shared.value, threshold)
         for batch in batches:
             yield batch.filter(pa.array([scorer(t)[0] < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(kept, docs.schema)
 
