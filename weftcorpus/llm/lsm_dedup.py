@@ -138,13 +138,17 @@ def compact(runs: DataFrame) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, digest_bytes: int = 32, bits_log2: int = 26, memtable_bytes: int = 32 << 20, row: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, digest_bytes: int = 32, bits_log2: int | None = None, memtable_bytes: int = 32 << 20, row: str | None = None) -> DataFrame:
     """Each row of docs with the row that stays of its group: doc_id, row, keep_id,
     group_size, kept, text_sha256. row names a column that tells rows apart."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
+    if bits_log2 is None:
+        # 16 cells a row, 32 MB at most: beyond that more single texts travel, and results stay exact
+        bits_log2 = min(28, max(20, (16 * docs.count()).bit_length()))
     repeats = spark.sparkContext.broadcast(repeat_filter(docs, digest_bytes, bits_log2))
     runs = written(flush_runs(docs, repeats, digest_bytes, bits_log2, memtable_bytes), "runs")
+    repeats.destroy()
     winners = written(compact(runs), "winners")
     hits = runs.where("norm IS NOT NULL").select("sha", "tag", "ids", "rows").join(winners, ["sha", "tag"])
     members = hits.select("sha", "keep_id", "keep_row", "group_size", F.explode(F.arrays_zip("ids", "rows")).alias("m")).select(
@@ -155,8 +159,9 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 32, bits_log2: int = 26, m
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that stay of their groups. Row numbers are those of the scan, the same in both passes over a table."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    """The rows of docs, all columns, that stay of their groups. Rows are numbered in a written table: a second
+    scan of docs may be cut into other partitions, or come in another order."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     gone = written(exact_groups(rows, row="_row").where("NOT kept").select(F.col("row").alias("_row")), "gone")
     few = gone.count() <= 1_000_000
     return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(*docs.columns)
