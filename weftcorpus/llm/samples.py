@@ -9,10 +9,11 @@ from weftcorpus.llm.common import held_out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, text, label) of at most per_class training rows of each class,
+    """(doc_id, text, label) of at most per_class training documents of each class,
     the first by hash of their id, so that reruns agree. Held-out rows, null
-    labels and null ids never enter. The sample's ids are bounded by
-    2 * per_class rows, which is what makes their broadcast safe."""
+    labels and null ids never enter. Ids are bounded by 2 * per_class, which makes their
+    broadcast safe, and so are rows: of rows that share an id the least text counts."""
     known = labels.where(~held_out() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).groupBy("doc_id").agg(F.min("label").alias("label"))
     parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
