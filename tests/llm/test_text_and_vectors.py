@@ -90,7 +90,7 @@ def test_few_vectors_and_groups_of_queries(spark):
     x, rows = vectors(400)
     v = additive_ann.usable(spark.createDataFrame(rows, "id long, embedding array<float>")).cache()
     c = additive_ann.train(v, 4, 32, 1000)
-    index = additive_ann.build(v, c, 5, 2, 3)
+    index = additive_ann.build(v, c, 5, 2, 30)
     q = v.where("id % 20 = 0")
     once, grouped = ({tuple(r) for r in additive_ann.search(index, q, c, 5, 400, group=g).collect()} for g in (4096, 4))
     assert {r[:3] for r in once} == {r[:3] for r in grouped}

@@ -4,16 +4,16 @@ A vector's direction is the sum of one word from each of several full-dimensiona
 codebooks, trained one after another on what the earlier ones leave; a beam
 search picks the words. The index keeps codes, the vector's norm and that of its
 reconstruction. A query scores rows by sums of looked-up inner products, scaled
-by the stored norms; the best of each block of the index are ranked again by the
-exact inner product in double precision, and blocks are merged.
+by the stored norms; those that are among its best so far in a part of the index are
+ranked again by the exact inner product in double precision, and parts are merged.
 
 Copies of a vector are one index entry with its smallest ids, so that they can't
-crowd a shortlist. Queries go in groups of bounded size over the whole index;
-no row of the index moves, only k results a query and task.
+crowd a shortlist. Queries go in groups of bounded size over all blocks of the index.
 
 Edge cases: vectors that are null, zero, of another length than most, or with
 null or non-finite components take no part; a null id neither; ties go to the
-smaller id; an empty table gives an empty result.
+smaller id; repeated rows are one entry; other columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import table, written
+from weftcorpus.llm.common import table, trim, written
 
-INDEX = "block int, ids array<long>, vector binary, codes binary, scale double"
+#: A row for each block of entries: their ids, vectors, codes and scales side by side.
+INDEX = "ids array<array<long>>, vectors binary, codes binary, scales binary"
 
 
 def residual_codebooks(x: np.ndarray, books: int, words: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -94,11 +95,10 @@ def train(vectors: DataFrame, books: int, words: int, sample: int) -> np.ndarray
     return residual_codebooks(x / np.linalg.norm(x, axis=1, keepdims=True), books, words)
 
 
-def build(vectors: DataFrame, codebooks: np.ndarray, k: int, beam: int, blocks: int) -> DataFrame:
-    """The index: one row for each distinct vector of a block, with its k + 1 smallest ids."""
+def build(vectors: DataFrame, codebooks: np.ndarray, k: int, beam: int, block: int = 2048) -> DataFrame:
+    """The index: blocks of distinct vectors, each with its k + 1 smallest ids."""
     shared = vectors.sparkSession.sparkContext.broadcast(codebooks)
-    block = F.pmod(F.xxhash64("vector"), F.lit(blocks)).cast("int")
-    distinct = vectors.groupBy(block.alias("block"), "vector").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    distinct = vectors.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     # the other ids of copies; only k + 1 of them can ever be among the k nearest
     some = distinct.where("n > 1").select("vector")
     copies = (
@@ -110,76 +110,100 @@ def build(vectors: DataFrame, codebooks: np.ndarray, k: int, beam: int, blocks:
         .groupBy("vector")
         .agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     )
-    rows = distinct.join(copies, "vector", "left").select("block", F.coalesce("ids", F.array("id")).alias("ids"), "vector")
+    rows = distinct.join(copies, "vector", "left").select(F.coalesce("ids", F.array("id")).alias("ids"), "vector")
 
     def run(batches):
         c = shared.value
+        held, size = [], 0
+
+        def packed(parts):
+            ids, raw = sum((p.column("ids").to_pylist() for p in parts), []), b"".join(v for p in parts for v in p.column("vector").to_pylist())
+            x = np.frombuffer(raw, np.float64).reshape(len(ids), -1)
+            norm = np.linalg.norm(x, axis=1)
+            codes = np.concatenate([beam_encode(x[i : i + 256] / norm[i : i + 256, None], c, beam) for i in range(0, len(x), 256)])
+            found = sum(c[m][codes[:, m]] for m in range(len(c)))
+            scale = norm / np.maximum(np.linalg.norm(found, axis=1), 1e-12)
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.list_(pa.int64()))), *[pa.array([x], pa.binary()) for x in (raw, codes.tobytes(), scale.tobytes())]], ["ids", "vectors", "codes", "scales"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                x = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64).reshape(part.num_rows, -1)
-                norm = np.linalg.norm(x, axis=1)
-                codes = np.concatenate([beam_encode(x[i : i + 256] / norm[i : i + 256, None], c, beam) for i in range(0, len(x), 256)])
-                found = sum(c[m][codes[:, m]] for m in range(len(c)))
-                scale = norm / np.maximum(np.linalg.norm(found, axis=1), 1e-12)
-                yield pa.RecordBatch.from_arrays([part.column("block"), part.column("ids"), part.column("vector"), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(scale)], ["block", "ids", "vector", "codes", "scale"])
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, block - size)
+                held.append(part)
+                size, at = size + part.num_rows, at + part.num_rows
+                if size == block:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+        trim()
 
     return written(rows.mapInArrow(run, INDEX), "ann-index")
 
 
-def nearest_in(query_ids, q, ids, x, codes, scale, books, k, shortlist):
-    """For each query the exact best k of a block's shortlist, as (-score, id)."""
-    tables = np.einsum("qd,mwd->mqw", q, books).astype(np.float32)
+def nearest_in(query_ids, q, ids, x, codes, scale, tables, best, k, shortlist):
+    """For each query the exact best k of a block's entries that are among the best `shortlist` so far by
+    looked-up scores, as (-score, id). best: those scores of each query, which this block's are added to."""
     out = []
     for at in range(0, len(q), 64):
         approx = np.zeros((min(64, len(q) - at), len(x)), np.float32)
-        for m in range(len(books)):
+        for m in range(len(tables)):
             approx += tables[m, at : at + 64][:, codes[:, m]]
         approx *= scale
         short = np.argpartition(-approx, shortlist - 1, axis=1)[:, :shortlist] if shortlist < len(x) else np.tile(np.arange(len(x)), (len(approx), 1))
-        for i, near in enumerate(short):
-            exact = x[near] @ q[at + i]
+        looked = np.take_along_axis(approx, short, axis=1)
+        enter = looked >= best[at : at + 64].min(axis=1, keepdims=True)
+        best[at : at + 64] = -np.partition(-np.concatenate([best[at : at + 64], looked], axis=1), shortlist - 1, axis=1)[:, :shortlist]
+        for i, (near, ok) in enumerate(zip(short, enter)):
+            near = near[ok]
+            # added up from left to right, so that a score doesn't hang on the order of a block
+            exact = np.add.accumulate(x[near] * q[at + i], axis=1)[:, -1]
             cut = np.argsort(-exact, kind="stable")[: 4 * k + 4]
-            last = exact[cut[min(k, len(cut) - 1)]]
+            last = exact[cut[min(k, len(cut) - 1)]] if len(cut) else 0.0
             out.append(sorted((-float(s), j) for s, r in zip(exact, near) if s >= last for j in ids[r] if j != query_ids[at + i])[:k])
     return out
 
 
-def search(index: DataFrame, queries: DataFrame, codebooks: np.ndarray, k: int, shortlist: int, group: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score. Queries pass over the index in groups of at most
-    `group`, each a broadcast of bounded size; every task over the index answers with k results a query."""
+def search(index: DataFrame, queries: DataFrame, codebooks: np.ndarray, k: int, shortlist: int, group: int = 1024, part_blocks: int = 64) -> DataFrame:
+    """query_id, rank, vec_id, score. Groups of queries are rows of a table, and so are blocks of the index; each task
+    takes some groups past one part of the index and answers with k results a query. Neither ever reaches the driver."""
     spark = index.sparkSession
     books = spark.sparkContext.broadcast(codebooks)
     groups = max(1, -(-queries.count() // group))
-    numbered = queries.withColumn("g", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)))
-    parts = []
-    for g in range(groups):
-        rows = numbered.where(F.col("g") == g).collect() if groups > 1 else queries.collect()
-        if not rows:
-            continue
-        ask = spark.sparkContext.broadcast((np.array([r.id for r in rows]), np.frombuffer(b"".join(r.vector for r in rows), np.float64).reshape(len(rows), -1)))
-
-        def run(batches, ask=ask):
-            query_ids, q = ask.value
-            held = [[] for _ in query_ids]
-            for batch in batches:
-                for at in range(0, batch.num_rows, 16384):
-                    part = batch.slice(at, 16384)
-                    x = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64).reshape(part.num_rows, -1)
-                    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                    ids, scale = part.column("ids").to_pylist(), part.column("scale").to_numpy().astype(np.float32)
-                    for mine, found in zip(held, nearest_in(query_ids.tolist(), q, ids, x, codes, scale, books.value, k, shortlist)):
-                        mine += found
-                        mine.sort()
-                        del mine[k:]
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array([[-s for s, _ in m] for m in held], pa.list_(pa.float64())), pa.array([[j for _, j in m] for m in held], pa.list_(pa.int64()))], ["query_id", "scores", "ids"])
-
-        parts.append(index.mapInArrow(run, "query_id long, scores array<double>, ids array<long>"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    asked = queries.groupBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("id", "vector")).alias("q")).select("g", F.col("q.id").alias("query_ids"), F.col("q.vector").alias("q"))
+    asked = written(asked.repartition(min(groups, 4096), "g"), "ann-queries")
+    # few parts of the index, so that there are few answers to merge; but no more blocks in one than a task can buffer
+    blocks = index.count()
+    parts = max(-(-blocks // part_blocks), min(blocks, -(-4 * spark.sparkContext.defaultParallelism // groups)), 1)
+    pairs = asked.hint("shuffle_replicate_nl").crossJoin(index.repartition(parts))
+
+    def run(batches):
+        own, held = None, []
+
+        def answers():
+            query_ids = own[1]
+            return pa.RecordBatch.from_arrays([pa.array(query_ids, pa.int64()), pa.array([[-s for s, _ in m] for m in held], pa.list_(pa.float64())), pa.array([[j for _, j in m] for m in held], pa.list_(pa.int64()))], ["query_id", "scores", "ids"])
+
+        for batch in batches:
+            for g, query_ids, q, ids, vectors, codes, scales in zip(*(batch.column(i) for i in range(7))):
+                if own is None or own[0] != g.as_py():
+                    if held:
+                        yield answers()
+                    q = np.frombuffer(b"".join(q.as_py()), np.float64).reshape(len(q), -1)
+                    own = g.as_py(), query_ids.as_py(), q, np.einsum("qd,mwd->mqw", q, books.value).astype(np.float32), np.full((len(q), shortlist), -np.inf, np.float32)
+                    held = [[] for _ in q]
+                ids = ids.as_py()
+                x = np.frombuffer(vectors.as_buffer(), np.float64).reshape(len(ids), -1)
+                codes = np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids), -1)
+                for mine, found in zip(held, nearest_in(own[1], own[2], ids, x, codes, np.frombuffer(scales.as_buffer(), np.float64).astype(np.float32), own[3], own[4], k, shortlist)):
+                    mine += found
+                    mine.sort()
+                    del mine[k:]
+        if held:
+            yield answers()
+        trim()
+
+    found = pairs.select("g", "query_ids", "q", "ids", "vectors", "codes", "scales").mapInArrow(run, "query_id long, scores array<double>, ids array<long>")
 
     def merge(batches):
         held, name = [], None
@@ -210,8 +234,7 @@ def neighbours(rows: DataFrame, k: int = 20, every: int = 20, books: int = 8, wo
     codebooks = train(vectors, books, words, sample)
     if codebooks is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = vectors.count()
-    index = build(vectors, codebooks, k, beam, max(1, n // 16384))
+    index = build(vectors, codebooks, k, beam)
     return search(index, vectors.where(F.col("id") % every == 0), codebooks, k, shortlist)
 
 
