@@ -69,7 +69,7 @@ def _sets(batch, width):
 
 def cell_classes(docs: DataFrame, bits: int, width: int) -> np.ndarray:
     """For each of 2^bits cells of shingles, by how many half doublings its count is well above the mean."""
-    slices = 16
+    slices = max(1, 1 << (bits - 16))  # a task adds up one or a few of them, whatever their number of senders
     size = (1 << bits) // slices
 
     def counted(batches):
@@ -79,7 +79,10 @@ def cell_classes(docs: DataFrame, bits: int, width: int) -> np.ndarray:
                 cell, k = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 n[cell] = np.minimum(n[cell] + k, 65535)
         for i in range(slices):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(n[i * size : (i + 1) * size].tobytes(), 1)], pa.binary())], ["slice", "n"])
+            part = n[i * size : (i + 1) * size]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "n"])
+        del n, part
         trim()
 
     def added(batches):
@@ -87,7 +90,10 @@ def cell_classes(docs: DataFrame, bits: int, width: int) -> np.ndarray:
         for batch in batches:
             for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.frombuffer(zlib.decompress(n), np.uint16).astype(np.int64)
-                have[i] = have[i] + own if i in have else own
+                if i in have:
+                    have[i] += own
+                else:
+                    have[i] = own
         for i, n in have.items():
             # in half doublings above 1, so that a slice is a byte a cell
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([np.round(2 * np.log2(np.maximum(n, 1))).astype(np.uint8).tobytes()], pa.binary())], ["slice", "total", "n"])
