@@ -246,3 +246,8 @@ def op1(spark: SparkSession, sf_dir: str, seed: int = 17) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     narrow = written(measured(docs, F.array("source"), seed).drop("text"), "mix-sizes")
     return mixed(narrow, plan(narrow)).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op1: sizes and targets."""
+    return op1(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftcorpus.llm import additive_ann, bpe, chat, html_extract, jaccard, lsm_dedup, mixing, quality, substrings, toxicity
+from weftcorpus.llm import additive_ann, bpe, chat, html_extract, jaccard, lsm_dedup, mixing, oracles, quality, substrings, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -15,5 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_exact_dedup": lsm_dedup.op10,
+    "mix_targets": mixing.mix_targets,
+}
+ORACLES = {
+    "mix_targets": oracles.MIX_TARGETS,
+    "op5_nearest_neighbours": oracles.NEIGHBOURS,
+    "op7_suffix_dedup": oracles.REPEATS,
+    "op9_jaccard_join": oracles.NEAR_GROUPS,
+    "op10_exact_dedup": lsm_dedup.ORACLE,
 }
-ORACLES = {"op10_exact_dedup": lsm_dedup.ORACLE}
