@@ -84,7 +84,7 @@ def test_empty_fields_have_no_original(spark):
     assert rows[0].text == "" and rows[0].text_original is None and rows[0].slots == {}
     assert rows[1].text is None and rows[1].slots == {"date": ["今天"], "stock": ["有货"]}
     s = a.stats(out).first()
-    assert (s.total_count, s.annotated_count) == (2, 1) and s.slot_counts == {"price": 0, "date": 1, "stock": 1, "promotion": 0, "brand": 0}
+    assert (s.total, s.items_with_slots) == (2, 1) and s.slot_counts == {"price": 0, "date": 1, "stock": 1, "promotion": 0, "brand": 0}
     assert annotated(spark, "华为现货", slot_types=("stock",)).slots == {"stock": ["现货"]}
 
 
@@ -99,7 +99,7 @@ def test_score_pairs(spark):
     rows = [(1, "q", None, None, c(("A", 4.5), ("B", 2.0))), (2, "q", None, None, c(("A", 3.0), ("B", 2.5))), (3, "q", None, None, c(("A", 3.0), ("B", 2.0))), (4, "q", None, None, c(("A", 4.0), ("B", 1.0), ("C", 1.0))), (5, "q", None, None, c(("A", 1.0))), (6, "q", None, None, c(("A", 3.0), ("", 0.0))), (7, "q", None, None, None), (8, "q", None, None, c(("A", 2.0), ("B", None)))]
     got, stats = pairs(spark, rows, "score_diff")
     assert [(r.chosen, r.rejected, r.score_diff) for r in got] == [("A", "B", 2.5), ("A", "B", 1.0), ("A", "C", 3.0), ("A", "B", 2.0)]
-    assert (stats.original_count, stats.pairs_count, stats.skip_count, stats.strategy_distribution) == (8, 4, 4, {"score_diff": 4})
+    assert (stats.input_count, stats.pairs_count, stats.skip_count, stats.strategy_distribution) == (8, 4, 4, {"score_diff": 4})
 
 
 def test_rule_human_and_mixed_pairs(spark):
@@ -108,7 +108,7 @@ def test_rule_human_and_mixed_pairs(spark):
     assert (got[0].chosen, got[0].rejected, got[0].score_diff) == ("好用", "可能不错", None)
     rows = [(1, "q", "好", "坏", c), (2, "q", "好", "", c), (3, "", "好", "坏", None), (4, "q", None, None, [{"text": "甲", "score": 9.0}, {"text": "乙", "score": 1.0}])]
     got, stats = pairs(spark, rows, "mixed")
-    assert [r.build_strategy for r in got] == ["human_annotated", "rule_based", "score_diff"]
+    assert [r.build_strategy for r in got] == ["human", "rule_based", "score_diff"]
     assert stats.skip_count == 1
 
 
@@ -120,7 +120,7 @@ def test_rewriting(spark):
     louder = TemplateRewriter(generate=lambda p: F.lit("改写之后也还是一个比较长的回答"))
     after = louder.rewrite(df)
     assert after.orderBy("row_id").first().response == "改写之后也还是一个比较长的回答"
-    s = louder.stats(df, after).collect()
-    assert s[0].total_count == 3 and s[0].success_count == 1 and sum(r.style_count for r in s) == 1 and len(s) == 3
+    s = louder.stats(df, after).first()
+    assert s.total == 3 and s.success_count == 1 and s.fail_count == 2 and sum(s.style_distribution.values()) == 1 and set(s.style_distribution) == set(louder.styles)
     p = spark.range(1).select(prompt(F.lit("好"), F.lit("unknown")).alias("p")).first().p
     assert "更简洁" in p and p.endswith("改写后：") and "好" in p

@@ -5,7 +5,9 @@ count no more. That is the lexicographically first independent set of the
 collision graph. It is found in rounds over (row, band) memberships, never over
 pairs: a row that is the earliest open row of all its bands stays, and rows
 that share a band with it go. A band of a third of all rows is one group of a
-count, not a square of pairs.
+count, not a square of pairs. Each round is distributed; a long chain of rows takes
+as many rounds as it has links, until the rest is small enough for one task, which
+goes through it in order.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def grams(text: str, n: int) -> np.ndarray:
     width = min(n, len(x)) or 1
     h = np.zeros(max(len(x) - width + 1, 0), np.uint64)
     for i in range(width):
-        h = (h ^ x[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ x[i : i + len(h)]) * np.uint64(MinHashDeduplicator.GRAM)
         h ^= h >> np.uint64(29)
     return np.unique(h)
 
@@ -67,6 +69,17 @@ class MinHashDeduplicator:
     response_field: str = "response"
     verify: bool = False
     seed: int = 1
+    #: Up to so many open memberships the rest is settled in one task, in order.
+    last_rows: int = 400_000
+
+    MIX = 0xD6E8FEB86659FD93
+    GRAM = 0x9E3779B97F4A7C15
+
+    def permutations(self) -> tuple[np.ndarray, np.ndarray]:
+        """Factors (odd) and summands of the permutations of 64-bit hashes."""
+        rng = np.random.default_rng(self.seed)
+        a = rng.integers(1, 1 << 63, self.num_perm, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        return a, rng.integers(0, 1 << 63, self.num_perm, dtype=np.uint64)
 
     def text(self, df: DataFrame) -> Column:
         """The text, or prompt and response where it is empty or missing."""
@@ -77,17 +90,15 @@ class MinHashDeduplicator:
     def bands(self, df: DataFrame) -> DataFrame:
         """(row, band, hash) of every row with text."""
         b, r = optimal_bands(self.threshold, self.num_perm)
-        rng = np.random.default_rng(self.seed)
-        a = rng.integers(1, 1 << 63, self.num_perm, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        c = rng.integers(0, 1 << 63, self.num_perm, dtype=np.uint64)
-        n = self.ngram_size
+        a, c = (x[: b * r] for x in self.permutations())
+        n, mix = self.ngram_size, self.MIX
 
         def run(batches):
-            powers = np.multiply.accumulate(np.full(r, 0xD6E8FEB86659FD93, np.uint64))
+            powers = np.multiply.accumulate(np.full(r, mix, np.uint64))
             for batch in batches:
                 rows, hashes = [], []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    s = signature(grams(t, n), a, c)[: b * r].reshape(b, r).astype(np.uint64)
+                    s = signature(grams(t, n), a, c).reshape(b, r).astype(np.uint64)
                     rows.append(i)
                     hashes.append((((s + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64)).view(np.int64))
                 flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
@@ -100,11 +111,15 @@ class MinHashDeduplicator:
         """row: the rows with text that go."""
         spark = df.sparkSession
         shared_dir(spark)
-        every = self.bands(df)
+        every = written(self.bands(df), "every")
         shared = every.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
         open_ = written(every.join(shared, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "row"), "bands")
+        drop(every)
         gone = []
-        while not open_.isEmpty():
+        while n := open_.count():
+            if n <= self.last_rows and not self.verify:
+                gone.append(written(self._settled(open_), "goes"))
+                break
             # the earliest open row of each bucket; a row that is that in all its buckets stays
             first = open_.groupBy("bucket").agg(F.min("row").alias("first"))
             at = open_.join(first, "bucket")
@@ -124,6 +139,32 @@ class MinHashDeduplicator:
             out = out.unionByName(g)
         return out.distinct()
 
+    @staticmethod
+    def _settled(open_: DataFrame) -> DataFrame:
+        """The rows that go of a bounded number of memberships, in one task and one pass in the rows' order."""
+
+        def run(batches):
+            seen, at, own, out = set(), None, [], []
+
+            def close():
+                if seen.isdisjoint(own):
+                    seen.update(own)
+                else:
+                    out.append(at)
+
+            for batch in batches:
+                for row, bucket in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if row != at:
+                        if own:
+                            close()
+                        at, own = row, []
+                    own.append(bucket)
+            if own:
+                close()
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["row"])
+
+        return open_.select("row", "bucket").repartition(1).sortWithinPartitions("row").mapInArrow(run, "row long")
+
     def _similar(self, df: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs whose n-gram sets have a Jaccard similarity of threshold or more."""
         sets = df.select(F.col(self.id_field).cast("long").alias("i"), T.shingles(self.text(df), self.ngram_size).alias("g"))
@@ -138,7 +179,7 @@ class MinHashDeduplicator:
         return out.join(gone, F.col(self.id_field) == F.col("_gone"), "left_anti")
 
     def stats(self, df: DataFrame, kept: DataFrame) -> DataFrame:
-        """One row: original_count, dedup_count, removed_count, dedup_ratio."""
-        both = df.agg(F.count("*").alias("original_count")).crossJoin(kept.agg(F.count("*").alias("dedup_count")))
-        removed = F.col("original_count") - F.col("dedup_count")
+        """One row: original_count, deduplicated_count, removed_count, dedup_ratio."""
+        both = df.agg(F.count("*").alias("original_count")).crossJoin(kept.agg(F.count("*").alias("deduplicated_count")))
+        removed = F.col("original_count") - F.col("deduplicated_count")
         return both.withColumns({"removed_count": removed, "dedup_ratio": T.safe_ratio(removed, F.col("original_count"))})

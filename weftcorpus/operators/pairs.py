@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftcorpus.functions import rules
 from weftcorpus.functions import text as T
 
-STRATEGIES = ("score_diff", "rule_based", "human_annotated", "mixed")
+STRATEGIES = ("score_diff", "rule_based", "human", "mixed")
 
 
 def hallucinates(c: Column) -> Column:
@@ -56,7 +56,7 @@ class PreferencePairBuilder:
 
     def human(self) -> Column:
         p, c, r = (T.text(x) for x in (self.prompt_field, "chosen", "rejected"))
-        return F.when((p != "") & (c != "") & (r != ""), self._pair(p, c, r, "human_annotated"))
+        return F.when((p != "") & (c != "") & (r != ""), self._pair(p, c, r, "human"))
 
     def candidates(self, df: DataFrame) -> DataFrame:
         """df with the pair of each row, null where none can be built."""
@@ -66,7 +66,7 @@ class PreferencePairBuilder:
                 df = df.withColumn(field, F.lit(None).cast("string"))
         if self.responses_field not in df.columns:
             df = df.withColumn(self.responses_field, F.lit(None).cast("array<struct<text:string,score:double>>"))
-        parts = {"score_diff": [self.score], "rule_based": [self.rule], "human_annotated": [self.human], "mixed": [self.human, self.score, self.rule]}
+        parts = {"score_diff": [self.score], "rule_based": [self.rule], "human": [self.human], "mixed": [self.human, self.score, self.rule]}
         return df.withColumn("pair", F.coalesce(*[p() for p in parts[self.strategy]]))
 
     def build(self, df: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ class PreferencePairBuilder:
         return self.candidates(df).where("pair IS NOT NULL").select("pair.*")
 
     def stats(self, df: DataFrame) -> DataFrame:
-        """One row: original_count, pairs_count, skip_count, strategy_distribution."""
+        """One row: input_count, pairs_count, skip_count, strategy_distribution."""
         by = self.candidates(df).groupBy(F.col("pair.build_strategy").alias("s")).agg(F.count("*").alias("n"))
         n, pairs = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("s").isNotNull(), F.col("n"))), F.lit(0))
-        return by.agg(n.alias("original_count"), pairs.alias("pairs_count"), (n - pairs).alias("skip_count"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "n"))))).alias("strategy_distribution"))
+        return by.agg(n.alias("input_count"), pairs.alias("pairs_count"), (n - pairs).alias("skip_count"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "n"))))).alias("strategy_distribution"))

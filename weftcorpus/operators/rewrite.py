@@ -44,9 +44,9 @@ class TemplateRewriter:
         return out.withColumn(self.response_field, F.when(good, F.col("_new")).otherwise(F.col(self.response_field))).drop("_new")
 
     def stats(self, before: DataFrame, after: DataFrame) -> DataFrame:
-        """A row for each style with the rewrites that changed the text, zeros too, next to the totals."""
+        """One row: total, success_count (rewrites that changed the text), fail_count and style_distribution, the successes of each style, zeros too."""
         pair = before.select(F.col(self.id_field).alias("i"), T.text(self.response_field).alias("a")).join(after.select(F.col(self.id_field).alias("j"), T.text(self.response_field).alias("b"), "rewrite_style"), F.col("i") == F.col("j"))
         changed = F.col("a") != F.col("b")
         counts = [F.count_if(changed & (F.col("rewrite_style") == s)).alias(s) for s in self.styles]
-        one = pair.agg(F.count("*").alias("total_count"), F.count_if(changed).alias("success_count"), *counts)
-        return one.select("total_count", "success_count", (F.col("total_count") - F.col("success_count")).alias("failed_count"), F.stack(F.lit(len(self.styles)), *[x for s in self.styles for x in (F.lit(s), F.col(s))]).alias("style", "style_count"))
+        one = pair.agg(F.count("*").alias("total"), F.count_if(changed).alias("success_count"), *counts)
+        return one.select("total", "success_count", (F.col("total") - F.col("success_count")).alias("fail_count"), F.create_map(*[x for s in self.styles for x in (F.lit(s), F.col(s))]).alias("style_distribution"))

@@ -89,8 +89,8 @@ class SlotAnnotator:
         return out.withColumns(new).drop(*[f"_s_{f}" for f in fields])
 
     def stats(self, annotated: DataFrame) -> DataFrame:
-        """One row: total_count, annotated_count and slot_counts (distinct values a row, summed)."""
+        """One row: total, items_with_slots and slot_counts (distinct values a row, summed)."""
         types = [k for k in self.patterns if self.slot_types is None or k in self.slot_types]
         counts = [F.coalesce(F.sum(F.when(F.map_contains_key("slots", k), F.size(F.col("slots")[k])).otherwise(0)), F.lit(0)).alias(k) for k in types]
-        one = annotated.agg(F.count("*").alias("total_count"), F.count_if(F.size("slots") > 0).alias("annotated_count"), *counts)
-        return one.select("total_count", "annotated_count", F.create_map(*[x for k in types for x in (F.lit(k), F.col(k))]).alias("slot_counts"))
+        one = annotated.agg(F.count("*").alias("total"), F.count_if(F.size("slots") > 0).alias("items_with_slots"), *counts)
+        return one.select("total", "items_with_slots", F.create_map(*[x for k in types for x in (F.lit(k), F.col(k))]).alias("slot_counts"))

@@ -7,9 +7,12 @@ integer keys, by one SQL text that both engines understand.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftcorpus import oracles
 from weftcorpus.functions import rules
 from weftcorpus.functions import text as T
 from weftcorpus.operators import tracking, training
@@ -22,7 +25,9 @@ from weftcorpus.operators.quality import QualityFilter
 from weftcorpus.operators.rewrite import TemplateRewriter
 from weftcorpus.operators.scorers import FactualityEvaluator, SafetyEvaluator, TaskCompletionEvaluator
 from weftcorpus.operators.slots import SlotAnnotator
+from weftcorpus.plans.pipeline import DataPipeline
 from weftcorpus.sources import records
+from weftcorpus.sources.shared import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,15 +85,30 @@ def quality_reason_counts(spark, sf_dir):
 
 
 _SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STRIPPED_SQL = f"regexp_replace(regexp_replace(coalesce(text, ''), '^{_SPACES}+', ''), '{_SPACES}+$', '')"
 _ORDINARY_SQL = rf"[\p{{L}}\p{{N}}_\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}一-鿿\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}.,!?，。！？、：；''（）【】《》]+"
-_FLAGS_SQL = rf"""
-d AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
+
+
+def _flags(rows: str, first: str = "") -> str:
+    """CTEs up to q (doc_id, n_chars, repetition, special, reason_code) of rows, a query with doc_id, t and what `first` names."""
+    return rf"""
+d AS ({rows}),
 g AS (SELECT doc_id, substr(t, CAST(i AS INT), 4) AS gram FROM d, unnest(generate_series(1, length(t) - 3)) AS u(i)),
 r AS (SELECT doc_id, sum(CASE WHEN c > 1 THEN c ELSE 0 END) / sum(c) AS rep FROM (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY ALL) GROUP BY doc_id),
-f AS (SELECT d.doc_id, length(regexp_replace(regexp_replace(t, '^{_SPACES}+', ''), '{_SPACES}+$', '')) AS n_chars, coalesce(rep, 0) AS rep,
+f AS (SELECT d.*, length(regexp_replace(regexp_replace(t, '^{_SPACES}+', ''), '{_SPACES}+$', '')) AS n_chars, coalesce(rep, 0) AS rep,
   length(regexp_replace(t, '{_ORDINARY_SQL}', '', 'g')) / greatest(length(t), 1) AS special FROM d LEFT JOIN r USING (doc_id)),
 q AS (SELECT doc_id, n_chars, round(rep, 9) AS repetition, round(special, 9) AS special,
-  CASE WHEN n_chars = 0 THEN 'empty_text' WHEN n_chars < 20 THEN 'too_short' WHEN n_chars > 8192 THEN 'too_long' WHEN rep > 0.3 THEN 'repetition' WHEN special > 0.2 THEN 'special_chars' ELSE 'kept' END AS reason_code FROM f)"""
+  CASE {first} WHEN n_chars = 0 THEN 'empty_text' WHEN n_chars < 20 THEN 'too_short' WHEN n_chars > 8192 THEN 'too_long' WHEN rep > 0.3 THEN 'repetition' WHEN special > 0.2 THEN 'special_chars' ELSE 'kept' END AS reason_code FROM f)"""
+
+
+_FLAGS_SQL = _flags("SELECT doc_id, coalesce(text, '') AS t FROM documents")
+
+
+def qa_quality(spark, sf_dir):
+    """Rows as pairs of question and answer, both of which have to be there."""
+    rows = qa(spark, sf_dir).withColumnRenamed("question", "prompt")
+    out = QualityFilter(require_qa_pair=True).flagged(rows)
+    return out.select("row_id", "n_chars", F.round("repetition", 9).alias("repetition"), F.coalesce("reason_code", F.lit("kept")).alias("reason_code"))
 
 
 def text_lengths(spark, sf_dir):
@@ -253,7 +273,7 @@ def score_pairs(spark, sf_dir):
 
 def rule_pairs(spark, sf_dir):
     b = PreferencePairBuilder("rule_based")
-    return b.candidates(_candidates(spark, sf_dir)).where("pair IS NOT NULL").select("row_id", "pair.prompt", "pair.build_strategy")
+    return b.candidates(_candidates(spark, sf_dir)).where("pair IS NOT NULL").select("row_id", "pair.prompt", "pair.chosen", "pair.rejected", "pair.build_strategy")
 
 
 def _annotated(spark, sf_dir):
@@ -262,7 +282,7 @@ def _annotated(spark, sf_dir):
 
 
 def human_pairs(spark, sf_dir):
-    return PreferencePairBuilder("human_annotated").candidates(_annotated(spark, sf_dir)).where("pair IS NOT NULL").select("row_id", "pair.*")
+    return PreferencePairBuilder("human").candidates(_annotated(spark, sf_dir)).where("pair IS NOT NULL").select("row_id", "pair.*")
 
 
 def mixed_pairs(spark, sf_dir):
@@ -294,7 +314,7 @@ def rewrite_styles(spark, sf_dir):
 def rewrite_stats(spark, sf_dir):
     a = qa(spark, sf_dir)
     shout = TemplateRewriter(generate=lambda p: F.concat(F.substring_index(F.substring_index(p, "\n\n", 2), "\n\n", -1), F.lit("！")))
-    return shout.stats(a, shout.rewrite(a)).groupBy().agg(F.max("total_count").alias("total_count"), F.max("success_count").alias("success_count"), F.sum("style_count").alias("by_style"))
+    return shout.stats(a, shout.rewrite(a)).select("total", "success_count", "fail_count", F.aggregate(F.map_values("style_distribution"), F.lit(0).cast("long"), lambda a, x: a + x).alias("by_style"))
 
 
 def _runner() -> EvalRunner:
@@ -393,15 +413,95 @@ def metrics_transposed(spark, sf_dir):
     return tracking.transposed(rows, "model", ["overall_score", "template_rate"], ["BUILDING", "MACHINERY"])
 
 
+def dedup_stats(spark, sf_dir):
+    docs, d = _docs(spark, sf_dir).withColumnRenamed("doc_id", "row_id"), MinHashDeduplicator()
+    return d.stats(docs, d.dedup(docs)).withColumn("dedup_ratio", F.round("dedup_ratio", 9))
+
+
+def slot_stats(spark, sf_dir):
+    a = SlotAnnotator(text_fields=("response",))
+    return a.stats(a.annotate(qa(spark, sf_dir))).select("total", "items_with_slots", *[F.col("slot_counts")[k].cast("long").alias(k) for k in rules.SLOTS])
+
+
+def data_pipeline(spark, sf_dir):
+    """The configured steps over documents: near-duplicates go, rules filter, slots are tagged."""
+    docs = _docs(spark, sf_dir).drop("source").withColumnRenamed("doc_id", "row_id")
+    out, _ = DataPipeline().transform(docs)
+    return out.select(F.col("row_id").alias("doc_id"), F.col("text").alias("tagged"), *[F.concat_ws("|", F.coalesce(F.col("slots")[k], F.array())).alias(k) for k in rules.SLOTS])
+
+
+def jsonl_round_trip(spark, sf_dir):
+    """Documents saved as JSON lines and loaded again."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.jsonl"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    records.save(docs, path)
+    return records.load(spark, path, docs.schema)
+
+
+def json_splits(spark, sf_dir):
+    """Prompts of two files with their split's name."""
+    base, c = f"{shared_dir(spark)}/{uuid.uuid4().hex}", table(spark, sf_dir, "conversations").where("role = 'user'")
+    parts = {"train": c.where("conv_id % 5 <> 0"), "validation": c.where("conv_id % 5 = 0")}
+    for name, rows in parts.items():
+        records.save(rows.select("conv_id", "turn", F.col("text").alias("prompt")), f"{base}-{name}.jsonl")
+    rows = records.load_splits(spark, {k: f"{base}-{k}.jsonl" for k in parts}, "conv_id long, turn int, prompt string")
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("prompt")).alias("n_chars"))
+
+
+def leaderboard(spark, sf_dir):
+    """A benchmark document of the customers' segments, written as JSON and read as a leaderboard."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.json"
+    m = _nations(spark, sf_dir)
+    entry = F.struct(F.concat(F.lit("M "), "model").alias("display_name"), F.struct("overall_score", "template_rate").alias("metrics"), F.struct("gpu_hours").alias("training_cost"))
+    m.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("model", entry))).alias("models"))).alias("value")).coalesce(1).write.text(path)
+    return tracking.leaderboard(records.benchmark(spark, path)).select("model", "display_name", *[F.round(c, 6).alias(c) for c in ("overall_score", "template_rate", "gpu_hours")], F.col("safety").isNull().alias("unscored"))
+
+
+def _judge(prompt):
+    """A stand-in for a model: answers with scores that hang on the prompt's length; one score is missing."""
+    n = F.length(prompt)
+    digit = lambda k: ((n + k) % 5 + 1).cast("string")
+    return F.concat(F.lit("需求理解："), digit(0), F.lit("\n推荐相关性: "), digit(1), F.lit("\n综合评分："), digit(2))
+
+
+def task_judge(spark, sf_dir):
+    out = TaskCompletionEvaluator(judge=_judge).score(qa(spark, sf_dir))
+    return out.select("row_id", *[F.round(c, 8).alias(c) for c in ("need_understanding", "recommendation_relevance", "information_completeness", "task_completion_score")])
+
+
+def factuality_judge(spark, sf_dir):
+    out = FactualityEvaluator(judge=lambda p: F.when(F.length(p) % 7 == 0, F.lit("无法评分")).otherwise(_judge(p))).score(qa(spark, sf_dir))
+    return out.select("row_id", "factuality_score")
+
+
+_CUSTOM = {"price_misleading": {"patterns": ["块"], "severity": "low"}, "urging": {"patterns": ["请马上", "建议 购买"], "severity": "medium", "description": "催促购买"}}
+
+
+def custom_safety(spark, sf_dir):
+    out = SafetyEvaluator(custom_rules=_CUSTOM).score(qa(spark, sf_dir))
+    return out.select("row_id", "safety_score", "is_safe", "max_severity", F.map_contains_key("violations", "urging").alias("urging"), F.col("violations")["price_misleading"]["severity"].alias("price_severity"))
+
+
+def full_comparison(spark, sf_dir):
+    """The comparison table with all dimensions."""
+    e = _runner()
+    return e.comparison(e.models(qa(spark, sf_dir))).select("model", *[F.round(c, 8).alias(c) for c in ("overall_score", "factuality_score", "task_completion_score", "safety_score", "template_rate_percent")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         quality_flags, quality_reason_counts, text_lengths, qa_pairs_from_turns, near_dedup, near_dedup_verified, factuality_rule, entity_accuracy, factuality_summary, task_completion_rule, safety_rule, safety_counts, error_buckets,
         error_counts, bucket_examples, error_share, cross_ngram_rep, distinct_n, sentence_pattern_rate, semantic_cluster_rate, response_cluster_rate, template_overall, score_pairs, rule_pairs, human_pairs, mixed_pairs, slot_spans, slot_counts, rewrite_styles,
         rewrite_stats, overall, model_comparison, best_model, full_evaluation, group_advantage, mean_reward, prompt_batches, early_stop, topk_checkpoints, convergence_step, paired_t, anova_f, baseline_deltas, best_flags, efficiency, metrics_transposed,
+        qa_quality, dedup_stats, slot_stats, data_pipeline, jsonl_round_trip, json_splits, leaderboard, task_judge, factuality_judge, custom_safety, full_comparison,
     )
 }
 
+_TEMPLATE = ("cross_ngram_rep_2", "cross_ngram_rep_3", "cross_ngram_rep_4", "distinct_2", "distinct_3", "sentence_pattern_rate", "semantic_cluster_rate", "overall_template_rate")
+_FULL_SQL = f"""WITH {_OVERALL_SQL}, {_bucket_sql()}, {oracles.template_metrics('qa')}
+SELECT o.model, total, round((f * 0.3 + t * 0.3 + s * 0.25 + 5 * (1 - overall_template_rate) * 0.15), 8) AS overall_score, human_review_needed, unsafe_count FROM o JOIN template USING (model)
+JOIN (SELECT model, count(*) AS total, count(*) FILTER (needs_human_review) AS human_review_needed FROM bk GROUP BY 1) USING (model) JOIN (SELECT model, count(*) FILTER (NOT is_safe) AS unsafe_count FROM safe GROUP BY 1) USING (model)"""
 _RUNS_SQL = "r AS (SELECT o_orderkey % 50 AS run, o_orderkey AS step, CAST(o_custkey % 97 AS DOUBLE) AS metric FROM orders)"
 _NATIONS_SQL = "m AS (SELECT c_mktsegment AS model, avg(c_custkey % 83) AS overall_score, avg(c_custkey % 59) AS template_rate, CAST(count(*) AS DOUBLE) AS gpu_hours FROM customer GROUP BY 1)"
 _KINDS = ", ".join(f"count({k}) AS {k}" for k in rules.ERRORS)
@@ -411,6 +511,8 @@ ORACLES = {
     "quality_reason_counts": f"WITH {_FLAGS_SQL} SELECT reason_code, count(*) AS n FROM q GROUP BY 1",
     "text_lengths": f"SELECT doc_id, length(coalesce(text, '')) AS n_chars, length(regexp_replace(regexp_replace(coalesce(text, ''), '^{_SPACES}+', ''), '{_SPACES}+$', '')) AS n_stripped, substr(coalesce(text, ''), 1, 50) AS head FROM documents",
     "qa_pairs_from_turns": "SELECT conv_id, turn, text AS prompt, response FROM (SELECT *, lead(role) OVER w AS nxt, lead(text) OVER w AS response FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nxt = 'assistant'",
+    "near_dedup": f"WITH RECURSIVE {oracles.kept_by_bands('documents', 'doc_id', _STRIPPED_SQL, MinHashDeduplicator())} SELECT doc_id FROM kept",
+    "near_dedup_verified": f"WITH RECURSIVE {oracles.kept_by_bands('documents', 'doc_id', _STRIPPED_SQL, MinHashDeduplicator(verify=True))} SELECT doc_id FROM kept",
     "factuality_rule": f"WITH {_FACT_SQL} SELECT row_id, factuality_score FROM fact",
     "entity_accuracy": f"WITH {_FACT_SQL} SELECT row_id, round(entity_accuracy, 9) AS entity_accuracy FROM fact",
     "factuality_summary": f"WITH {_FACT_SQL} SELECT model, round(avg(factuality_score), 8) AS mean_factuality_score, round(stddev_pop(factuality_score), 8) AS std_factuality_score, round(avg(entity_accuracy), 8) AS mean_entity_accuracy, count(*) FILTER (factuality_score = 3.0) AS score_3, count(*) AS total FROM fact GROUP BY 1",
@@ -433,14 +535,34 @@ c AS (SELECT t, min(id) AS id, count(*) AS n FROM s GROUP BY t), wc AS (SELECT w
 p AS (SELECT a.id, b.id AS other, any_value(a.n) * any_value(b.n) AS k, sum(a.w * b.w) AS cosine FROM wc a JOIN wc b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id)
 SELECT round(((SELECT coalesce(sum(k), 0) FROM p WHERE cosine >= 0.85) + (SELECT sum(n * (n - 1) / 2) FROM c)) / (SELECT count(*) * (count(*) - 1) / 2 FROM part), 9) AS semantic_cluster_rate""",
     "score_pairs": f"WITH {_SCORE_PAIR_SQL} SELECT * FROM sp",
-    "rule_pairs": f"WITH {_SCORE_PAIR_SQL} SELECT * FROM rp",
-    "human_pairs": "SELECT DISTINCT l_orderkey AS row_id, 'q' || l_orderkey AS prompt, 'c' || l_orderkey AS chosen, 'r' || l_orderkey AS rejected, 'human_annotated' AS build_strategy, CAST(NULL AS DOUBLE) AS score_diff FROM lineitem WHERE l_orderkey % 8 = 0",
-    "mixed_pairs": f"WITH {_SCORE_PAIR_SQL} SELECT strategy, count(*) AS n FROM (SELECT k.row_id, CASE WHEN k.row_id % 8 = 0 THEN 'human_annotated' WHEN sp.row_id IS NOT NULL THEN 'score_diff' WHEN rp.row_id IS NOT NULL THEN 'rule_based' ELSE 'skip' END AS strategy FROM (SELECT DISTINCT row_id FROM c) k LEFT JOIN sp ON k.row_id = sp.row_id LEFT JOIN rp ON k.row_id = rp.row_id) GROUP BY 1",
+    "rule_pairs": f"""WITH {_SCORE_PAIR_SQL}, rb AS (SELECT row_id, list(text ORDER BY place) FILTER (NOT bad) AS good, list(text ORDER BY place) FILTER (bad) AS poor FROM (SELECT *, regexp_matches(text, '可能|不知道') AS bad FROM c WHERE text <> '') GROUP BY 1),
+  {oracles.xxhash64_steps('rb', 'row_id', 42, 'pick')}, pick1 AS (SELECT * EXCLUDE (h), h AS h0 FROM pick), {oracles.xxhash64_steps('pick1', 'row_id', 43, 'pick2')}
+  SELECT row_id, prompt, good[(((h0 % len(good)) + len(good)) % len(good) + 1)::BIGINT] AS chosen, poor[(((h % len(poor)) + len(poor)) % len(poor) + 1)::BIGINT] AS rejected, build_strategy FROM rp JOIN pick2 USING (row_id)""",
+    "human_pairs": "SELECT DISTINCT l_orderkey AS row_id, 'q' || l_orderkey AS prompt, 'c' || l_orderkey AS chosen, 'r' || l_orderkey AS rejected, 'human' AS build_strategy, CAST(NULL AS DOUBLE) AS score_diff FROM lineitem WHERE l_orderkey % 8 = 0",
+    "mixed_pairs": f"WITH {_SCORE_PAIR_SQL} SELECT strategy, count(*) AS n FROM (SELECT k.row_id, CASE WHEN k.row_id % 8 = 0 THEN 'human' WHEN sp.row_id IS NOT NULL THEN 'score_diff' WHEN rp.row_id IS NOT NULL THEN 'rule_based' ELSE 'skip' END AS strategy FROM (SELECT DISTINCT row_id FROM c) k LEFT JOIN sp ON k.row_id = sp.row_id LEFT JOIN rp ON k.row_id = rp.row_id) GROUP BY 1",
+    "slot_spans": f"WITH qa AS ({QA_SQL}), {oracles.slot_spans('qa')} SELECT row_id, tagged, {', '.join(rules.SLOTS)} FROM annotated",
+    "rewrite_styles": f"WITH qa AS ({QA_SQL}), {oracles.styles('qa', TemplateRewriter().styles)} SELECT row_id, rewrite_style, response FROM styled",
+    "early_stop": oracles.early_stop(_RUNS_SQL),
+    "template_overall": f"WITH qa AS ({QA_SQL}), {oracles.template_metrics('qa')} SELECT model, total_responses, {', '.join(f'round({c}, 8) AS {c}' for c in _TEMPLATE)}, round(overall_template_rate * 100, 8) AS template_rate_percentage FROM template",
+    "full_evaluation": _FULL_SQL,
     "slot_counts": f"WITH qa AS ({QA_SQL}) SELECT model, count(*) AS total_count, count(*) FILTER ({' OR '.join(f'''regexp_matches(response, '{p}')''' for p in rules.SLOTS['stock'])}) AS annotated_count FROM qa GROUP BY 1",
-    "rewrite_stats": f"WITH qa AS ({QA_SQL}) SELECT count(*) AS total_count, count(*) FILTER (length(response) BETWEEN 9 AND 100000 AND response <> '') AS success_count, count(*) FILTER (length(response) BETWEEN 9 AND 100000 AND response <> '') AS by_style FROM qa",
+    "rewrite_stats": f"WITH qa AS ({QA_SQL}) SELECT count(*) AS total, count(*) FILTER (length(response) BETWEEN 9 AND 100000 AND response <> '') AS success_count, count(*) FILTER (NOT (length(response) BETWEEN 9 AND 100000 AND response <> '')) AS fail_count, count(*) FILTER (length(response) BETWEEN 9 AND 100000 AND response <> '') AS by_style FROM qa",
     "overall": f"WITH {_OVERALL_SQL} SELECT model, round(overall, 8) AS overall_score FROM o",
     "model_comparison": f"WITH {_OVERALL_SQL} SELECT model, round(overall, 8) AS overall_score, round(f, 8) AS factuality_score, round(t, 8) AS task_completion_score, round(s, 8) AS safety_score FROM o",
     "best_model": f"WITH {_OVERALL_SQL} SELECT model AS best_model, round(overall, 8) AS overall_score FROM o ORDER BY overall DESC LIMIT 1",
+    "qa_quality": f"WITH qa AS ({QA_SQL}), {_flags("SELECT row_id AS doc_id, question || ' ' || response AS t, question, response FROM qa", "WHEN trim(question) = '' THEN 'empty_prompt' WHEN trim(response) = '' THEN 'empty_response'")} SELECT doc_id AS row_id, n_chars, repetition, reason_code FROM q",
+    "dedup_stats": f"WITH RECURSIVE {oracles.kept_by_bands('documents', 'doc_id', _STRIPPED_SQL, MinHashDeduplicator())}, n AS (SELECT (SELECT count(*) FROM documents) AS a, (SELECT count(*) FROM kept) AS b) SELECT a AS original_count, b AS deduplicated_count, a - b AS removed_count, round((a - b) / a, 9) AS dedup_ratio FROM n",
+    "slot_stats": f"WITH qa AS ({QA_SQL}), {oracles.slot_spans('qa')} SELECT (SELECT count(*) FROM qa) AS total, count(*) AS items_with_slots, {', '.join(f"sum(len(list_distinct(list_transform(list_filter(found, lambda s: s.kind = '{k}'), lambda s: s.value))))::BIGINT AS {k}" for k in rules.SLOTS)} FROM spans",
+    "data_pipeline": f"WITH RECURSIVE {oracles.kept_by_bands('documents', 'doc_id', _STRIPPED_SQL, MinHashDeduplicator())}, {_flags("SELECT doc_id, coalesce(text, '') AS t FROM documents JOIN kept USING (doc_id)")}, rest AS (SELECT doc_id, text FROM documents JOIN q USING (doc_id) WHERE reason_code = 'kept'), {oracles.slot_spans('rest', 'text', 'doc_id')} SELECT doc_id, tagged, {', '.join(rules.SLOTS)} FROM annotated",
+    "jsonl_round_trip": "SELECT doc_id, text, source FROM documents",
+    "json_splits": "SELECT CASE WHEN conv_id % 5 <> 0 THEN 'train' ELSE 'validation' END AS split, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE role = 'user' GROUP BY 1",
+    "leaderboard": f"WITH {_NATIONS_SQL} SELECT model, 'M ' || model AS display_name, round(overall_score, 6) AS overall_score, round(template_rate, 6) AS template_rate, round(gpu_hours, 6) AS gpu_hours, true AS unscored FROM m",
+    "task_judge": f"WITH qa AS ({QA_SQL}), n AS (SELECT row_id, length(question) + length(response) + {len(rules.TASK_PROMPT) - len('{question}{response}')} AS n FROM qa), s AS (SELECT row_id, (n % 5 + 1)::DOUBLE AS a, ((n + 1) % 5 + 1)::DOUBLE AS b, ((n + 2) % 5 + 1)::DOUBLE AS c FROM n) SELECT row_id, a AS need_understanding, b AS recommendation_relevance, 3.0::DOUBLE AS information_completeness, round(CASE WHEN c = 3 THEN (a + b + 3) / 3 ELSE c END, 8) AS task_completion_score FROM s",
+    "factuality_judge": f"WITH qa AS ({QA_SQL}), n AS (SELECT row_id, length(question) + length(response) + CASE WHEN reference = '' THEN {len(rules.NO_REFERENCE)} ELSE length(reference) END + {len(rules.FACTUALITY_PROMPT) - len('{question}{response}{reference}')} AS n FROM qa) SELECT row_id, CASE WHEN n % 7 = 0 THEN 3.0::DOUBLE ELSE (n % 5 + 1)::DOUBLE END AS factuality_score FROM n",
+    "custom_safety": f"""WITH qa AS ({QA_SQL}), {_SAFE_SQL}, x AS (SELECT *, regexp_matches(response, '请马上|建议 购买') AS urging, contains(response, '块') AS lumps FROM safe)
+  SELECT row_id, CASE WHEN prohibited_items OR privacy_leak THEN 0.0 WHEN false_promotion THEN 2.0 WHEN urging THEN 3.0 WHEN lumps THEN 4.0 ELSE 5.0 END::DOUBLE AS safety_score, NOT (prohibited_items OR privacy_leak OR false_promotion OR urging OR lumps) AS is_safe,
+  CASE WHEN prohibited_items OR privacy_leak THEN 'critical' WHEN false_promotion THEN 'high' WHEN urging THEN 'medium' WHEN lumps THEN 'low' ELSE 'safe' END AS max_severity, urging, CASE WHEN lumps THEN 'low' END AS price_severity FROM x""",
+    "full_comparison": f"WITH {_OVERALL_SQL}, {oracles.template_metrics('qa')} SELECT o.model, round(f * 0.3 + t * 0.3 + s * 0.25 + 5 * (1 - overall_template_rate) * 0.15, 8) AS overall_score, round(f, 8) AS factuality_score, round(t, 8) AS task_completion_score, round(s, 8) AS safety_score, round(overall_template_rate * 100, 8) AS template_rate_percent FROM o JOIN template USING (model)",
     "group_advantage": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER w) / (stddev_samp(l_quantity) OVER w + 1e-8), 6) AS advantage FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)",
     "mean_reward": "SELECT step, round(avg(m), 8) AS mean_reward FROM (SELECT l_suppkey % 10 AS step, l_orderkey, avg(l_quantity) AS m FROM lineitem GROUP BY ALL) GROUP BY 1",
     "prompt_batches": "SELECT batch, min(o_orderkey) AS first_row, max(o_orderkey) AS last_row, count(*) AS n FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS batch FROM orders) GROUP BY 1",
