@@ -35,7 +35,7 @@ def test_factuality_summary_and_judge(spark):
     assert s.mean_factuality_score == pytest.approx(2.85) and s.std_factuality_score == pytest.approx(0.15) and s.score_distribution["3"] == 1
     e = FactualityEvaluator().evaluate(df.where("false")).first()
     assert (e.mean_factuality_score, e.std_factuality_score, e.total) == (0.0, 0.0, 0)
-    judged = FactualityEvaluator(judge=lambda p: F.when(p.contains("参考答案（如有）：无"), "评分 4 分").otherwise("?"))
+    judged = FactualityEvaluator(judge=lambda p: F.when(p.contains("可供对照的答案：无"), "评分 4 分").otherwise("?"))
     assert [r.factuality_score for r in judged.score(df).collect()] == [4.0, 4.0]
 
 

@@ -14,6 +14,7 @@ from weftcorpus.operators.buckets import ErrorBucketing
 from weftcorpus.operators.diversity import TemplateRateEvaluator
 from weftcorpus.operators.scorers import FactualityEvaluator, SafetyEvaluator, TaskCompletionEvaluator
 
+# What each dimension counts, and the score without any.
 WEIGHTS = {"factuality": 0.30, "task_completion": 0.30, "safety": 0.25, "template_rate": 0.15}
 NOTHING_SCORED = 3.0
 
@@ -105,19 +106,23 @@ class EvalRunner:
         return {k: str(p) for k, p in paths.items()}
 
 
-#: Titles of the report's parts and the columns that they show.
-_DIMENSIONS = {"事实性": "mean_factuality_score", "任务完成度": "mean_task_completion_score", "安全性": "mean_safety_score"}
+#: Titles of the report's rows and the columns that they show.
+_DIMENSIONS = {"事实": "mean_factuality_score", "任务": "mean_task_completion_score", "安全": "mean_safety_score"}
+
+
+def _table(head: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+    return "\n".join("| " + " | ".join(r) + " |" for r in (head, ("---",) * len(head), *rows))
 
 
 def markdown(result: dict) -> str:
     """The report of one model or of a comparison."""
     show = lambda v, f="{:.2f}": "N/A" if v is None else f.format(v)
-    head = f"# 电商导购模型评测报告\n\n**评测时间**: {datetime.now(timezone.utc):%Y-%m-%d %H:%M:%S}\n\n## 评测结果摘要\n"
+    head = f"# 导购回答评分\n\n生成于 {datetime.now(timezone.utc):%Y-%m-%d %H:%M:%S} UTC\n\n"
     if "comparison_table" in result:
         columns = ("overall_score", "factuality_score", "task_completion_score", "safety_score", "template_rate_percent")
-        rows = "\n".join("| " + " | ".join([r["model"], *(show(r.get(c)) for c in columns)]) + " |" for r in result["comparison_table"])
-        return f"{head}\n## 多模型对比\n\n| 模型 | 综合分 | 事实性 | 任务完成度 | 安全性 | 模板化率 |\n|------|--------|--------|-----------|--------|---------|\n{rows}\n\n**最佳模型**: {result.get('best_model', 'N/A')}"
-    rows = [f"| {title} | {show(result[c])} |" for title, c in _DIMENSIONS.items() if c in result]
+        table = _table(("名称", "总分", *_DIMENSIONS, "套话 %"), [(r["model"], *(show(r.get(c)) for c in columns)) for r in result["comparison_table"]])
+        return f"{head}## 各模型\n\n{table}\n\n最好的是 {result.get('best_model', 'N/A')}"
+    rows = [(title, show(result[c])) for title, c in _DIMENSIONS.items() if c in result]
     if "template_rate_percentage" in result:
-        rows.append(f"| 模板化率 | {show(result['template_rate_percentage'], '{:.1f}%')} |")
-    return f"{head}\n### 模型: {result.get('model')}\n\n**综合评分**: {show(result.get('overall_score'))} / 5.00\n\n| 评测维度 | 得分 |\n|---------|------|\n" + "\n".join(rows)
+        rows.append(("套话", show(result["template_rate_percentage"], "{:.1f}%")))
+    return f"{head}## {result.get('model')}\n\n总分 {show(result.get('overall_score'))}，满分 5.00\n\n{_table(('方面', '得分'), rows)}"

@@ -16,7 +16,7 @@ from weftcorpus.operators.slots import SlotAnnotator
 from weftcorpus.sources import records
 from weftcorpus.sources.shared import written
 
-#: The steps' parameters; a step that isn't enabled isn't in the plan.
+# The steps' parameters. A step that isn't enabled isn't in the plan.
 DEFAULTS: dict = {
     "dedup": {"enabled": True, "num_perm": 128, "threshold": 0.85, "ngram_size": 3},
     "quality_filter": {"enabled": True, "min_length": 20, "max_length": 8192, "max_repetition_ratio": 0.3, "max_special_char_ratio": 0.2, "require_qa_pair": False},
