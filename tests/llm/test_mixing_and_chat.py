@@ -52,10 +52,37 @@ def test_sources_come_near_their_targets(spark, tables):
     assert again == {(r.doc_id, r.size): r.taken for r in out.collect()}
 
 
+def in_turn(rows, want, after, most):
+    """(stop, left) when documents are taken in their order, those of one order together."""
+    orders = {}
+    for o, size in rows:
+        if (after is None or o > after) and size <= most:
+            orders[o] = orders.get(o, 0) + size
+    for o in sorted(orders):
+        if orders[o] > want:
+            return o, want
+        want -= orders[o]
+    return None, want
+
+
+@pytest.mark.parametrize("leaf", [1, 10, 1000])
+def test_cuts_are_those_of_a_scan(spark, leaf):
+    """Also where documents share an id, or agree in everything."""
+    random.seed(leaf)
+    raw = [(i if i % 4 else 4, random.choice(["x", "y"]), random.randrange(0, 9), random.randrange(-(1 << 63), 1 << 63) if i % 8 else 77) for i in range(600)]
+    df = spark.createDataFrame(raw, "doc_id long, source string, size long, tie long").selectExpr("doc_id", "array(source) AS pattern", "size", "xxhash64(5, doc_id) AS u", "tie").cache()
+    rows = {s: [((r.u, r.doc_id, r.tie), r.size) for r in df.collect() if r.pattern == [s]] for s in "xy"}
+    some = {s: sorted(o for o, _ in rows[s])[40] for s in "xy"}
+    for after, most in ((None, 8), (some, 8), (some, 3)):
+        for want in (0, 1, 100, 700, 10**6):
+            state = {(s,): (want, after and after[s], most) for s in "xy"}
+            assert mixing._cuts(df, state, leaf) == {(s,): in_turn(rows[s], want, after and after[s], most) for s in "xy"}
+
+
 def test_many_buckets_give_the_same_totals(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
     m = mixing.measured(rows, F.array("source"), 1).drop("text").cache()
-    for k in (50, 100_000):
+    for k in (5, 100_000):
         out = mixing.mixed(m, mixing.plan(m, per_bucket=k)).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect()
         assert all(abs(r.t - r.n) <= 3 for r in out)
 

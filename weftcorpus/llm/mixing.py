@@ -8,9 +8,10 @@ documents are taken whole in a seeded order: all of them `base` times, and once
 more each one that fits into the rest of the flow; what is left at the end is
 filled with smaller ones from behind.
 
-Only pattern totals reach the driver; their number is that of the sources'
-combinations, not of the documents. The seeded order is never sorted as a
-whole: bucket sums find the one bucket that the cut falls into.
+Only pattern totals, sums of 256 ranges and a few documents at a cut reach the
+driver, for each of the sources' combinations and whatever the number of documents.
+The seeded order is never sorted: sums of ranges find where a cut falls, and the
+range is divided until a few documents are left.
 
 Edge cases: null and empty texts have size 0; a null source is a source; rows
 that agree in everything are taken or left together; without words all is 0.
@@ -137,22 +138,57 @@ _O = "struct<u:bigint,id:bigint,tie:bigint>"
 _ROUNDS = f"array<struct<after:{_O},stop:{_O},most_size:bigint>>"
 
 
-def _cut(narrow: DataFrame, state: DataFrame, bits: int) -> DataFrame:
-    """For each pattern of state (pp, want, after, most_size): stop, the first order whose document no
-    longer fits when those behind `after` of at most most_size are taken in turn (null: all fit), and rest."""
-    bucket = F.shiftright("u", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = narrow.withColumn("o", _order()).join(F.broadcast(state), F.col("pattern").eqNullSafe(F.col("pp")))
-    rows = rows.where((F.col("after").isNull() | (F.col("o") > F.col("after"))) & (F.col("size") <= F.col("most_size"))).withColumn("b", bucket)
-    w = Window.partitionBy("pp").orderBy("b")
-    sums = rows.groupBy("pp", "b").agg(F.sum("size").alias("words"), F.first("want").alias("want")).withColumn("start", F.sum("words").over(w) - F.col("words"))
-    # only the bucket that the cut falls into is sorted
-    cut = sums.where("start <= want AND start + words > want").select(F.col("pp").alias("cp"), F.col("b").alias("cb"), "start")
-    near = rows.join(F.broadcast(cut), F.col("pp").eqNullSafe(F.col("cp")) & (F.col("b") == F.col("cb")))
-    near = near.withColumn("upto", F.col("start") + F.sum("size").over(Window.partitionBy("pp").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
-    fits = F.col("upto") <= F.col("want")
-    ends = near.groupBy("pp").agg(F.min(F.when(~fits, F.col("o"))).alias("stop"), F.min(F.col("want") - F.when(fits, F.col("upto")).otherwise(F.col("start"))).alias("rest"))
-    whole = sums.groupBy("pp").agg((F.first("want") - F.sum("words")).alias("left")).withColumnRenamed("pp", "wp")
-    return whole.join(ends, F.col("wp").eqNullSafe(F.col("pp")), "left").select(F.col("wp").alias("pattern"), "stop", F.coalesce("rest", "left").alias("rest"))
+def _asked(narrow: DataFrame, rows: list[tuple], kind: str) -> DataFrame:
+    """The documents of the patterns in rows, with the rows' columns; a row for each pattern is broadcast only while they are few."""
+    state = narrow.sparkSession.createDataFrame(rows, kind)
+    return narrow.withColumn("o", _order()).join(F.broadcast(state) if len(rows) <= 100_000 else state, F.col("pattern").eqNullSafe(F.col("pp")))
+
+
+def _cuts(narrow: DataFrame, state: dict[tuple, tuple], leaf: int) -> dict[tuple, tuple]:
+    """For each pattern of state (want, after, most_size): stop, the first order whose documents no longer
+    fit when those behind `after` of at most most_size are taken in turn (None: all fit), and what is left.
+
+    Sums of 256 ranges of the order find the one that the cut falls into, which is divided in
+    turn until `leaf` documents at most are in it; the order is never sorted, not even a part of it."""
+    out, open_ = {}, {p: (want, None, None) for p, (want, _, _) in state.items()}
+    kind = f"pp array<string>, after {_O}, most_size long, u0 long, prefix long"
+    for depth in range(16):
+        if not open_:
+            break
+        # eight bits of u at a time, then, for documents of one id, of tie
+        word, place = ("u", depth) if depth < 8 else ("tie", depth - 8)
+        rows = _asked(narrow, [(list(p), *state[p][1:], u0, prefix) for p, (_, u0, prefix) in open_.items()], kind)
+        rows = rows.where((F.col("after").isNull() | (F.col("o") > F.col("after"))) & (F.col("size") <= F.col("most_size")))
+        if depth >= 8:
+            rows = rows.where(F.col("u") == F.col("u0"))
+        if place:
+            rows = rows.where(F.shiftright(word, 64 - 8 * place) == F.col("prefix"))
+        rows = rows.withColumn("b", F.shiftright(word, 56 - 8 * place))
+        sums = defaultdict(list)
+        for r in rows.groupBy("pp", "b").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect():  # 256 for each pattern at most
+            sums[tuple(r.pp)].append((r.b, r.words, r.n))
+        last, after = {}, {}
+        for p, (want, u0, _) in open_.items():
+            for b, words, n in sorted(sums[p]):
+                if words > want:
+                    (last if n <= leaf or depth == 15 else after)[p] = (want, b if depth == 7 else u0, b)
+                    break
+                want -= words
+            else:
+                out[p] = None, want
+        if last:
+            few = _asked(rows.drop("pp", "o"), [(list(p), b) for p, (_, _, b) in last.items()], "pp array<string>, cut long").where("b = cut")
+            orders = defaultdict(list)
+            for r in few.groupBy("pp", "o").agg(F.sum("size").alias("words")).collect():
+                orders[tuple(r.pp)].append((tuple(r.o), r.words))
+            for p, (want, _, _) in last.items():
+                for o, words in sorted(orders[p]):
+                    if words > want:
+                        out[p] = o, want
+                        break
+                    want -= words
+        open_ = after
+    return out
 
 
 def _inside(o):
@@ -164,7 +200,7 @@ def _fillers(narrow: DataFrame, state: DataFrame, each: int, most: int) -> DataF
     """For each pattern of state (pp, want, base, rounds) the orders of documents that fill what is left:
     larger ones first, of the first `each` of every doubling of size (a bounded choice, whatever the
     pattern's size), those not taken yet before others; or the one document just too large, if that comes nearer."""
-    rows = narrow.where("size > 0").withColumn("o", _order()).join(F.broadcast(state), F.col("pattern").eqNullSafe(F.col("pp")))
+    rows = narrow.where("size > 0").withColumn("o", _order()).join(state, F.col("pattern").eqNullSafe(F.col("pp")))
     rows = rows.withColumn("again", _inside(F.col("o")).cast("int")).where(F.col("base") + F.col("again") < most).withColumn("place", F.struct("again", "o"))
     kind = F.floor(F.log2("size"))
     # the first of each share of a size's documents, then the first of those
@@ -183,13 +219,13 @@ def _fillers(narrow: DataFrame, state: DataFrame, each: int, most: int) -> DataF
     return both.select(F.col("pp").alias("pattern"), F.when(F.col("l.size") - F.col("want") < F.col("g.left"), F.array("l.place.o")).otherwise(F.col("g.got")).alias("fill"))
 
 
-def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, per_bucket: int = 4000, rounds: int = 6, fill: int = 4) -> DataFrame:
+def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, per_bucket: int = 200, rounds: int = 6, fill: int = 4) -> DataFrame:
     """One row for each pattern: source_size, target (of its first source), base copies, and which documents
     are taken once more: those of any round (behind `after`, before `stop`, of at most most_size) and those of fill.
     narrow: pattern, size, u, doc_id, tie. A pattern takes another round only while one document that
     didn't fit leaves more open than a hundredth of its flow."""
     spark = narrow.sparkSession
-    totals = narrow.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
+    totals = narrow.groupBy("pattern").agg(F.sum("size").alias("words")).collect()
     patterns = {tuple(r.pattern or ()): r.words for r in totals}
     sizes = defaultdict(int)
     for p, words in patterns.items():
@@ -199,24 +235,20 @@ def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, per_bucket
     targets = fair_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, sum(patterns.values()), most)
     taken = route(patterns, targets, most)
     parts = {p: divmod(taken[p], words) if words else (0, 0) for p, words in patterns.items()}
-    bits = max(0, (max([r.rows for r in totals], default=1) // per_bucket).bit_length())
-    kind = f"pp array<string>, want long, after {_O}, most_size long"
     state = {p: (extra, None, extra) for p, (_, extra) in parts.items() if extra}
     steps, fills, open_ = {p: [] for p in parts}, {}, set(state)
     for _ in range(rounds):
         if not open_:
             break
-        asked = spark.createDataFrame([(list(p), *state[p]) for p in open_], kind)
-        for r in _cut(narrow, asked, bits).collect():
-            p = tuple(r.pattern or ())
+        for p, (stop, rest) in _cuts(narrow, {p: state[p] for p in open_}, per_bucket).items():
             _, after, size = state[p]
-            stop = tuple(r.stop) if r.stop else None
             steps[p].append((after, stop, size))
-            state[p] = (r.rest, stop, r.rest)
+            state[p] = (rest, stop, rest)
         open_ = {p for p in open_ if steps[p] and steps[p][-1][1] is not None and 100 * state[p][0] > parts[p][1]}
     left = [p for p in state if state[p][0]]
     if left:
         asked = spark.createDataFrame([(list(p), state[p][0], parts[p][0], steps[p]) for p in left], f"pp array<string>, want long, base long, rounds {_ROUNDS}")
+        asked = F.broadcast(asked) if len(left) <= 100_000 else asked
         fills = {tuple(r.pattern or ()): [tuple(o) for o in r.fill] for r in _fillers(narrow, asked, fill, most).collect()}
     rows = [(list(p), sizes[p[0]] if p else 0, targets[p[0]] if p else 0.0, base, steps[p], fills.get(p, [])) for p, (base, _) in parts.items()]
     return written(spark.createDataFrame(rows, f"pattern array<string>, source_size long, target double, base long, rounds {_ROUNDS}, fill array<{_O}>"), "mix-plan")
