@@ -149,6 +149,20 @@ def test_repairs_cost_the_least(spark, chunk):
         assert all(f"t{t}" in r.text for t in range(len(talks[r.conv_id])))
 
 
+def test_turns_without_numbers_are_cut_too(spark):
+    """Many rows of one turn number, or of none, go in chunks of their places; equal rows are kept."""
+    random.seed(9)
+    rows = [(c, t, random.choice(["user", "assistant", None]), random.choice(["x", "y", "long " * 300])) for c in (1, 2, None) for t in [None] * 70 + [3] * 50 + list(range(20))]
+    rows += [(5, t, "user", f"t{t}") for t in range(4)]
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "conv_id long, turn long, role string, text string, chunk int, place string").repartition(5)
+    small, whole = chat.repaired(df, chunk=8).cache(), chat.repaired(df, chunk=512).cache()
+    cost = lambda x: {r.conv_id: r.c for r in x.groupBy("conv_id").agg(F.sum("conversation_cost").alias("c")).collect()}
+    assert cost(small) == cost(whole) and small.where("turn IS NOT NULL OR action <> 'insert'").count() == len(rows)
+    assert small.groupBy("conv_id", "chunk").agg(F.count_if(F.col("action") != "insert").alias("n")).agg(F.max("n")).first()[0] <= 32
+    turns = lambda x: [(r.turn, r.text) for r in x.where("conv_id = 1 AND action <> 'insert'").orderBy("chunk", "place").collect()]
+    assert turns(small) == turns(whole)
+
+
 def test_odd_turns(spark):
     rows = [(1, 0, "user", "a <|im_end|> b"), (1, None, "assistant", None), (None, 1, "user", "x"), (None, 1, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -10,10 +10,15 @@ A conversation is cut into chunks of `chunk` turn numbers. A chunk's costs from
 every state to every state are a small matrix; the matrices of a conversation are
 combined to give each chunk its first and last state, and chunks are traced back
 on their own. So a conversation of any length is neither sorted nor held in one task.
+Where turn numbers are null or repeat, so that a chunk would hold more than `chunk` rows
+four times over, the rows of that conversation are sorted by ranges and counted, and
+chunks are of places in that order.
 
 Edge cases: null texts are empty; null or unknown roles are relabelled at a lower
 cost; a null turn number comes last; equal turn numbers are ordered by role and
-text; rows of a null conv_id are one conversation; no rows give no rows.
+text, repeated rows are turns of their own; rows of a null conv_id are one conversation;
+`<|im_` in a text becomes `< |im_`, so that it can't forge a turn; texts of any length
+stay whole; other columns are not read; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftcorpus.llm.common import shared_dir, table, written
@@ -143,14 +148,39 @@ def _opened(role: int, text: str, first: bool) -> str:
     return ("" if first else "<|im_end|>\n") + f"<|im_start|>{ROLES[role - 1]}\n{text}"
 
 
+def _numbered(rows: DataFrame, chunk: int) -> DataFrame:
+    """rows with chunk: of turn numbers, or of places in the conversation where one of them would be too large."""
+    rows = rows.withColumn("chunk", F.floor(F.coalesce("turn", F.lit((1 << 63) - 1)) / chunk))
+    long = rows.groupBy("conv_id", "chunk").count().where(F.col("count") > 4 * chunk).select(F.col("conv_id").alias("long")).distinct()
+    long = written(long, "long-chats")
+    if long.isEmpty():
+        return rows
+    same = F.col("conv_id").eqNullSafe(F.col("long"))
+    side = F.broadcast(long) if long.count() <= 100_000 else long
+    # equal rows are told apart by a number that is written before it is sorted by
+    theirs = written(rows.join(side, same, "left_semi").withColumn("nth", F.monotonically_increasing_id()), "long-rows")
+    order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text"), F.col("nth")]
+    ranged = theirs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
+    ranged = written(ranged, "long-sorted")
+    parts = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each conversation and range
+    shift = parts.select(F.col("conv_id").alias("own"), F.col("part").alias("at"), (before - F.col("first")).alias("shift"))
+    placed = ranged.join(shift, F.col("conv_id").eqNullSafe(F.col("own")) & (F.col("part") == F.col("at"))).withColumn("place", F.col("i") + F.col("shift"))
+    # places stand for turn numbers in the chunks' order; the turn itself stays
+    placed = placed.select("conv_id", "turn", "role", "text", F.floor(F.col("place") / chunk).alias("chunk"))
+    return rows.join(side, same, "left_anti").unionByName(placed)
+
+
 def repaired(turns: DataFrame, costs: Costs = Costs(), chunk: int = 512) -> DataFrame:
-    """A row for each piece of the repaired conversations, in the order of position:
-    conv_id, position, turn (null: inserted), action, role, text, rendered, conversation_cost
+    """A row for each piece of the repaired conversations, in the order of chunk and place:
+    conv_id, chunk, place, turn (null: inserted), action, role, text, rendered, conversation_cost
     (set in the last piece). Concatenating rendered gives a conversation's text."""
     shared_dir(turns.sparkSession)
     tables = _tables(costs)
     number = {r: i + 1 for i, r in enumerate(ROLES)}
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("chunk", F.floor(F.coalesce("turn", F.lit((1 << 63) - 1)) / chunk))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = _numbered(rows.withColumn("conv_id", F.col("conv_id").cast("long")), chunk)
     order = ["conv_id", "chunk", F.col("turn").asc_nulls_last(), "role", "text"]
 
     def groups(batches, columns, keys):
@@ -209,7 +239,6 @@ def repaired(turns: DataFrame, costs: Costs = Costs(), chunk: int = 512) -> Data
                 ["conv_id", "chunk", "place", "turn", "action", "role", "text", "rendered", "conversation_cost"],
             )
 
-    rows = rows.withColumn("conv_id", F.col("conv_id").cast("long"))
     sorted_ = rows.select("conv_id", "chunk", "turn", "role", "text").repartition("conv_id", "chunk").sortWithinPartitions(*order)
     chunks = sorted_.select("conv_id", "chunk", "turn", "role").mapInArrow(matrices, "conv_id long, chunk long, m array<long>")
     known = written(chunks.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(states, "conv_id long, chunk long, first long, last long, cost long, ends boolean"), "chat-states")
