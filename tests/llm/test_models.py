@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,53 @@ def test_no_documents_and_no_labels(spark, tables, empty, op, tmp_path):
     spark.read.parquet(f"{empty}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     out = op(spark, str(tmp_path))
     assert out.select(F.countDistinct("score")).first()[0] == 1
+
+
+def test_ranking_loss_and_slope():
+    """As sums over pairs state them, and the slope as differences of the loss."""
+    rng = np.random.default_rng(2)
+    z, w, ridge = rng.normal(size=(12, 5)), rng.normal(size=5), np.full(5, 0.1)
+    good, bad = rng.integers(0, 6, 40), rng.integers(6, 12, 40)
+    loss, slope = quality.pair_loss(w, z, good, bad, ridge)
+    plain = lambda w: sum(math.log(1 + math.exp(-(z[g] - z[b]) @ w)) for g, b in zip(good, bad)) / 40 + 0.05 * w @ w
+    assert loss == pytest.approx(plain(w))
+    assert slope == pytest.approx([(plain(w + d) - plain(w - d)) / 2e-6 for d in np.eye(5) * 1e-6], abs=1e-6)
+
+
+def test_cells_count_every_three_bytes():
+    assert quality.grams(b"") @ quality.grams(b"ab") == 0
+    raw = bytes(np.random.default_rng(0).integers(0, 256, 5000, dtype=np.uint8))
+    whole, parts = quality.grams(raw), quality.grams(raw, part=64)
+    assert np.array_equal(whole, parts) and (whole**2).sum() == pytest.approx(1)
+    assert round((whole**2 * 4998).sum()) == 4998
+
+
+def test_noisy_or_loss_falls_to_its_floor():
+    """The trained weights are a stationary point of the noisy-or likelihood, written plainly."""
+    rng = np.random.default_rng(1)
+
+    class Row:
+        def __init__(self, y):
+            self.y, self.n = y, 4
+            rows = [list(rng.choice(3, rng.integers(0, 3), replace=False) + (0 if y and k == 0 else 3)) for k in range(4)]
+            self.f = np.array([x for r in rows for x in r], np.int32).tobytes()
+            self.s = np.repeat(np.arange(4, dtype=np.int32), [len(r) for r in rows]).tobytes()
+            self.rows = rows
+
+    rows = [Row(i % 2) for i in range(60)]
+    kinds = np.arange(6, dtype=np.int32)
+    weights, b = toxicity.fit(rows, kinds, rounds=3000, rate=0.03, ridge=0.5)
+    w = weights[kinds].astype(float)
+
+    def loss(w, b):
+        total = 0.0
+        for r in rows:
+            clean = math.prod(1 - 1 / (1 + math.exp(-(b + sum(w[x] for x in s)))) for s in r.rows)
+            total -= math.log(max(1 - clean if r.y else clean, 1e-12)) / 60
+        return total + 0.5 * (w @ w) / 2 / 60
+
+    here = loss(w, b)
+    for d in np.eye(6) * 1e-3:
+        assert loss(w + d, b) > here - 1e-5 and loss(w - d, b) > here - 1e-5
+    assert loss(w, b + 1e-2) > here - 1e-4 and loss(w, b - 1e-2) > here - 1e-4
+    assert w[:3].min() > w[3:].max()
