@@ -4,6 +4,7 @@ views of Arrow text columns."""
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import zlib
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftcorpus.sources.shared import drop, shared_dir, small_batches, written
 
-__all__ = ["Bloom", "SPACE", "as_long", "bloom_of", "drop", "held_out", "mix64", "shared_dir", "small_batches", "table", "text_bytes", "trim", "worker_cache", "written"]
+__all__ = ["Bloom", "SPACE", "as_long", "bloom_of", "drop", "freed", "held_out", "mix64", "shared_dir", "small_batches", "table", "text_bytes", "trim", "worker_cache", "written"]
 
 #: ASCII white space, the only separators that the corpus operators know.
 SPACE = " \t\n\x0b\x0c\r"
@@ -27,6 +28,13 @@ def worker_cache(key, make):
     return store[key]
 
 
+def freed(spark: SparkSession) -> None:
+    """Has the driver's garbage collected: only then do the shuffle files of finished jobs go, which
+    Spark by itself may leave on the executors' disks for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def trim() -> None:
     """Gives freed memory of a worker back to the system; large arrays leave holes in its heap."""
     pa.default_memory_pool().release_unused()

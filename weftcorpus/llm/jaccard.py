@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import as_long, bloom_of, drop, mix64, shared_dir, table, text_bytes, trim, written
+from weftcorpus.llm.common import as_long, bloom_of, drop, freed, mix64, shared_dir, table, text_bytes, trim, written
 from weftcorpus.llm.components import components
 from weftcorpus.llm.shingles import shingle_sets, text_blocks
 
@@ -194,6 +194,7 @@ def _allowed(na, nb, apart, percent):
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that reach the threshold exactly. Only the sets of rows that pairs name are moved, and of those few others."""
     pairs = written(pairs, "pairs")
+    freed(docs.sparkSession)
     named = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     may = docs.sparkSession.sparkContext.broadcast(bloom_of(named, "v"))
 
@@ -276,12 +277,14 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataF
     classes = spark.sparkContext.broadcast(cell_classes(docs, bits, width))
     index = written(indexed(docs, classes, bits, width, percent), "shingle-index")
     groups = index.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    freed(spark)
     copies = written(groups.where("rep <> last").select("digest", "n", "rep"), "copies")
     # of equal sets only the smallest doc_id is indexed
     others = written(index.join(copies, ["digest", "n"]).where("doc_id <> rep").select("doc_id", "rep"), "copied")
     few = others.count() <= 1_000_000
     vertices = index.where("n > 0 AND doc_id IS NOT NULL").join(F.broadcast(others) if few else others, "doc_id", "left_anti").withColumnRenamed("doc_id", "v")
     postings = written(shared_keys(vertices.select(F.explode("keys").alias("key"), "v", "n"), percent), "postings")
+    freed(spark)
     stars = postings.where("leader <> v").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct()
     links = written(verified(bounded(stars, vertices, percent), docs, width, percent), "star-links")
     labels = written(components(links), "star-labels")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import as_long, bloom_of, drop, mix64, shared_dir, table, text_bytes, trim, worker_cache, written
+from weftcorpus.llm.common import as_long, bloom_of, drop, freed, mix64, shared_dir, table, text_bytes, trim, worker_cache, written
 from weftcorpus.llm.shingles import text_blocks
 
 LENGTH, GRAM = 100, 32
@@ -421,6 +421,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 1 << 19, most_contexts: int = 20_000, piece: int = 1 << (_PLACE_BITS - 1)) -> DataFrame:
     """(doc, s, e): ranges of starts whose string also starts earlier. docs: doc_id (not null), text."""
     found = written(compared(anchor_rows(docs, length, gram, piece=piece)), "anchors")
+    freed(docs.sparkSession)
     asked = found.where("kind = 2").select("h", "doc", "s", "e")
     many = written(asked.groupBy("h").count().where(F.col("count") > most_contexts).select("h"), "frequent")
     n_many = many.count()
