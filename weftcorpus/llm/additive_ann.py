@@ -228,7 +228,7 @@ def search(index: DataFrame, queries: DataFrame, codebooks: np.ndarray, k: int,
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
-def neighbours(rows: DataFrame, k: int = 20, every: int = 20, books: int = 8, words: int = 256, beam: int = 4, shortlist: int = 400, sample: int = 8192) -> DataFrame:
+def neighbours(rows: DataFrame, k: int = 20, every: int = 20, books: int = 8, words: int = 256, beam: int = 4, shortlist: int = 800, sample: int = 8192) -> DataFrame:
     """rows (id, embedding): the k nearest of every row whose id is divisible by `every`."""
     vectors = written(usable(rows.select(F.col("id").cast("long").alias("id"), "embedding")), "vectors")
     codebooks = train(vectors, books, words, sample)
