@@ -18,10 +18,11 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("ups"), F.max("root").alias("root")).where("ups > 1 OR (ups = 1 AND root = 1)").isEmpty()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(v, root) of every end of edges (a, b): root is the smallest vertex that v reaches."""
+def components(edges: DataFrame) -> DataFrame:
+    """(v, root) of every end of edges (a, b): root is the smallest vertex that v reaches. The number of
+    rounds grows with the square of the logarithm of a component's size."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         if _stars(now):
             return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select("v", F.col("v").alias("root")).distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,4 +33,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = written(small, "edges")
         drop(now)
         now = after
-    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

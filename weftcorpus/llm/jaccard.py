@@ -303,7 +303,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataF
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; null ids stay."""
+    """The rows of docs, all columns, whose doc_id is the smallest of its component; null ids stay. Rows
+    that share a doc_id are one document and stay or go together."""
     gone = written(near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     few = gone.count() <= 1_000_000
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
