@@ -2,7 +2,14 @@
 sources are mixed to their weights, and the rest is encoded.
 
 Each stage works on all that its predecessor kept. Mixing repeats the rows that
-it takes more than once. A null text is kept as an empty one by every stage.
+it takes more than once. The last stage gives the digests of each row's tokens.
+
+Edge cases: null and empty texts are no toxic ones; of all that are equal without
+white space one stays, which is a row like any other to the stages behind. Of equal
+texts the longest original stays, then the least id, null ids last. Rows that share
+an id are one document to the near-copies stage and rows of their own to the others;
+rows with a null id are never near copies. Columns beyond those of documents pass
+through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
