@@ -148,6 +148,18 @@ def test_signatures_bound_the_overlap():
         assert int(np.bitwise_count(x ^ y).sum()) <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """To the near-copies stage: unlike texts under one id stay or go together; columns of any name pass through."""
+    random.seed(6)
+    text = lambda: " ".join(random.choice("abcdefghijklmnop") * random.randrange(1, 5) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "x", 0), (2, a + " end", "y", 1), (2, b, "z", 2), (3, c, "z", 3), (3, c, "z", 4), (None, a, "w", 5), (4, None, "w", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string, root int")
+    out = jaccard.without_near_copies(df)
+    assert out.columns == df.columns
+    assert sorted((r.root for r in out.collect())) == [0, 3, 4, 5, 6]
+
+
 def test_near_groups_of_nothing(spark, empty):
     assert jaccard.op9(spark, empty).count() == 0
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftcorpus.llm import quality, toxicity
+from weftcorpus.llm.samples import labelled_sample
 
 
 def held_out_accuracy(spark, tables, out, label):
@@ -101,3 +102,15 @@ def test_noisy_or_loss_falls_to_its_floor():
         assert loss(w + d, b) > here - 1e-5 and loss(w - d, b) > here - 1e-5
     assert loss(w, b + 1e-2) > here - 1e-4 and loss(w, b - 1e-2) > here - 1e-4
     assert w[:3].min() > w[3:].max()
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """An id that is repeated without end counts once; held-out, null and contradicting rows as stated."""
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(30)] + [(1, "a")] * 50 + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, 1)] * 9 + [(2, None), (None, 1)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 5).collect()
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) == 10 and sorted(r.label for r in rows) == [0] * 5 + [1] * 5
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in ids)
+    every = {r.doc_id: r.text for r in labelled_sample(docs, labels, "toxic", 100).collect()}
+    assert None not in every and every.get(1, "a") == "a" and len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30))

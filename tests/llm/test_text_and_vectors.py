@@ -96,6 +96,13 @@ def test_few_vectors_and_groups_of_queries(spark):
     assert {r[:3] for r in once} == {r[:3] for r in grouped}
 
 
+def test_columns_of_any_name_and_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0], 3, "v"), (0, [1.0, 2.0], 3, "v"), (20, [2.0, 1.0], 4, "w"), (7, [1.0, 1.0], 5, "x")]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, ids int, vector string")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in additive_ann.neighbours(df).collect())
+    assert got == [(0, 1, 20, 4.0), (0, 2, 7, 3.0), (20, 1, 0, 4.0), (20, 2, 7, 3.0)]
+
+
 def test_beam_search_is_no_worse_than_greedy():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 12))
