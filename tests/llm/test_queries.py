@@ -7,7 +7,7 @@ from weftcorpus.llm import queries
 
 def test_every_operator_has_its_query():
     names = __spark_entry__.queries()
-    assert [k for k in names if re.match(r"op\d+_", k)] == [k for k in queries.QUERIES if k.startswith("op")] and {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES if k.startswith("op")} == set(range(1, 11))
+    assert [k for k in names if re.match(r"op\d+_", k)] == [k for k in queries.QUERIES if k.startswith("op")] and {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES if k.startswith("op")} == set(range(1, 14))
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftcorpus.llm import additive_ann, bpe, chat, html_extract, jaccard, lsm_dedup, mixing, oracles, quality, substrings, toxicity
+from weftcorpus.llm import additive_ann, bpe, chat, html_extract, jaccard, lloyd, lsm_dedup, mixing, norm_codes, oracles, packing, quality, substrings, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_exact_dedup": lsm_dedup.op10,
+    "op11_norm_codes": norm_codes.op11,
+    "op12_lloyd_clusters": lloyd.op12,
+    "op13_sequence_packing": packing.op13,
     "mix_targets": mixing.mix_targets,
 }
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op7_suffix_dedup": oracles.REPEATS,
     "op9_jaccard_join": oracles.NEAR_GROUPS,
     "op10_exact_dedup": lsm_dedup.ORACLE,
+    "op11_norm_codes": norm_codes.oracle(),
+    "op12_lloyd_clusters": lloyd.oracle(),
 }
