@@ -53,16 +53,17 @@ def test_sources_come_near_their_targets(spark, tables):
 
 
 def in_turn(rows, want, after, most):
-    """(stop, left) when documents are taken in their order, those of one order together."""
+    """(stop, rows of it that fit, left) when documents are taken in their order; those of one order together, unless they are of one size."""
     orders = {}
     for o, size in rows:
         if (after is None or o > after) and size <= most:
-            orders[o] = orders.get(o, 0) + size
+            orders.setdefault(o, []).append(size)
     for o in sorted(orders):
-        if orders[o] > want:
-            return o, want
-        want -= orders[o]
-    return None, want
+        if sum(orders[o]) > want:
+            fit = want // orders[o][0] if len(set(orders[o])) == 1 else 0
+            return o, fit, want - fit * orders[o][0]
+        want -= sum(orders[o])
+    return None, 0, want
 
 
 @pytest.mark.parametrize("leaf", [1, 10, 1000])
@@ -79,6 +80,31 @@ def test_cuts_are_those_of_a_scan(spark, leaf):
             assert mixing._cuts(df, state, leaf) == {(s,): in_turn(rows[s], want, after and after[s], most) for s in "xy"}
 
 
+def repeated(spark, parts=6):
+    rows = [(1, "x " * 10, "b")] * 1200 + [(10 + i, f"w{i} " * 1000, "b") for i in range(8)] + [(100 + i, f"v{i} " * 1000, "a") for i in range(20)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeated_rows_are_taken_one_by_one(spark, seed):
+    rows = repeated(spark)
+    m = mixing.measured(rows, F.array("source"), seed)
+    out = mixing.mixed(m, mixing.plan(m)).cache()
+    assert out.count() == rows.count() and out.where("taken > 3 * size OR taken < 0").count() == 0
+    for r in out.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect():
+        assert abs(r.n - r.t) <= (10 if r.source == "b" else 1000), r
+    whole = mixing.mix(rows, F.array("source"), seed).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+    want = {r.source: r.n for r in out.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert {r.source: r.n for r in whole} == want
+
+
+def test_equal_rows_without_an_id(spark):
+    rows = spark.createDataFrame([(None, "x y z", "a")] * 500 + [(i, "p q", "b") for i in range(100)], "doc_id long, text string, source string").repartition(5)
+    out = mixing.mixed(m := mixing.measured(rows, F.array("source"), 1), mixing.plan(m))
+    for r in out.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect():
+        assert abs(r.n - r.t) <= 3, r
+
+
 def test_many_buckets_give_the_same_totals(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
     m = mixing.measured(rows, F.array("source"), 1).drop("text").cache()

@@ -13,8 +13,10 @@ driver, for each of the sources' combinations and whatever the number of documen
 The seeded order is never sorted: sums of ranges find where a cut falls, and the
 range is divided until a few documents are left.
 
-Edge cases: null and empty texts have size 0; a null source is a source; rows
-that agree in everything are taken or left together; without words all is 0.
+Edge cases: null and empty texts have size 0; a null source is a source; of rows that
+agree in everything as many are taken as are needed, whichever; an empty table gives an
+empty result, one without words takes nothing; very long texts are documents like others,
+whose size a source's target may miss by; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -135,6 +137,7 @@ def _order():
 
 
 _O = "struct<u:bigint,id:bigint,tie:bigint>"
+_SOME = f"array<struct<o:{_O},n:bigint>>"
 _ROUNDS = f"array<struct<after:{_O},stop:{_O},most_size:bigint>>"
 
 
@@ -146,7 +149,8 @@ def _asked(narrow: DataFrame, rows: list[tuple], kind: str) -> DataFrame:
 
 def _cuts(narrow: DataFrame, state: dict[tuple, tuple], leaf: int) -> dict[tuple, tuple]:
     """For each pattern of state (want, after, most_size): stop, the first order whose documents no longer
-    fit when those behind `after` of at most most_size are taken in turn (None: all fit), and what is left.
+    fit when those behind `after` of at most most_size are taken in turn (None: all fit), how many of the
+    equal rows of that order still fit, and what is left.
 
     Sums of 256 ranges of the order find the one that the cut falls into, which is divided in
     turn until `leaf` documents at most are in it; the order is never sorted, not even a part of it."""
@@ -175,16 +179,17 @@ def _cuts(narrow: DataFrame, state: dict[tuple, tuple], leaf: int) -> dict[tuple
                     break
                 want -= words
             else:
-                out[p] = None, want
+                out[p] = None, 0, want
         if last:
             few = _asked(rows.drop("pp", "o"), [(list(p), b) for p, (_, _, b) in last.items()], "pp array<string>, cut long").where("b = cut")
             orders = defaultdict(list)
-            for r in few.groupBy("pp", "o").agg(F.sum("size").alias("words")).collect():
-                orders[tuple(r.pp)].append((tuple(r.o), r.words))
+            for r in few.groupBy("pp", "o").agg(F.sum("size").alias("words"), F.min("size").alias("least"), F.max("size").alias("size")).collect():
+                # only rows of one size can be taken by number
+                orders[tuple(r.pp)].append((tuple(r.o), r.words, r.size if r.size == r.least else r.words))
             for p, (want, _, _) in last.items():
-                for o, words in sorted(orders[p]):
+                for o, words, size in sorted(orders[p]):
                     if words > want:
-                        out[p] = o, want
+                        out[p] = o, want // size, want % size
                         break
                     want -= words
         open_ = after
@@ -197,10 +202,11 @@ def _inside(o):
 
 
 def _fillers(narrow: DataFrame, state: DataFrame, each: int, most: int) -> DataFrame:
-    """For each pattern of state (pp, want, base, rounds) the orders of documents that fill what is left:
-    larger ones first, of the first `each` of every doubling of size (a bounded choice, whatever the
+    """For each pattern of state (pp, want, base, rounds, part) the orders of documents that fill what is left, one
+    row of each: larger ones first, of the first `each` of every doubling of size (a bounded choice, whatever the
     pattern's size), those not taken yet before others; or the one document just too large, if that comes nearer."""
     rows = narrow.where("size > 0").withColumn("o", _order()).join(state, F.col("pattern").eqNullSafe(F.col("pp")))
+    rows = rows.where(~F.exists("part", lambda x: x["o"] == F.col("o")))
     rows = rows.withColumn("again", _inside(F.col("o")).cast("int")).where(F.col("base") + F.col("again") < most).withColumn("place", F.struct("again", "o"))
     kind = F.floor(F.log2("size"))
     # the first of each share of a size's documents, then the first of those
@@ -221,7 +227,8 @@ def _fillers(narrow: DataFrame, state: DataFrame, each: int, most: int) -> DataF
 
 def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, per_bucket: int = 200, rounds: int = 6, fill: int = 4) -> DataFrame:
     """One row for each pattern: source_size, target (of its first source), base copies, and which documents
-    are taken once more: those of any round (behind `after`, before `stop`, of at most most_size) and those of fill.
+    are taken once more: those of any round (behind `after`, before `stop`, of at most most_size), all rows of the
+    orders in whole, and so many of the equal rows of each order in part.
     narrow: pattern, size, u, doc_id, tie. A pattern takes another round only while one document that
     didn't fit leaves more open than a hundredth of its flow."""
     spark = narrow.sparkSession
@@ -236,33 +243,68 @@ def plan(narrow: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, per_bucket
     taken = route(patterns, targets, most)
     parts = {p: divmod(taken[p], words) if words else (0, 0) for p, words in patterns.items()}
     state = {p: (extra, None, extra) for p, (_, extra) in parts.items() if extra}
-    steps, fills, open_ = {p: [] for p in parts}, {}, set(state)
+    steps, some, open_ = {p: [] for p in parts}, {p: {} for p in parts}, set(state)
     for _ in range(rounds):
         if not open_:
             break
-        for p, (stop, rest) in _cuts(narrow, {p: state[p] for p in open_}, per_bucket).items():
+        for p, (stop, fit, rest) in _cuts(narrow, {p: state[p] for p in open_}, per_bucket).items():
             _, after, size = state[p]
             steps[p].append((after, stop, size))
+            if fit:
+                some[p][stop] = fit
             state[p] = (rest, stop, rest)
         open_ = {p for p in open_ if steps[p] and steps[p][-1][1] is not None and 100 * state[p][0] > parts[p][1]}
     left = [p for p in state if state[p][0]]
     if left:
-        asked = spark.createDataFrame([(list(p), state[p][0], parts[p][0], steps[p]) for p in left], f"pp array<string>, want long, base long, rounds {_ROUNDS}")
+        asked = spark.createDataFrame([(list(p), state[p][0], parts[p][0], steps[p], list(some[p].items())) for p in left], f"pp array<string>, want long, base long, rounds {_ROUNDS}, part {_SOME}")
         asked = F.broadcast(asked) if len(left) <= 100_000 else asked
-        fills = {tuple(r.pattern or ()): [tuple(o) for o in r.fill] for r in _fillers(narrow, asked, fill, most).collect()}
-    rows = [(list(p), sizes[p[0]] if p else 0, targets[p[0]] if p else 0.0, base, steps[p], fills.get(p, [])) for p, (base, _) in parts.items()]
-    return written(spark.createDataFrame(rows, f"pattern array<string>, source_size long, target double, base long, rounds {_ROUNDS}, fill array<{_O}>"), "mix-plan")
+        for r in _fillers(narrow, asked, fill, most).collect():
+            some[tuple(r.pattern or ())].update((tuple(o), 1) for o in r.fill)
+    # an order of which all rows are taken needs no count of them
+    every = {(p, r.o) for p, r in _rows_of(narrow, some) if r.n <= some[p][tuple(r.o)]}
+    rows = []
+    for i, (p, (base, _)) in enumerate(parts.items()):
+        whole, part = [], []
+        for o, n in some[p].items():
+            (whole if (p, o) in every else part).append((o, n))
+        rows.append((i, list(p), sizes[p[0]] if p else 0, targets[p[0]] if p else 0.0, base, steps[p], [o for o, _ in whole], part))
+    return written(spark.createDataFrame(rows, f"pid long, pattern array<string>, source_size long, target double, base long, rounds {_ROUNDS}, whole array<{_O}>, part {_SOME}"), "mix-plan")
+
+
+def _rows_of(narrow: DataFrame, some: dict[tuple, dict]) -> list[tuple]:
+    """(pattern, row with o and n) for the orders in some: how many rows have each. A few orders for each pattern."""
+    asked = [(list(p), [o for o in own]) for p, own in some.items() if own]
+    if not asked:
+        return []
+    rows = _asked(narrow, asked, f"pp array<string>, os array<{_O}>").where(F.array_contains("os", F.col("o")))
+    return [(tuple(r.pp or ()), r) for r in rows.groupBy("pp", "o").agg(F.count("*").alias("n")).collect()]
 
 
 def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs (as from measured()) with source_size, target, copies and taken; no shuffle of docs."""
-    small = plan.count() <= 100_000
+    """docs (as from measured()) with source_size, target, copies and taken. Only equal rows of which some are
+    taken once more and some aren't are shuffled, to be counted; docs aren't."""
+    small, counted = plan.count() <= 100_000, not plan.where(F.size("part") > 0).isEmpty()
     p = plan.withColumnRenamed("pattern", "pp")
     p = F.broadcast(p) if small else p
     o = _order()
-    more = _inside(o).cast("long") + F.array_contains("fill", o).cast("long")
     out = docs.join(p, F.col("pattern").eqNullSafe(F.col("pp")))
-    return out.withColumn("copies", F.col("base") + more).withColumn("taken", F.col("copies") * F.col("size")).drop("pp", "base", "rounds", "fill")
+    out = out.withColumn("more", _inside(o).cast("long") + F.array_contains("whole", o).cast("long"))
+    if counted:
+        place = F.array_position(F.transform("part", lambda x: x["o"]), o)
+        few = _numbered(out.where(place > 0).withColumn("place", place))
+        few = few.withColumn("more", F.col("more") + (F.col("number") <= F.get("part", F.col("place").cast("int") - 1)["n"]).cast("long"))
+        out = out.where(place == 0).unionByName(few.select(out.columns))
+    return out.withColumn("copies", F.col("base") + F.col("more")).withColumn("taken", F.col("copies") * F.col("size")).drop("pid", "pp", "base", "rounds", "whole", "part", "more")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with number, from 1, among those of the same (pid, place): counted within partitions, then added up over them."""
+    rows = written(rows.withColumn("own", F.spark_partition_id()), "mix-equal")
+    counts = rows.groupBy("pid", "place", "own").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("pid", "place").orderBy("own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("pid", "place", "own").orderBy(F.lit(0)))
+    both = rows.withColumn("within", within).join(counts.select("pid", "place", "own", before.alias("before")), ["pid", "place", "own"])
+    return both.withColumn("number", F.col("before") + F.col("within"))
 
 
 def mix(docs: DataFrame, memberships, seed: int = 17) -> DataFrame:
