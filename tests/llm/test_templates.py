@@ -127,3 +127,25 @@ def test_no_pages_and_odd_columns(spark):
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in html_extract.main_text(df).collect())
     assert got == [("1", "", 0), ("2", "", 0), ("2", "", 0), ("None", "a b", 3)]
     assert html_extract.main_text(df.where(F.lit(False))).count() == 0
+
+
+def test_names_that_merely_have_a_listed_word():
+    text = lambda page: html_extract.extract(html_extract.parse(page))
+    kept = [("section", "id", "search-engines"), ("table", "class", "market-share"), ("section", "class", "ad-hoc-networks"), ("div", "class", "menu-of-the-day"), ("div", "class", "hidden-gems"), ("section", "id", "reply-to-critics"), ("div", "class", "product-promotion-history"), ("section", "id", "discussion")]
+    for tag, kind, name in kept:
+        inner = "<tr><td>words of it</td></tr>" if tag == "table" else "<p>words of it</p>"
+        assert text(f'<article><p>a</p><{tag} {kind}="{name}">{inner}</{tag}><p>b</p></article>') == "a words of it b", name
+    gone = ["ad", "ads", "ad-slot", "cookie-notice", "cookie_banner", "share-buttons", "user-comments", "comments-section", "comment-list", "related-posts", "newsletter-signup", "sidebar", "sidebar-left", "site-header", "page-footer", "main-menu", "breadcrumbs", "promo", "notice", "search-box", "article-comments", "ad-3"]
+    for name in gone:
+        assert text(f'<article><p>a</p><div class="x {name}"><p>words of it</p></div><p>b</p></article>') == "a b", name
+    for name in ("article-header", "post-footer-notes", "entry-header"):
+        assert text(f'<article><div class="{name}">t</div><p>a</p></article>') == "t a", name
+    assert text('<article><p>a</p><p style="display: none">b</p><span aria-hidden="true">c</span></article>') == "a b c"
+    assert text('<body><p>a</p><p style="display: none">b</p></body>') == "a"
+    assert text('<main><article class="comment">x</article><article class="commentary">y</article></main>') == "y"
+
+
+def test_lists_of_links():
+    text = lambda page: html_extract.extract(html_extract.parse(page))
+    links = "".join(f'<li><a href="/{i}">link {i}</a></li>' for i in range(3))
+    assert text(f"<body><ul>{links}</ul><h1>Title</h1><ul>{links}</ul><p>The first prose of this page.</p><ul>{links}</ul></body>") == "Title The first prose of this page. link 0 link 1 link 2"

@@ -6,14 +6,18 @@ furniture included. Nodes that are constant over more than half of the pages are
 template, the slots whose text varies are content. At least three of these pages must
 be no near copies of each other, so that copies don't make a text constant. Elements
 whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form
-or comments are no content, also where a host has too few pages to compare; if a page
-marks its article, only that is read.
+or comments are no content, also where a host has too few pages to compare. A name says
+so if it is such a word or consists of such words and of words for parts of a page
+("cookie-notice", "share-buttons"), not if it merely has one ("search-engines"). If a page
+marks its article, only that is read; elsewhere what is hidden from view is no content
+either, and neither is a list of links ahead of the first prose.
 
 Counts are aggregated before they are shuffled by host, layout and node, so a host
 with a third of all pages is never gathered; its pages stay where they are.
 
-Edge cases: null html has no text; pages without a host or with unlike pages only
-use roles alone; markup that is cut off ends where the page ends, and of an element
+Edge cases: null html has no text; an empty table gives an empty result; of pages that are
+equally good pivots the one of the least content hash counts; pages without a host or with
+unlike pages only use roles and names alone; markup that is cut off ends where the page ends, and of an element
 whose end is missing the text stays; pages of any depth and width are read whole, an
 unmatched end costs no search; repeated rows give repeated rows; other columns are not
 read. White space is Unicode's, so a no-break space counts as a space too.
@@ -42,13 +46,18 @@ _CHROME_TAGS = frozenset("head nav header footer aside form button dialog menu n
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CHROME_NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead sidebar aside widget widgets ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored "
-    "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus discussion "
+    "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus "
     "related recommended recommendations pagination pager toolbar search searchbox copyright skip hidden".split()
 )
 #: Elements that hold prose: what a part of their name or their id says is no ground to drop them.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption math dl dt dd".split())
 _EDGE_NAMES = frozenset("header footer topbar bottombar".split())
 _OWN_NAMES = frozenset("article post entry story content main body".split())
+#: What names of page parts are made of besides: places, shapes and things on a page.
+_PART_NAMES = frozenset(
+    "area bar bars block blocks body bottom box btn button buttons center col column component container content desktop entry field fixed float foot form global group head icon icons info inner input item items js label layer left "
+    "link links list lists main message mobile module msg outer page pages panel policy post posts primary reader readers region right row secondary section sections site slot slots sticky story stories text thread title top unit user users wrap wrapper zone article articles".split()
+)
 _CLOSES = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot", "thead"]),
@@ -72,25 +81,33 @@ class Node:
         self.tag, self.names, self.chrome, self.text, self.children, self.classes = tag, names, chrome, text, [], classes
 
 
-def _is_chrome(tag: str, raw: str) -> tuple[bool, str]:
-    """Whether an element is page furniture by its tag or attributes; its role for finding the main part."""
+@lru_cache(4096)
+def _furniture(name: str) -> bool:
+    """Whether a class or an id names a part of the page that is no content."""
+    parts = [p for p in re.split(r"[-_:]+", name) if p and not p.isdigit()]
+    if not all(p in _CHROME_NAMES or p in _EDGE_NAMES or p in _PART_NAMES for p in parts):
+        return False
+    return any(p in _CHROME_NAMES for p in parts) or any(p in _EDGE_NAMES for p in parts) and not any(p in _OWN_NAMES for p in parts)
+
+
+def _is_chrome(tag: str, raw: str, inside: bool = False) -> tuple[bool, str]:
+    """Whether an element is page furniture by its tag or attributes; its role for finding the main part. inside: an article."""
     if not raw or raw.isspace():
         return tag in _CHROME_TAGS, ""
     attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
     role = attrs.get("role", "").lower()
-    if tag in _CHROME_TAGS or role in _CHROME_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+    if tag in _CHROME_TAGS or role in _CHROME_ROLES:
+        return True, role
+    if not inside and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""))):
         return True, role
+    names = attrs.get("class", "").lower().split()
     if tag in _PROSE:
-        return any(name in _CHROME_NAMES for name in attrs.get("class", "").lower().split()), role
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        parts = re.split(r"[-_:]+", name)
-        if tag in ("html", "body", "article", "main"):
-            # such an element is named after what it is: only a single word counts
-            if tag == "article" and any(p in ("comment", "comments", "reply", "ad", "advert", "sponsored", "promo") for p in parts):
-                return True, role
-        elif any(p in _CHROME_NAMES for p in parts) or any(p in _EDGE_NAMES for p in parts) and not any(p in _OWN_NAMES for p in parts):
-            return True, role
-    return False, role
+        return any(name in _CHROME_NAMES for name in names), role
+    names += attrs.get("id", "").lower().split()
+    if tag in ("html", "body", "article", "main"):
+        # such an element is named after what it is: only an article that is a comment or an advert goes
+        return tag == "article" and any(re.match(r"(comment|comments|reply|ad|advert|sponsored|promo)\b", name) and _furniture(name) for name in names), role
+    return any(map(_furniture, names)), role
 
 
 def parse(page: str) -> Node:
@@ -134,7 +151,7 @@ def parse(page: str) -> Node:
                 i = 0
             if i == 0:
                 break
-        chrome, role = _is_chrome(tag, raw)
+        chrome, role = _is_chrome(tag, raw, open_["article"] > 0)
         if tag == "header" and open_["article"]:
             chrome = False  # an article's own header has its title
         named = _CLASS.search(raw) if tag in _CONTAINERS else None
@@ -272,21 +289,24 @@ def alike(a: frozenset[int], b: frozenset[int], size: int = 64) -> bool:
     return 5 * sum(x in a and x in b for x in least) >= 4 * len(least)
 
 
-def _link_lists(parts: list[Node]) -> set[int]:
-    """The ids of the elements that hold three links or more and no other text."""
-    out, todo, sums = set(), [(x, False) for x in parts], {}
+def _link_lists(parts: list[Node], prose: int = 5) -> set[int]:
+    """The ids of the elements ahead of the first prose (a text of so many words that is no link) that hold three links
+    or more and no other text: menus. A list of links further down is content unless the host's pages say otherwise."""
+    out, todo, sums, begun = set(), [(x, False, False) for x in reversed(parts)], {}, False
     while todo:
-        x, ready = todo.pop()
+        x, ready, linked = todo.pop()
         if x.text is not None:
-            sums[id(x)] = 0, len(x.text.strip(" \t\r\n|>/»·•-"))
-        elif x.tag == "a":
-            sums[id(x)] = 1, 0
+            words = x.text.strip(" \t\r\n|>/»·•-")
+            sums[id(x)] = 0, 0 if linked else len(words)
+            begun = begun or not linked and len(words.split()) >= prose
         elif not ready:
-            todo.append((x, True))
-            todo.extend((c, False) for c in x.children)
+            if not x.chrome:
+                todo.append((x, True, linked))
+                todo.extend((c, False, linked or x.tag == "a") for c in reversed(x.children))
         else:
-            links, loose = sums[id(x)] = tuple(map(sum, zip((0, 0), *(sums.pop(id(c)) for c in x.children))))
-            if links >= 3 and not loose:
+            links, loose = tuple(map(sum, zip((0, 0), *(sums.pop(id(c), (0, 0)) for c in x.children))))
+            sums[id(x)] = links + (x.tag == "a"), loose
+            if links >= 3 and not loose and not begun:
                 out.add(id(x))
     return out
 
