@@ -47,6 +47,33 @@ def test_a_dropped_row_drops_nothing(spark):
         assert sorted(r.row_id for r in Fixed().dedup(df).collect()) == greedy(table)
 
 
+class Listed(MinHashDeduplicator):
+    """Rows whose bands are listed."""
+
+    def bands(self, df):
+        return df.select(F.col("row_id").alias("row"), F.explode("bands").alias("hash")).select("row", F.lit(0).alias("band"), "hash")
+
+
+def test_ranges_give_the_loops_answer(spark):
+    random.seed(8)
+    for size in (1, 7, 40, 10_000):
+        table = {i: {random.randrange(60) for _ in range(random.randrange(1, 4))} | ({99} if i % 3 == 0 else set()) for i in range(150)}
+        df = spark.createDataFrame([(i, "t", sorted(b)) for i, b in table.items()], "row_id long, text string, bands array<long>").repartition(5)
+        assert sorted(r.row_id for r in Listed(range_rows=size).dedup(df).collect()) == greedy(table)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    from weftcorpus.operators import dedup
+
+    rounds = []
+    monkeypatch.setattr(dedup, "written", lambda df, name, real=dedup.written: rounds.append(name) or real(df, name))
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.lit("t").alias("text"), F.array(F.col("id"), F.col("id") + 1).alias("bands"))
+    kept = Listed(range_rows=50_000).dedup(df)
+    assert kept.count() == n // 2 and kept.where("row_id % 2 = 1").count() == 0
+    assert rounds.count("kept") <= 6
+
+
 def test_dedup_of_copies_empty_and_missing_texts(spark):
     t = "这款手机屏幕很大，电池也耐用，拍照清晰，适合长辈使用。"
     rows = [(1, t, None, None), (2, t, None, None), (3, "", "问", t), (4, None, None, None), (5, " ", None, None), (6, "完全不同的一句话，讲的是另一件事情。", None, None), (7, t + "！", None, None)]

@@ -50,6 +50,16 @@ class ErrorBucketing:
     def stats(self, df: DataFrame, *by: str) -> DataFrame:
         return self.bucket(df).groupBy(*by).agg(F.count("*").alias("total"), *self.summary_columns())
 
+    def matrix(self, df: DataFrame, by: str = "model") -> DataFrame:
+        """Errors by group and kind at all levels, from one scan: by, error_type (null where a level has all of them), level
+        (grouping_id: 0 a group's kind, 1 a group, 2 a kind, 3 all), n (errors; rows without one count as no_error)
+        and share, of the group at level 0, of all groups or kinds at levels 1 and 2."""
+        kinds = F.when(F.size("error_types") > 0, F.col("error_types")).otherwise(F.array(F.lit(rules.NO_ERROR)))
+        every = self.bucket(df).select(F.col(by), F.explode(kinds).alias("error_type")).cube(by, "error_type").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
+        # the cube has a row for each group and kind: its windows are small
+        whole = F.sum("n").over(Window.partitionBy("level", F.when(F.col("level") == 0, F.struct(by))))
+        return every.select(by, "error_type", "level", "n", T.safe_ratio(F.col("n"), whole).alias("share"))
+
     def examples(self, df: DataFrame, most: int = 3) -> DataFrame:
         """The first rows of each primary bucket, responses cut to 200 characters."""
         q = T.text(self.question_field) if self.question_field in df.columns else F.lit("")

@@ -3,11 +3,11 @@
 A row goes if it shares a band with an earlier row that stays; rows that went
 count no more. That is the lexicographically first independent set of the
 collision graph. It is found in rounds over (row, band) memberships, never over
-pairs: a row that is the earliest open row of all its bands stays, and rows
-that share a band with it go. A band of a third of all rows is one group of a
-count, not a square of pairs. Each round is distributed; a long chain of rows takes
-as many rounds as it has links, until the rest is small enough for one task, which
-goes through it in order.
+pairs. A round deals the open rows to ranges of bounded size; each range goes
+through its rows in order and decides all that don't hang on an open row of an
+earlier range, then rows that share a band with one that stays go, whatever their
+range. So a chain of rows takes as many rounds as it crosses ranges, not as it has
+links, and a band of a third of all rows is settled by its first row at once.
 """
 
 from __future__ import annotations
@@ -58,6 +58,38 @@ def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _in_order(batches):
+    """The memberships of the rows of a range, in order, that certainly stay. batches: row, bucket, first (the bucket's
+    earliest open row, of whatever range), sorted by row."""
+    start, at, own, open_before = None, None, [], False
+    kept, waiting, out = set(), set(), []
+
+    def close():
+        # a row goes with a bucket of one that stays; it waits with a bucket of one that waits
+        if not kept.isdisjoint(own):
+            return
+        if open_before or not waiting.isdisjoint(own):
+            waiting.update(own)
+        else:
+            kept.update(own)
+            out.extend((at, b) for b in own)
+
+    for batch in batches:
+        for row, bucket, first in zip(*(c.to_pylist() for c in batch.columns)):
+            if row != at:
+                if own:
+                    close()
+                start = row if start is None else start
+                at, own, open_before = row, [], False
+            own.append(bucket)
+            open_before = open_before or first < start
+    if own:
+        close()
+    for i in range(0, max(len(out), 1), 50_000):
+        rows, buckets = zip(*out[i : i + 50_000]) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(buckets, pa.int64())], ["row", "bucket"])
+
+
 @dataclass(frozen=True)
 class MinHashDeduplicator:
     num_perm: int = 128
@@ -69,8 +101,8 @@ class MinHashDeduplicator:
     response_field: str = "response"
     verify: bool = False
     seed: int = 1
-    #: Up to so many open memberships the rest is settled in one task, in order.
-    last_rows: int = 400_000
+    #: So many open memberships go through one task of a round, in order.
+    range_rows: int = 100_000
 
     MIX = 0xD6E8FEB86659FD93
     GRAM = 0x9E3779B97F4A7C15
@@ -117,18 +149,19 @@ class MinHashDeduplicator:
         drop(every)
         gone = []
         while n := open_.count():
-            if n <= self.last_rows and not self.verify:
-                gone.append(written(self._settled(open_), "goes"))
-                break
-            # the earliest open row of each bucket; a row that is that in all its buckets stays
             first = open_.groupBy("bucket").agg(F.min("row").alias("first"))
             at = open_.join(first, "bucket")
-            stays = at.groupBy("row").agg(F.bool_and(F.col("row") == F.col("first")).alias("stays")).where("stays").select(F.col("row").alias("kept"))
-            kept = written(open_.join(stays, F.col("row") == F.col("kept"), "left_semi"), "kept")
-            pairs = open_.join(kept.select("bucket", F.col("row").alias("kept")), "bucket").where("row > kept").select("row", "kept").distinct()
             if self.verify:
-                pairs = self._similar(df, pairs)
-            goes = written(pairs.select("row").distinct(), "goes")
+                # the earliest open row of each bucket; a row that is that in all its buckets stays
+                stays = at.groupBy("row").agg(F.bool_and(F.col("row") == F.col("first")).alias("stays")).where("stays").select(F.col("row").alias("kept"))
+                kept = written(open_.join(stays, F.col("row") == F.col("kept"), "left_semi").select("row", "bucket"), "kept")
+            else:
+                ranges = at.select("row", "bucket", "first").repartitionByRange(-(-n // self.range_rows), "row").sortWithinPartitions("row")
+                kept = written(ranges.mapInArrow(_in_order, "row long, bucket long"), "kept")
+            behind = open_.join(kept.select("bucket", F.col("row").alias("kept")), "bucket").where("row > kept")
+            if self.verify:
+                behind = self._similar(df, behind.select("row", "kept").distinct())
+            goes = written(behind.select("row").distinct(), "goes")
             rest = open_.join(goes, "row", "left_anti").join(kept.select("row").distinct(), "row", "left_anti")
             after = written(rest.select("bucket", "row"), "bands")
             drop(open_, kept)
@@ -139,32 +172,6 @@ class MinHashDeduplicator:
             out = out.unionByName(g)
         return out.distinct()
 
-    @staticmethod
-    def _settled(open_: DataFrame) -> DataFrame:
-        """The rows that go of a bounded number of memberships, in one task and one pass in the rows' order."""
-
-        def run(batches):
-            seen, at, own, out = set(), None, [], []
-
-            def close():
-                if seen.isdisjoint(own):
-                    seen.update(own)
-                else:
-                    out.append(at)
-
-            for batch in batches:
-                for row, bucket in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if row != at:
-                        if own:
-                            close()
-                        at, own = row, []
-                    own.append(bucket)
-            if own:
-                close()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["row"])
-
-        return open_.select("row", "bucket").repartition(1).sortWithinPartitions("row").mapInArrow(run, "row long")
-
     def _similar(self, df: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs whose n-gram sets have a Jaccard similarity of threshold or more."""
         sets = df.select(F.col(self.id_field).cast("long").alias("i"), T.shingles(self.text(df), self.ngram_size).alias("g"))

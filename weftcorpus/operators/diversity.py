@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftcorpus.functions import rules
 from weftcorpus.functions import text as T
+from weftcorpus.functions.segment import word_ngrams
 from weftcorpus.sources.shared import written
 
 
@@ -24,24 +25,43 @@ def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return left.join(right, list(by), "left") if by else left.crossJoin(right)
 
 
-def _near(n_by: int, threshold: float):
-    """Of rows (by..., k, pa, wa, pb, wb) those whose sparse vectors (ascending places, weights) have a cosine of threshold or more."""
-
-    def flat(places, weights):
-        lengths = places.value_lengths().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-        return (row << 32) | places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), weights.flatten().to_numpy(zero_copy_only=False)
-
-    def run(batches):
-        for batch in batches:
-            pa_, wa, pb, wb = (batch.column(n_by + 1 + i) for i in range(4))
-            (ka, wa), (kb, wb) = flat(pa_, wa), flat(pb, wb)
-            shared, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-            cosine = np.bincount(shared >> 32, wa[ia] * wb[ib], minlength=batch.num_rows)
-            hit = pa.array(cosine >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(hit) for i in range(n_by + 1)], batch.schema.names[: n_by + 1])
-
-    return run
+class _Tile:
+    """The vectors of a tile, from its Arrow rows: copies of each; row, term, weight and place of each entry; which are in a prefix."""
+
+    def __init__(self, rows: pa.StructArray):
+        lists = rows.field("terms")
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.copies = rows.field("copies").to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(len(lengths)), lengths)
+        self.term = lists.flatten().to_numpy(zero_copy_only=False)
+        self.weight = rows.field("weights").flatten().to_numpy(zero_copy_only=False)
+        place = np.arange(len(self.row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.listed = place < rows.field("prefix").to_numpy(zero_copy_only=False)[self.row]
+
+    def matrix(self, columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.copies), len(columns)))
+        out[self.row, np.searchsorted(columns, self.term)] = self.weight
+        return out
+
+    def prefixes(self, columns: np.ndarray) -> np.ndarray:
+        """1 for each of these terms that is in a vector's prefix."""
+        out = np.zeros((len(self.copies), len(columns)), np.float32)
+        own = self.listed & (self.term <= columns[-1])
+        out[self.row[own], np.searchsorted(columns, self.term[own])] = 1
+        return out
+
+
+def _alike(term: int, lo: _Tile, hi: _Tile, same: bool, threshold: float) -> int:
+    """How many pairs of responses (one of a class of lo, one of a class of hi) have a cosine of threshold or more and share `term`,
+    but no rarer term, in their prefixes. Terms are numbered from the rarest on."""
+    columns = np.unique(np.concatenate([lo.term, hi.term]))
+    hit = lo.matrix(columns) @ hi.matrix(columns).T >= threshold
+    if same:
+        hit &= np.arange(hit.shape[0])[:, None] < np.arange(hit.shape[1])[None, :]
+    rarer = columns[columns < term]
+    if len(rarer) and hit.any():
+        hit &= lo.prefixes(rarer) @ hi.prefixes(rarer).T == 0
+    return int(lo.copies @ hit @ hi.copies)
 
 
 @dataclass(frozen=True)
@@ -53,6 +73,10 @@ class TemplateRateEvaluator:
     response_field: str = "response"
     id_field: str = "row_id"
     max_features: int = 5000
+    #: So many responses of a term are multiplied out at once.
+    tile: int = 512
+    #: From a column of texts to their words (arrays); characters where none is given.
+    words: Callable[[Column], Column] | None = None
 
     def responses(self, df: DataFrame, *by: str) -> DataFrame:
         return df.where(T.text(self.response_field) != "").select(*by, F.col(self.id_field).alias("_id"), F.col(self.response_field).alias("_r"))
@@ -60,7 +84,12 @@ class TemplateRateEvaluator:
     def ngrams(self, df: DataFrame, *by: str) -> DataFrame:
         """For each size: n_grams, n_distinct and n_repeated (occurrences of grams that occur more than once)."""
         r = self.responses(df, *by)
-        sized = lambda n: F.transform(T.char_ngrams(T.tokens(F.col("_r")), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+        if self.words:
+            r = r.withColumn("_w", self.words(T.tokens(F.col("_r"))))
+            grams = lambda n: F.transform(word_ngrams(F.col("_w"), n), lambda g: F.array_join(g, "\x01"))
+        else:
+            grams = lambda n: T.char_ngrams(T.tokens(F.col("_r")), n)
+        sized = lambda n: F.transform(grams(n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
         every = F.concat(*map(sized, self.ngram_sizes))
         counts = r.select(*by, F.explode(every).alias("g")).groupBy(*by, "g.n", "g.gram").agg(F.count("*").alias("c"))
         return counts.groupBy(*by, "n").agg(F.sum("c").alias("n_grams"), F.count("*").alias("n_distinct"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("n_repeated"))
@@ -84,35 +113,59 @@ class TemplateRateEvaluator:
         grams = F.explode(F.concat(T.char_ngrams(spaced, 2), T.char_ngrams(spaced, 3)))
         tf = classes.select(*by, "class", "copies", grams.alias("term")).groupBy(*by, "class", "copies", "term").agg(F.count("*").alias("tf"))
         totals = tf.groupBy(*by, "term").agg(F.sum(F.col("tf") * F.col("copies")).alias("total"), F.sum("copies").alias("df"))
-        most = totals if by else totals.orderBy(F.desc("total"), "term").limit(self.max_features)
-        top = most.withColumn("place", F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("total"), "term"))).where(F.col("place") <= self.max_features)
-        top = _join(top.select(*by, "term", "df", "place"), n, by).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-        w = tf.join(F.broadcast(top) if not by else top, _keys(by, "term")).withColumn("x", F.col("tf") * F.col("idf"))
+        # the most frequent of each share of the terms, then of those: no window has a group's whole vocabulary
+        rank = lambda *keys: F.row_number().over(Window.partitionBy(*by, *keys).orderBy(F.desc("total"), "term"))
+        most = totals.withColumn("share", F.pmod(F.xxhash64("term"), F.lit(64))).withColumn("place", rank("share")).where(F.col("place") <= self.max_features)
+        top = most.withColumn("place", rank(F.lit(0))).where(F.col("place") <= self.max_features)
+        rarity = F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy("df", "term"))
+        top = _join(top.select(*by, "term", "df", rarity.alias("place")), n, by).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+        top = written(top.select(*by, "term", "df", "place", "idf"), "terms")
+        # max_features rows for each group: broadcast only while the groups are few
+        w = tf.join(F.broadcast(top) if top.count() <= 100_000 else top, _keys(by, "term")).withColumn("x", F.col("tf") * F.col("idf"))
         return w.withColumn("w", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*by, "class")))).select(*by, "class", "copies", "term", "w", "df", "place")
 
+    def vectors(self, df: DataFrame, *by: str) -> DataFrame:
+        """(by..., class, copies, terms, weights, prefix): a row for each distinct response, its terms from the rarest on; prefix
+        is how many of them to look at: what comes behind is shorter than the threshold."""
+        t = self.cluster_threshold
+        v = self.weights(df, *by).groupBy(*by, "class", "copies").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("v"))
+        tails = F.aggregate(
+            F.reverse("v"),
+            F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("short")),
+            lambda a, x: F.struct((a["sum"] + x["w"] * x["w"]).alias("sum"), (a["short"] + (a["sum"] + x["w"] * x["w"] < t * t - 1e-9).cast("int")).alias("short")),
+            lambda a: a["short"],
+        )
+        return v.select(*by, "class", "copies", F.col("v.place").alias("terms"), F.col("v.w").alias("weights"), (F.size("v") - tails).alias("prefix"))
+
     def cluster_rate(self, df: DataFrame, *by: str) -> DataFrame:
         """semantic_cluster_rate: the share of all pairs of responses with a cosine of cluster_threshold or more.
 
-        Two vectors that reach the threshold share a term of both their prefixes: the
-        rarest terms, up to where the rest is shorter than the threshold. What a pair's
-        prefixes give and the lengths of what follows the last term that they share
-        bound its cosine from above; only pairs that may reach the threshold are
-        multiplied out, not all pairs."""
-        t = self.cluster_threshold
-        w = written(self.weights(df, *by), "weights")
-        tail = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "class").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        rest = F.sqrt(F.greatest(F.col("tail") - F.col("w") * F.col("w"), F.lit(0.0)))
-        prefix = w.withColumn("tail", tail).where(F.col("tail") >= t * t - 1e-9).select(*by, "place", "class", "w", rest.alias("rest"))
-        a, b = (prefix.select(*by, "place", F.col("class").alias(c), F.col("w").alias(f"w{c}"), F.col("rest").alias(f"rest{c}")) for c in "ab")
-        bound = F.sum(F.col("wa") * F.col("wb")) + F.min(F.col("resta") * F.col("restb"))
-        pairs = a.join(b, _keys(by, "place")).where("a < b").groupBy(*by, "a", "b").agg(bound.alias("bound")).where(F.col("bound") >= t - 1e-6).select(*by, "a", "b")
-        vectors = written(w.groupBy(*by, "class", "copies").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("v")).select(*by, "class", "copies", F.col("v.place").alias("p"), F.col("v.w").alias("w")), "vectors")
-        small = vectors.agg(F.coalesce(F.sum(F.size("p") * 12 + 50), F.lit(0))).first()[0] <= 16 << 20
-        va, vb = (vectors.select(*by, F.col("class").alias(c), F.col("copies").alias(f"n{c}"), F.col("p").alias(f"p{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
-        side = F.broadcast if small else lambda v: v
-        both = pairs.join(side(va), _keys(by, "a")).join(side(vb), _keys(by, "b")).withColumn("k", F.col("na") * F.col("nb"))
-        across = both.select(*by, "k", "pa", "wa", "pb", "wb").mapInArrow(_near(len(by), t), both.select(*by, "k").schema)
-        within = vectors.select(*by, (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("k"))
+        Two vectors that reach the threshold share a term of both their prefixes, their rarest terms. So the vectors
+        are posted under the terms of their prefixes; the postings of a term are cut into tiles of bounded size, and
+        pairs of tiles, dealt over all tasks whatever their term, are multiplied as matrices. A pair counts under the
+        rarest term that its prefixes share. Only counts leave a task, never pairs."""
+        t, size = self.cluster_threshold, self.tile
+        v = written(self.vectors(df, *by), "vectors")
+        posted = v.select(*by, F.struct("class", "copies", "terms", "weights", "prefix").alias("c"), F.explode(F.slice("terms", F.lit(1), F.col("prefix"))).alias("term"))
+        # a row for each term of each group
+        tiles = v.select(*by, F.explode(F.slice("terms", F.lit(1), F.col("prefix"))).alias("term")).groupBy(*by, "term").agg(F.ceil(F.count("*") / size).cast("int").alias("n"), F.count("*").alias("m")).where("m > 1").drop("m")
+        tiles = written(tiles, "tiles")
+        placed = posted.join(F.broadcast(tiles) if tiles.count() <= 200_000 else tiles, _keys(by, "term")).withColumn("tile", F.pmod(F.xxhash64("c.class"), F.col("n")).cast("int"))
+        packed = written(placed.groupBy(*by, "term", "tile", "n").agg(F.collect_list("c").alias("c")), "packed")
+        lo = packed.select(*by, "term", F.col("tile").alias("lo"), F.explode(F.sequence("tile", F.col("n") - 1)).alias("hi"), F.col("c").alias("a"))
+        hi = packed.select(*by, "term", F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("lo"), F.col("tile").alias("hi"), F.col("c").alias("b"))
+        pairs = lo.join(hi.hint("shuffle_hash"), _keys(by, "term", "lo", "hi")).select(*by, "term", (F.col("lo") == F.col("hi")).alias("same"), "a", "b")
+
+        def run(batches):
+            for batch in batches:
+                at = len(by)
+                terms, same, a, b = (batch.column(at + i) for i in range(4))
+                found = [_alike(terms[i].as_py(), _Tile(a[i].values), _Tile(b[i].values), same[i].as_py(), t) for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(found, pa.int64())], [*by, "k"])
+
+        kinds = dict(df.dtypes)
+        across = pairs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "k long"]))
+        within = v.select(*by, (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("k"))
         hits = across.unionByName(within).groupBy(*by).agg(F.sum("k").alias("k"))
         n = self.responses(df, *by).groupBy(*by).agg(F.count("*").alias("m"))
         rate = F.coalesce(F.col("k"), F.lit(0)) / F.greatest(F.col("m") * (F.col("m") - 1) / 2, F.lit(1))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from weftcorpus.operators.buckets import ErrorBucketing
 from weftcorpus.operators.diversity import TemplateRateEvaluator
 from weftcorpus.operators.scorers import FactualityEvaluator, SafetyEvaluator, TaskCompletionEvaluator
+from weftcorpus.sources.shared import write_text
 
 # What each dimension counts, and the score without any.
 WEIGHTS = {"factuality": 0.30, "task_completion": 0.30, "safety": 0.25, "template_rate": 0.15}
@@ -98,12 +98,10 @@ class EvalRunner:
     def report(self, result: dict, name: str = "eval_report") -> dict[str, str]:
         """Writes a JSON and a Markdown report of a model's row, or of {'comparison_table': rows, 'best_model': name}."""
         stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-        folder = Path(self.output_dir)
-        folder.mkdir(parents=True, exist_ok=True)
-        paths = {"json": folder / f"{name}_{stamp}.json", "markdown": folder / f"{name}_{stamp}.md"}
-        paths["json"].write_text(json.dumps(result, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
-        paths["markdown"].write_text(markdown(result), encoding="utf-8")
-        return {k: str(p) for k, p in paths.items()}
+        paths = {kind: f"{self.output_dir}/{name}_{stamp}.{suffix}" for kind, suffix in (("json", "json"), ("markdown", "md"))}
+        write_text(paths["json"], json.dumps(result, ensure_ascii=False, indent=2, default=str))
+        write_text(paths["markdown"], markdown(result))
+        return paths
 
 
 #: Titles of the report's rows and the columns that they show.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftcorpus.functions import rules
@@ -73,6 +73,16 @@ class PreferencePairBuilder:
         """prompt, chosen, rejected, build_strategy, score_diff of the rows that give a pair."""
         return self.candidates(df).where("pair IS NOT NULL").select("pair.*")
 
+    def observed(self, df: DataFrame, observation: Observation) -> DataFrame:
+        """build() whose statistics the observation gets when the result is computed."""
+        counts = [F.count_if(F.col("pair.build_strategy") == s).alias(s) for s in STRATEGIES[:3]]
+        return self.candidates(df).observe(observation, F.count(F.lit(1)).alias("input_count"), *counts).where("pair IS NOT NULL").select("pair.*")
+
+    def summary(self, got: dict) -> dict:
+        by = {s: got[s] for s in STRATEGIES[:3] if got[s]}
+        pairs = sum(by.values())
+        return {"input_count": got["input_count"], "pairs_count": pairs, "skip_count": got["input_count"] - pairs, "strategy_distribution": by}
+
     def stats(self, df: DataFrame) -> DataFrame:
         """One row: input_count, pairs_count, skip_count, strategy_distribution."""
         by = self.candidates(df).groupBy(F.col("pair.build_strategy").alias("s")).agg(F.count("*").alias("n"))

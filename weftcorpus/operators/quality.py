@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftcorpus.functions import text as T
@@ -48,6 +48,20 @@ class QualityFilter:
     def filter(self, df: DataFrame) -> DataFrame:
         return self.flagged(df).where("reason_code IS NULL").select(*df.columns)
 
+    #: In the order in which they are tried.
+    REASONS = ("empty_prompt", "empty_response", "empty_text", "too_short", "too_long", "repetition", "special_chars")
+
+    def observed(self, df: DataFrame, observation: Observation) -> DataFrame:
+        """filter() whose statistics the observation gets when the result is computed; no pass of their own."""
+        counts = [F.count_if(F.col("reason_code") == r).alias(r) for r in self.REASONS]
+        return self.flagged(df).observe(observation, F.count(F.lit(1)).alias("original_count"), *counts).where("reason_code IS NULL").select(*df.columns)
+
+    def summary(self, got: dict) -> dict:
+        """What stats() gives, from an observation's values."""
+        n, reasons = got["original_count"], {r: got[r] for r in self.REASONS if got[r]}
+        removed = sum(reasons.values())
+        return {"original_count": n, "filtered_count": n - removed, "removed_count": removed, "filter_ratio": removed / max(n, 1), "filter_reasons": reasons}
+
     def stats(self, df: DataFrame) -> DataFrame:
         """One row: original_count, filtered_count (kept), removed_count, filter_ratio, filter_reasons."""
         counts = self.flagged(df).groupBy("reason_code").agg(F.count("*").alias("n"))

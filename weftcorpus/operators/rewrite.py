@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftcorpus.functions import rules
@@ -43,6 +43,18 @@ class TemplateRewriter:
         out = df.withColumn("rewrite_style", F.when(old != "", style)).withColumn("_new", F.when(old != "", T.strip(T.text(made))))
         return out.withColumn(self.response_field, F.when(good, F.col("_new")).otherwise(F.col(self.response_field))).drop("_new")
 
+    def observed(self, df: DataFrame, observation: Observation) -> DataFrame:
+        """rewrite() whose statistics the observation gets when the result is computed."""
+        old, new = T.text("_old"), T.text(self.response_field)
+        out = self.rewrite(df.withColumn("_old", F.col(self.response_field)))
+        counts = [F.count_if((old != new) & (F.col("rewrite_style") == s)).alias(s) for s in self.styles]
+        return out.observe(observation, F.count(F.lit(1)).alias("total"), *counts).drop("_old")
+
+    def summary(self, got: dict) -> dict:
+        styles = {s: got[s] for s in self.styles}
+        done = sum(styles.values())
+        return {"total": got["total"], "success_count": done, "fail_count": got["total"] - done, "style_distribution": styles}
+
     def stats(self, before: DataFrame, after: DataFrame) -> DataFrame:
         """One row: total, success_count (rewrites that changed the text), fail_count and style_distribution, the successes of each style, zeros too."""
         pair = before.select(F.col(self.id_field).alias("i"), T.text(self.response_field).alias("a")).join(after.select(F.col(self.id_field).alias("j"), T.text(self.response_field).alias("b"), "rewrite_style"), F.col("i") == F.col("j"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftcorpus.functions import rules
 from weftcorpus.functions import text as T
+from weftcorpus.operators.models import parse_status
 
 Judge = Callable[[Column], Column]
 
@@ -73,11 +74,17 @@ def parsed_score(answer: Column, pattern: str = rules.JUDGE_SCORE, default: floa
 
 @dataclass(frozen=True)
 class FactualityEvaluator:
+    """With a judge there is a column more, judge_status: how its answer could be read."""
+
     judge: Judge | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         r, ref = _field(df, "response"), _field(df, "reference")
-        score = parsed_score(self.judge(factuality_prompt(question(df), r, ref))) if self.judge else factuality_rule(r)
+        if self.judge:
+            df = df.withColumn("_answer", self.judge(factuality_prompt(question(df), r, ref)))
+            score = parsed_score(F.col("_answer"))
+            return df.withColumns({"factuality_score": score, "entity_accuracy": entity_accuracy(r, ref), "judge_status": parse_status(F.col("_answer"))}).drop("_answer")
+        score = factuality_rule(r)
         return df.withColumns({"factuality_score": score, "entity_accuracy": entity_accuracy(r, ref)})
 
     @staticmethod
@@ -125,7 +132,8 @@ class TaskCompletionEvaluator:
         mean = (F.col(TASK_SCORES[0]) + F.col(TASK_SCORES[1]) + F.col(TASK_SCORES[2])) / 3
         if self.judge:
             df = df.withColumn("_answer", self.judge(task_prompt(q, r)))
-            out = df.withColumns({k: parsed_score(F.col("_answer"), p) for k, p in rules.TASK_JUDGE_SCORES.items()}).drop("_answer")
+            # the overall score's mark stands for the answer
+            out = df.withColumns({k: parsed_score(F.col("_answer"), p) for k, p in rules.TASK_JUDGE_SCORES.items()} | {"task_judge_status": parse_status(F.col("_answer"), rules.TASK_JUDGE_SCORES["overall"])}).drop("_answer")
             # an overall of exactly 3.0 can't be told from a missing one
             return out.withColumn("task_completion_score", F.when(F.col("overall") == 3.0, mean).otherwise(F.col("overall"))).drop("overall")
         scores = dict(zip(TASK_SCORES, (need_understanding(q, r), recommendation_relevance(r), information_completeness(r))))

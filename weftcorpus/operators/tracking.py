@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftcorpus.functions import distributions as D
+
 #: The columns of a leaderboard and where a benchmark document has them.
 SUMMARY = {
     "overall_score": "metrics.overall_score", "factuality": "metrics.factuality", "task_completion": "metrics.task_completion", "safety": "metrics.safety", "template_rate": "metrics.template_rate", "gpu_hours": "training_cost.gpu_hours",
@@ -37,11 +40,16 @@ def diversity_score(rate_percent: Column) -> Column:
     return (F.lit(100) - rate_percent) / 20
 
 
-def best_flags(df: DataFrame, columns: list[str], least: tuple[str, ...] = ("template_rate",), by: tuple[str, ...] = ()) -> DataFrame:
-    """df with {column}_best: whether a value is the best of its column. For leaderboards: by empty compares all rows."""
-    best = df.groupBy(*by).agg(*[(F.min if c in least else F.max)(c).alias(f"_{c}") for c in columns])
-    both = df.join(F.broadcast(best), list(by)) if by else df.crossJoin(F.broadcast(best))
-    return both.withColumns({f"{c}_best": F.col(c) == F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+def best_flags(df: DataFrame, columns: list[str], least: tuple[str, ...] = ("template_rate",), by: tuple[str, ...] = (), most_groups: int = 100_000) -> DataFrame:
+    """df with {column}_best: whether a value is the best of its column. For leaderboards: by empty compares all rows.
+    The best of a group travel to its rows; the groups are broadcast only while they are few. Null groups are one group."""
+    best = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(*[(F.min if c in least else F.max)(c).alias(f"_{c}") for c in columns])
+    if by:
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+        both = df.join(F.broadcast(best) if best.count() <= most_groups else best, same)
+    else:
+        both = df.crossJoin(F.broadcast(best))  # one row
+    return both.withColumns({f"{c}_best": F.col(c) == F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns], *[f"_by_{c}" for c in by])
 
 
 def against_baseline(df: DataFrame, baseline: str, columns: list[str], model: str = "model") -> DataFrame:
@@ -62,11 +70,30 @@ def convergence_step(steps: DataFrame, threshold: float = 1.8, by: str = "experi
     return steps.groupBy(by).agg(F.min(F.when(F.col(value) < threshold, F.col("step"))).alias("convergence_step"))
 
 
-def paired_t(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    """n, mean_difference, t and degrees of freedom of the paired t-test of a against b; null with fewer than two pairs."""
+def paired_effect(pairs: DataFrame, a: str, b: str, *by: str, level: float = 0.95) -> DataFrame:
+    """paired_t() with p_value (two-sided), effect_size (the mean difference in its standard deviations) and the
+    confidence interval of the mean difference (ci_low, ci_high)."""
+    sums = _paired(pairs, a, b, *by)
+    reach = D.t_quantile(level, F.col("dof")) * F.col("_s") / F.sqrt("n")
+    return sums.withColumns({"p_value": D.t_p_value(F.col("t"), F.col("dof")), "effect_size": F.col("t") / F.sqrt("n"), "ci_low": F.col("mean_difference") - reach, "ci_high": F.col("mean_difference") + reach}).drop("_s")
+
+
+def anova_effect(df: DataFrame, group: str, value: str) -> DataFrame:
+    """anova_f() with p_value and eta_squared, the share of the variance that lies between the groups."""
+    out = anova_f(df, group, value)
+    between = F.col("f") * F.col("dof_between")
+    return out.withColumns({"p_value": D.f_p_value(F.col("f"), F.col("dof_between"), F.col("dof_within")), "eta_squared": between / (between + F.col("dof_within"))})
+
+
+def _paired(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     sums = pairs.where(d.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("_s"))
-    return sums.withColumns({"t": F.when(F.col("_s") > 0, F.col("mean_difference") / (F.col("_s") / F.sqrt("n"))), "dof": F.col("n") - 1}).drop("_s")
+    return sums.withColumns({"t": F.when(F.col("_s") > 0, F.col("mean_difference") / (F.col("_s") / F.sqrt("n"))), "dof": F.col("n") - 1})
+
+
+def paired_t(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+    """n, mean_difference, t and degrees of freedom of the paired t-test of a against b; null with fewer than two pairs."""
+    return _paired(pairs, a, b, *by).drop("_s")
 
 
 def anova_f(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -145,3 +145,36 @@ def early_stop(source: str, run: str = "run", patience: int = 5) -> str:
 i AS (SELECT *, max(CASE WHEN place = 1 OR low < before THEN place END) OVER (PARTITION BY {run} ORDER BY step ROWS UNBOUNDED PRECEDING) AS last FROM (SELECT *, lag(low) OVER (PARTITION BY {run} ORDER BY step) AS before FROM b)),
 s AS (SELECT {run}, min(step) FILTER (place - last >= {patience}) AS stop_step, min(low) AS least FROM i GROUP BY 1)
 SELECT s.{run}, coalesce(i.low, s.least) AS best, stop_step IS NOT NULL AS stopped, stop_step FROM s LEFT JOIN i ON i.{run} = s.{run} AND i.step = s.stop_step"""
+
+
+def paired_effect(rows: str, by: str, z: float = 1.959963984540054) -> str:
+    """Effect sizes of the differences d in rows, for groups of some thousand rows: p by Simpson's rule over the density of t, the
+    quantile by its expansion in 1 / dof around the normal one (z, of 0.975)."""
+    terms = ("(z3 + z) / 4", "(5 * z5 + 16 * z3 + 3 * z) / 96", "(3 * z7 + 19 * z5 + 17 * z3 - 15 * z) / 384")
+    values = {"z": z, "z3": z**3, "z5": z**5, "z7": z**7}
+    grow = " + ".join(f"{eval(t, {}, values)!r}::DOUBLE / pow(v, {i + 1})" for i, t in enumerate(terms))  # noqa: S307
+    return f"""WITH x AS ({rows}), s AS (SELECT {by}, count(*) AS n, avg(d) AS m, stddev_samp(d) AS s, count(*) - 1.0::DOUBLE AS v FROM x GROUP BY 1), t AS (SELECT *, abs(m / (s / sqrt(n))) AS t FROM s),
+q AS (SELECT {by}, sum((CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow(t * i / 20000, 2) / v, -(v + 1) / 2)) * t / 20000 / 3 AS half FROM t, range(20001) AS r(i) GROUP BY {by}, t)
+SELECT {by}, n, round(1 - 2 * half, 6) AS p_value, round(m / s, 6) AS effect_size, round(m - s / sqrt(n) * ({z!r}::DOUBLE + {grow}), 6) AS ci_low, round(m + s / sqrt(n) * ({z!r}::DOUBLE + {grow}), 6) AS ci_high FROM t JOIN q USING ({by})"""
+
+
+def anova_effect(rows: str) -> str:
+    """p and eta squared of rows (g, x) with an odd number of groups, for which the tail of F is a finite sum."""
+    return f"""WITH x AS ({rows}), s AS (SELECT g, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM x GROUP BY 1), a AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS mean, sum(n * v) AS within FROM s),
+b AS (SELECT k - 1 AS d1, n - k AS d2, within, (SELECT sum(n * pow(m - a.mean, 2)) FROM s) AS between FROM a), f AS (SELECT *, d2 / (d2 + d1 * ((between / d1) / (within / d2))) AS y FROM b)
+SELECT round(sum(exp(lgamma(d2 / 2 + i) - lgamma(d2 / 2) - lgamma(i + 1.0)) * pow(y, d2 / 2) * pow(1 - y, i)), 6) AS p_value, round(any_value(between / (between + within)), 9) AS eta_squared FROM f, range((d1 / 2)::BIGINT) AS r(i)"""
+
+
+def segments(source: str, words: dict[str, int], unknown: int = 20_000, key: str = "row_id", text: str = "response") -> str:
+    """CTEs up to `segments` (key, words joined by |, n_words): the cheapest path through the lattice of words, whose last word is the longest of
+    equal ones. The paths to the last few places of each text go along in a recursion over places."""
+    most = max(map(len, words))
+    listed = ", ".join(f"('{w}', {c})" for w, c in words.items())
+    return f"""dictionary AS (SELECT map_from_entries(list((w, c))) AS costs FROM (VALUES {listed}) AS t(w, c)),
+plain AS (SELECT {key}, replace(replace({text}, ' ', ''), chr(10), '') AS t FROM {source}),
+walk AS (SELECT {key}, t, 0 AS i, [{{'cost': 0::BIGINT, 'path': '', 'n': 0::BIGINT}}] AS ends FROM plain UNION ALL
+  SELECT {key}, t, i + 1, list_concat(ends[greatest(len(ends) - {most - 2}, 1):], list_transform([list_min(list_filter(list_transform(range(1, least(i + 1, {most}) + 1), lambda k:
+    {{'cost': ends[len(ends) - k + 1].cost + CASE WHEN k = 1 THEN least(coalesce(costs[substr(t, i + 2 - k, k)], {unknown}), {unknown}) ELSE costs[substr(t, i + 2 - k, k)] END, 'neg': -k,
+      'path': ends[len(ends) - k + 1].path || CASE WHEN ends[len(ends) - k + 1].path = '' THEN '' ELSE '|' END || substr(t, i + 2 - k, k), 'n': ends[len(ends) - k + 1].n + 1}}), lambda x: x.cost IS NOT NULL))], lambda m: {{'cost': m.cost, 'path': m.path, 'n': m.n}}))
+  FROM walk, dictionary WHERE i < length(t)),
+segments AS (SELECT {key}, ends[len(ends)].path AS words, ends[len(ends)].n AS n_words FROM walk WHERE i = length(t))"""

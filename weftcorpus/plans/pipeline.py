@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import copy
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftcorpus.operators.dedup import MinHashDeduplicator
@@ -71,14 +72,54 @@ class DataPipeline:
             df = self.pairs.build(df)
         return df, stats
 
+    def observed(self, df: DataFrame) -> tuple[DataFrame, dict[str, Observation]]:
+        """(result, an observation for each step): what transform() gives, with the counts taken as the rows pass by.
+        They are there once the result has been written or collected as a whole; no step is run again for them."""
+        df, seen = records.with_row_id(df), {}
+        for field in ("text", "prompt", "response"):
+            if field not in df.columns:
+                df = df.withColumn(field, F.lit(None).cast("string"))
+
+        def watched(name):
+            return seen.setdefault(name, Observation(f"{name}-{uuid.uuid4().hex}"))
+
+        if self.dedup:
+            df = written(self.dedup.dedup(df.observe(watched("dedup_input"), F.count(F.lit(1)).alias("n"))), "deduplicated")
+            df = df.observe(watched("dedup"), F.count(F.lit(1)).alias("n"))
+        for name, step in (("quality_filter", self.filter), ("template_rewrite", self.rewriter), ("slot_annotate", self.annotator), ("preference_pairs", self.pairs)):
+            if step:
+                df = step.observed(df, watched(name))
+        return df.observe(watched("output"), F.count(F.lit(1)).alias("n")), seen
+
+    def summary(self, seen: dict[str, Observation]) -> dict[str, dict]:
+        """The statistics of each step, from the observations of a result that has been written."""
+        out = {}
+        if self.dedup:
+            n, kept = seen["dedup_input"].get["n"], seen["dedup"].get["n"]
+            out["dedup"] = {"original_count": n, "deduplicated_count": kept, "removed_count": n - kept, "dedup_ratio": (n - kept) / max(n, 1)}
+        for name, step in (("quality_filter", self.filter), ("template_rewrite", self.rewriter), ("slot_annotate", self.annotator), ("preference_pairs", self.pairs)):
+            if step:
+                out[name] = step.summary(seen[name].get)
+        return out
+
+    def statistics(self, df: DataFrame) -> DataFrame:
+        """(step, metric, value) of a run over df whose rows nobody keeps; values that a map holds are named metric.key."""
+        out, seen = self.observed(df)
+        out.write.format("noop").mode("overwrite").save()
+        rows = []
+        for step, values in self.summary(seen).items():
+            for metric, value in values.items():
+                rows += [(step, f"{metric}.{k}", float(v)) for k, v in value.items()] if isinstance(value, dict) else [(step, metric, float(value))]
+        return df.sparkSession.createDataFrame(rows, "step string, metric string, value double")
+
     def run(self, spark: SparkSession, input_path: str, output_path: str, schema=None) -> dict:
-        """Reads, transforms, saves and writes the statistics next to the output."""
+        """Reads, transforms, saves and writes the statistics next to the output, in one pass over each step."""
         began = time.time()
         data = records.load(spark, input_path, schema)
-        out, stats = self.transform(data)
+        arrived = Observation(f"input-{uuid.uuid4().hex}")
+        out, seen = self.observed(data.observe(arrived, F.count(F.lit(1)).alias("n")))
         records.save(out, output_path)
-        report = {"input_path": input_path, "output_path": output_path, "input_count": data.count(), "steps": {k: [r.asDict(recursive=True) for r in v.collect()] for k, v in stats.items()}}
-        report["output_count"] = spark.read.json(output_path, schema=out.schema).count() if not output_path.endswith(".parquet") else spark.read.parquet(output_path).count()
+        report = {"input_path": input_path, "output_path": output_path, "input_count": arrived.get["n"], "steps": {k: [v] for k, v in self.summary(seen).items()}, "output_count": seen["output"].get["n"]}
         report["elapsed_seconds"] = round(time.time() - began, 2)
         records.save_stats(report, output_path)
         return report

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from weftcorpus import oracles
 from weftcorpus.functions import rules
 from weftcorpus.functions import text as T
-from weftcorpus.operators import tracking, training
+from weftcorpus.functions.segment import segmented
+from weftcorpus.operators import models, tracking, training
 from weftcorpus.operators.buckets import ErrorBucketing
 from weftcorpus.operators.dedup import MinHashDeduplicator
 from weftcorpus.operators.diversity import TemplateRateEvaluator
@@ -25,6 +26,7 @@ from weftcorpus.operators.quality import QualityFilter
 from weftcorpus.operators.rewrite import TemplateRewriter
 from weftcorpus.operators.scorers import FactualityEvaluator, SafetyEvaluator, TaskCompletionEvaluator
 from weftcorpus.operators.slots import SlotAnnotator
+from weftcorpus.plans.cli import snapshot
 from weftcorpus.plans.pipeline import DataPipeline
 from weftcorpus.sources import records
 from weftcorpus.sources.shared import shared_dir
@@ -448,12 +450,16 @@ def json_splits(spark, sf_dir):
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("prompt")).alias("n_chars"))
 
 
+def _benchmark_of(m: DataFrame, path: str) -> None:
+    """A benchmark document of a row for each model."""
+    entry = F.struct(F.concat(F.lit("M "), "model").alias("display_name"), F.struct("overall_score", "template_rate").alias("metrics"), F.struct("gpu_hours").alias("training_cost"))
+    m.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("model", entry))).alias("models"))).alias("value")).coalesce(1).write.text(path)
+
+
 def leaderboard(spark, sf_dir):
     """A benchmark document of the customers' segments, written as JSON and read as a leaderboard."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.json"
-    m = _nations(spark, sf_dir)
-    entry = F.struct(F.concat(F.lit("M "), "model").alias("display_name"), F.struct("overall_score", "template_rate").alias("metrics"), F.struct("gpu_hours").alias("training_cost"))
-    m.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("model", entry))).alias("models"))).alias("value")).coalesce(1).write.text(path)
+    _benchmark_of(_nations(spark, sf_dir), path)
     return tracking.leaderboard(records.benchmark(spark, path)).select("model", "display_name", *[F.round(c, 6).alias(c) for c in ("overall_score", "template_rate", "gpu_hours")], F.col("safety").isNull().alias("unscored"))
 
 
@@ -488,6 +494,136 @@ def full_comparison(spark, sf_dir):
     return e.comparison(e.models(qa(spark, sf_dir))).select("model", *[F.round(c, 8).alias(c) for c in ("overall_score", "factuality_score", "task_completion_score", "safety_score", "template_rate_percent")])
 
 
+def pipeline_statistics(spark, sf_dir):
+    """The statistics of the data pipeline's steps over documents, observed in its one run."""
+    docs = _docs(spark, sf_dir).drop("source").withColumnRenamed("doc_id", "row_id")
+    return DataPipeline().statistics(docs).select("step", "metric", F.round("value", 9).alias("value"))
+
+
+def error_matrix(spark, sf_dir):
+    """Errors by model and kind, with the totals of both and of all."""
+    return ErrorBucketing().matrix(qa(spark, sf_dir)).select("model", "error_type", "level", "n", F.round("share", 8).alias("share"))
+
+
+def paired_effect(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_orderkey") % 101).cast("double").alias("a"), (F.col("o_custkey") % 101).cast("double").alias("b"))
+    return tracking.paired_effect(o, "a", "b", "o_orderpriority").select("o_orderpriority", "n", *[F.round(c, 6).alias(c) for c in ("p_value", "effect_size", "ci_low", "ci_high")])
+
+
+def anova_effect(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_custkey") % 89).cast("double").alias("x"))
+    return tracking.anova_effect(o, "o_orderpriority", "x").select(F.round("p_value", 6).alias("p_value"), F.round("eta_squared", 9).alias("eta_squared"))
+
+
+#: A small dictionary of the view's words; what costs less is preferred.
+_DICTIONARY = {
+    w: 4000 + 37 * i
+    for i, w in enumerate(
+        "推荐 手机 价格 电脑 适合 办公 优点 很多 只要 可能 库存 太清楚 不太 不太清楚 大概 大概是 满 减 售价 还剩 全网 最低 最低价 全网最低价 华为 现货 建议 购买 综上 所述 综上所述 据我所知 这款 产品 根据 您 您的 需求 总体 来说 总体来说 我的 了解 这个 价位 商品 普遍 希望 以上 回答 "
+        "能 帮助 到 具体 请 咨询 客服 我猜 不 确定 不确定 史上 史上最低 电池 毫安 内存 祝您 购物 愉快 手机号 假一赔十 年 月 日 前 有效 限时 优惠 限时优惠 马上 下单 绝对 正品 绝对正品 也许 好的 起 块 元".split()
+    )
+}
+
+
+def word_segments(spark, sf_dir):
+    """Responses as words of a dictionary, along the cheapest path of its lattice."""
+    words = segmented(T.tokens(F.col("response")), _DICTIONARY)
+    return qa(spark, sf_dir).select("row_id", words.alias("w")).select("row_id", F.array_join("w", "|").alias("words"), F.size("w").cast("long").alias("n_words"))
+
+
+def word_ngram_rep(spark, sf_dir):
+    """The n-gram repetition of cross_ngram_rep with words instead of characters."""
+    e = TemplateRateEvaluator(ngram_sizes=(1, 2, 3), words=lambda c: segmented(c, _DICTIONARY))
+    return e.ngrams(qa(spark, sf_dir)).select("n", "n_grams", "n_distinct", "n_repeated")
+
+
+def _lengths():
+    return {"name": "length"}
+
+
+def _graded(model, prompts):
+    """Answers as _judge() writes them; a stand-in for a model that fails on some prompts, says nothing to some and no number to others."""
+    out = []
+    for p in prompts:
+        n = len(p)
+        if n % 11 == 0:
+            raise ValueError(model["name"])
+        out.append("" if n % 13 == 0 else "无法评分" if n % 7 == 0 else f"需求理解：{n % 5 + 1}")
+    return out
+
+
+def judged_by_model(spark, sf_dir):
+    """Factuality by a model that workers load once, with how each answer could be read."""
+    judge = models.model_column("lengths-1", _lengths, _graded)
+    return FactualityEvaluator(judge=judge).score(qa(spark, sf_dir)).select("row_id", "factuality_score", "judge_status")
+
+
+def model_rewards(spark, sf_dir):
+    """Rewards of responses by a model of prompt and response."""
+    reward = models.model_column("rewards-1", _lengths, lambda model, prompts, responses: [float(len(r) - 2 * len(p)) for p, r in zip(prompts, responses)], "double")
+    rows = qa(spark, sf_dir).withColumnRenamed("question", "prompt")
+    return training.scored_rewards(rows, reward).select("row_id", "reward")
+
+
+def json_arrays(spark, sf_dir):
+    """Documents saved as whole JSON documents, each an array, and loaded again."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.json"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    records.save_arrays(docs, path)
+    return records.load(spark, path, docs.schema)
+
+
+def pipeline_report(spark, sf_dir):
+    """A configured run from file to file: what its statistics file says."""
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    records.save(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{base}-in.jsonl")
+    config = {"dedup": {"enabled": False}, "slot_annotate": {"slot_types": ["price", "date"]}}
+    DataPipeline(config).run(spark, f"{base}-in.jsonl", f"{base}-out.jsonl", "doc_id long, text string")
+    schema = "input_count long, output_count long, steps struct<quality_filter:array<struct<removed_count:long,filter_reasons:map<string,long>>>,slot_annotate:array<struct<total:long,items_with_slots:long>>>"
+    stats = spark.read.schema(schema).json(f"{base}-out_stats.json", multiLine=True)
+    q, a = F.col("steps.quality_filter")[0], F.col("steps.slot_annotate")[0]
+    saved = records.load(spark, f"{base}-out.jsonl", "doc_id long").agg(F.count("doc_id").alias("saved_rows"))
+    return stats.select("input_count", "output_count", q["removed_count"].alias("removed_count"), F.coalesce(q["filter_reasons"]["repetition"], F.lit(0).cast("long")).alias("repetition"), a["total"].alias("annotated")).crossJoin(F.broadcast(saved))
+
+
+def report_round_trip(spark, sf_dir):
+    """All responses evaluated as one model's; its JSON report and the score in the Markdown one, read back."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    paths = EvalRunner(template=None, output_dir=folder).run(qa(spark, sf_dir), "all")["report"]
+    shown = spark.read.text(paths["markdown"]).agg(F.max(F.regexp_extract("value", "总分 ([0-9.]+)", 1)).alias("shown_score"))
+    schema = "model string, total long, overall_score double, mean_factuality_score double, mean_task_completion_score double, mean_safety_score double, human_review_needed long"
+    report = spark.read.schema(schema).json(paths["json"], multiLine=True)
+    return report.crossJoin(F.broadcast(shown)).select("model", "total", *[F.round(c, 6).alias(c) for c in ("overall_score", "mean_factuality_score", "mean_task_completion_score", "mean_safety_score")], "human_review_needed", "shown_score")
+
+
+def experiment_log(spark, sf_dir):
+    """A log record for each segment of customers, appended one by one and read back."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-log"
+    for r in _nations(spark, sf_dir).orderBy("model").collect():  # a few segments
+        records.append_experiment(spark, path, f"run-{r.model}", "sft", 42, "v1", "rules", {"score": round(r.overall_score, 6)})
+    return spark.read.schema("experiment_id string, method string, seed long, evaluator string, hyperparameters map<string,string>, recorded_at string").json(path).select("experiment_id", "method", "seed", "evaluator", F.round(F.col("hyperparameters")["score"].cast("double"), 6).alias("score"), F.col("recorded_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$").alias("stamped"))
+
+
+def tracker_snapshot(spark, sf_dir):
+    """The leaderboard that the tracker writes of a benchmark document, and its log record."""
+    base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _benchmark_of(_nations(spark, sf_dir), f"{base}.json")
+    snapshot(spark, f"{base}.json", f"{base}-board.json", f"{base}-log")
+    board = spark.read.schema("leaderboard array<struct<model:string,overall_score:double,template_rate:double>>").json(f"{base}-board.json", multiLine=True)
+    logged = spark.read.schema("method string").json(f"{base}-log").agg(F.count("*").alias("log_records"), F.max("method").alias("method"))
+    rows = board.select(F.posexplode("leaderboard").alias("place", "r"))
+    return rows.crossJoin(F.broadcast(logged)).select((F.col("place") + 1).alias("place"), "r.model", F.round("r.overall_score", 6).alias("overall_score"), "log_records", "method")
+
+
+def metrics_sink(spark, sf_dir):
+    """Last metrics of runs, appended to a metrics table in two parts; the ten most recent runs."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-metrics"
+    last = _runs(spark, sf_dir).groupBy("run").agg(F.max("step").alias("recorded_at"), F.max_by("metric", "step").alias("metric"))
+    for part in (F.col("run") < 25, F.col("run") >= 25):
+        records.append_metrics(last.where(part), path)
+    return records.recent_runs(spark, path)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -495,6 +631,8 @@ QUERIES = {
         error_counts, bucket_examples, error_share, cross_ngram_rep, distinct_n, sentence_pattern_rate, semantic_cluster_rate, response_cluster_rate, template_overall, score_pairs, rule_pairs, human_pairs, mixed_pairs, slot_spans, slot_counts, rewrite_styles,
         rewrite_stats, overall, model_comparison, best_model, full_evaluation, group_advantage, mean_reward, prompt_batches, early_stop, topk_checkpoints, convergence_step, paired_t, anova_f, baseline_deltas, best_flags, efficiency, metrics_transposed,
         qa_quality, dedup_stats, slot_stats, data_pipeline, jsonl_round_trip, json_splits, leaderboard, task_judge, factuality_judge, custom_safety, full_comparison,
+        pipeline_statistics, error_matrix, paired_effect, anova_effect, word_segments, word_ngram_rep, judged_by_model, model_rewards,
+        json_arrays, pipeline_report, report_round_trip, experiment_log, tracker_snapshot, metrics_sink,
     )
 }
 
@@ -563,6 +701,31 @@ SELECT round(((SELECT coalesce(sum(k), 0) FROM p WHERE cosine >= 0.85) + (SELECT
   SELECT row_id, CASE WHEN prohibited_items OR privacy_leak THEN 0.0 WHEN false_promotion THEN 2.0 WHEN urging THEN 3.0 WHEN lumps THEN 4.0 ELSE 5.0 END::DOUBLE AS safety_score, NOT (prohibited_items OR privacy_leak OR false_promotion OR urging OR lumps) AS is_safe,
   CASE WHEN prohibited_items OR privacy_leak THEN 'critical' WHEN false_promotion THEN 'high' WHEN urging THEN 'medium' WHEN lumps THEN 'low' ELSE 'safe' END AS max_severity, urging, CASE WHEN lumps THEN 'low' END AS price_severity FROM x""",
     "full_comparison": f"WITH {_OVERALL_SQL}, {oracles.template_metrics('qa')} SELECT o.model, round(f * 0.3 + t * 0.3 + s * 0.25 + 5 * (1 - overall_template_rate) * 0.15, 8) AS overall_score, round(f, 8) AS factuality_score, round(t, 8) AS task_completion_score, round(s, 8) AS safety_score, round(overall_template_rate * 100, 8) AS template_rate_percent FROM o JOIN template USING (model)",
+    "response_cluster_rate": f"WITH qa AS (SELECT row_id, response, 0 AS one FROM ({QA_SQL})), {oracles.template_metrics('qa', by='one')} SELECT round(semantic_cluster_rate, 9) AS semantic_cluster_rate FROM template",
+    "pipeline_statistics": f"""WITH RECURSIVE {oracles.kept_by_bands('documents', 'doc_id', _STRIPPED_SQL, MinHashDeduplicator())}, {_flags("SELECT doc_id, coalesce(text, '') AS t FROM documents JOIN kept USING (doc_id)")},
+rest AS (SELECT doc_id, text FROM documents JOIN q USING (doc_id) WHERE reason_code = 'kept'), {oracles.slot_spans('rest', 'text', 'doc_id')},
+n AS (SELECT (SELECT count(*) FROM documents) AS a, (SELECT count(*) FROM kept) AS b, (SELECT count(*) FROM rest) AS c)
+SELECT 'dedup' AS step, unnest(['original_count', 'deduplicated_count', 'removed_count', 'dedup_ratio']) AS metric, round(unnest([a, b, a - b, (a - b) / greatest(a, 1)]::DOUBLE[]), 9) AS value FROM n
+UNION ALL SELECT 'quality_filter', unnest(['original_count', 'filtered_count', 'removed_count', 'filter_ratio']), round(unnest([b, c, b - c, (b - c) / greatest(b, 1)]::DOUBLE[]), 9) FROM n
+UNION ALL SELECT 'quality_filter', 'filter_reasons.' || reason_code, count(*)::DOUBLE FROM q WHERE reason_code <> 'kept' GROUP BY 2
+UNION ALL SELECT 'slot_annotate', unnest(['total', 'items_with_slots']), unnest([c, (SELECT count(*) FROM spans)]::DOUBLE[]) FROM n
+UNION ALL SELECT 'slot_annotate', 'slot_counts.' || k, coalesce((SELECT sum(len(list_distinct(list_transform(list_filter(found, lambda s: s.kind = k), lambda s: s.value)))) FROM spans), 0)::DOUBLE FROM (SELECT unnest({list(rules.SLOTS)}) AS k)""",
+    "error_matrix": f"WITH qa AS ({QA_SQL}), {_bucket_sql()}, l AS (SELECT model, unnest(CASE WHEN has_error THEN string_split(error_types, ',') ELSE ['no_error'] END) AS error_type FROM bk), c AS (SELECT model, error_type, grouping_id(model, error_type)::INT AS level, count(*) AS n FROM l GROUP BY CUBE (model, error_type)) SELECT *, round(n / sum(n) OVER (PARTITION BY level, CASE WHEN level = 0 THEN model END), 8) AS share FROM c",
+    "paired_effect": oracles.paired_effect("SELECT o_orderpriority, CAST(o_orderkey % 101 - o_custkey % 101 AS DOUBLE) AS d FROM orders", "o_orderpriority"),
+    "anova_effect": oracles.anova_effect("SELECT o_orderpriority AS g, CAST(o_custkey % 89 AS DOUBLE) AS x FROM orders"),
+    "word_segments": f"WITH RECURSIVE qa AS ({QA_SQL}), {oracles.segments('qa', _DICTIONARY)} SELECT row_id, words, n_words FROM segments",
+    "word_ngram_rep": f"WITH RECURSIVE qa AS ({QA_SQL}), {oracles.segments('qa', _DICTIONARY)}, w AS (SELECT string_split(words, '|') AS w FROM segments WHERE words <> ''), g AS (SELECT k AS n, w[i:i + k - 1] AS gram, count(*) AS c FROM w, (SELECT unnest([1, 2, 3]) AS k), unnest(generate_series(1, len(w) - k + 1)) AS u(i) GROUP BY ALL) SELECT n, sum(c)::BIGINT AS n_grams, count(*) AS n_distinct, sum(CASE WHEN c > 1 THEN c ELSE 0 END)::BIGINT AS n_repeated FROM g GROUP BY 1",
+    "judged_by_model": f"WITH qa AS ({QA_SQL}), n AS (SELECT row_id, length(question) + length(response) + CASE WHEN reference = '' THEN {len(rules.NO_REFERENCE)} ELSE length(reference) END + {len(rules.FACTUALITY_PROMPT) - len('{question}{response}{reference}')} AS n FROM qa) SELECT row_id, CASE WHEN n % 11 = 0 OR n % 13 = 0 OR n % 7 = 0 THEN 3.0::DOUBLE ELSE (n % 5 + 1)::DOUBLE END AS factuality_score, CASE WHEN n % 11 = 0 THEN 'no_answer' WHEN n % 13 = 0 THEN 'empty' WHEN n % 7 = 0 THEN 'unparsed' ELSE 'parsed' END AS judge_status FROM n",
+    "model_rewards": f"WITH qa AS ({QA_SQL}) SELECT row_id, (length(response) - 2 * length(question))::DOUBLE AS reward FROM qa",
+    "json_arrays": "SELECT doc_id, text, source FROM documents",
+    "pipeline_report": f"WITH {_FLAGS_SQL} SELECT count(*) AS input_count, count(*) FILTER (reason_code = 'kept') AS output_count, count(*) FILTER (reason_code <> 'kept') AS removed_count, count(*) FILTER (reason_code = 'repetition') AS repetition, count(*) FILTER (reason_code = 'kept') AS annotated, count(*) FILTER (reason_code = 'kept') AS saved_rows FROM q",
+    "report_round_trip": f"""WITH {_FACT_SQL}, {_TASK_SQL}, {_SAFE_SQL}, {_bucket_sql()},
+m AS (SELECT count(*) AS total, avg(factuality_score) AS f, avg((need_understanding + recommendation_relevance + information_completeness) / 3) AS t, avg(safety_score) AS s FROM fact JOIN task USING (row_id) JOIN safe USING (row_id)),
+o AS (SELECT *, (f * 0.3 + t * 0.3 + s * 0.25) / 0.85 AS overall FROM m)
+SELECT 'all' AS model, total, round(overall, 6) AS overall_score, round(f, 6) AS mean_factuality_score, round(t, 6) AS mean_task_completion_score, round(s, 6) AS mean_safety_score, (SELECT count(*) FILTER (needs_human_review) FROM bk) AS human_review_needed, format('{{:.2f}}', overall::DOUBLE) AS shown_score FROM o""",
+    "experiment_log": f"WITH {_NATIONS_SQL} SELECT 'run-' || model AS experiment_id, 'sft' AS method, 42::BIGINT AS seed, 'rules' AS evaluator, round(overall_score, 6) AS score, true AS stamped FROM m",
+    "tracker_snapshot": f"WITH {_NATIONS_SQL} SELECT row_number() OVER (ORDER BY overall_score DESC, model)::INT AS place, model, round(overall_score, 6) AS overall_score, 1::BIGINT AS log_records, 'benchmark_summary' AS method FROM m",
+    "metrics_sink": f"WITH {_RUNS_SQL} SELECT run, max(step) AS recorded_at, max_by(metric, step) AS metric FROM r GROUP BY 1 ORDER BY 2 DESC LIMIT 10",
     "group_advantage": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER w) / (stddev_samp(l_quantity) OVER w + 1e-8), 6) AS advantage FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)",
     "mean_reward": "SELECT step, round(avg(m), 8) AS mean_reward FROM (SELECT l_suppkey % 10 AS step, l_orderkey, avg(l_quantity) AS m FROM lineitem GROUP BY ALL) GROUP BY 1",
     "prompt_batches": "SELECT batch, min(o_orderkey) AS first_row, max(o_orderkey) AS last_row, count(*) AS n FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS batch FROM orders) GROUP BY 1",

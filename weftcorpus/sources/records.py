@@ -9,10 +9,13 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from weftcorpus.sources.shared import read_text, write_text
+
 CANDIDATES = "array<struct<text:string,score:double>>"
 STEPS = "experiment_id string, method string, seed long, dataset_version string, steps array<struct<step:long,epoch:double,loss:double,accuracy:double,eval_loss:double,reward_accuracy:double,reward:double>>"
 BENCHMARK = (
@@ -58,6 +61,19 @@ def save(df: DataFrame, path: str, single_file: bool = False) -> None:
     out.parquet(path) if path.endswith(".parquet") else out.option("ignoreNullFields", "true").json(path)
 
 
+def save_arrays(df: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
+    """JSON documents, each an array of at most about rows_per_file rows, in a folder whose name ends in .json."""
+    parts = max(1, -(-df.count() // rows_per_file))
+    rows = df.select(F.to_json(F.struct("*")).alias("r")).repartition(parts)
+
+    def run(batches):
+        held = [r for batch in batches for r in batch.column(0).to_pylist()]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"])], ["value"])
+
+    rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def load_splits(spark: SparkSession, splits: dict[str, str], schema=None) -> DataFrame:
     """The rows of several files with their split's name."""
     out = None
@@ -73,25 +89,24 @@ def prompts(df: DataFrame, field: str = "prompt") -> DataFrame:
 
 def save_json(value, path: str) -> None:
     """A small document, written by the driver."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(value, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+    write_text(path, json.dumps(value, ensure_ascii=False, indent=2, default=str))
 
 
 def load_json(path: str):
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(read_text(path))
 
 
 def save_stats(stats: dict, output_path: str) -> str:
     """Statistics next to an output: <output without suffix>_stats.json."""
-    path = str(Path(output_path).with_suffix("")) + "_stats.json"
+    folder, _, name = output_path.rstrip("/").rpartition("/")
+    path = f"{folder}{'/' if folder else ''}{Path(name).stem}_stats.json"
     save_json(stats, path)
     return path
 
 
 def load_config(path: str) -> dict:
     """YAML where the library for it is there, JSON always."""
-    text = Path(path).read_text(encoding="utf-8")
+    text = read_text(path)
     if Path(path).suffix.lower() == ".json":
         return json.loads(text)
     try:

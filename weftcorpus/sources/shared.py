@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,36 @@ def drop(*tables: DataFrame) -> None:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
+
+
+def _open(path: str):
+    """(file system, path) of a path with a scheme; None for one on this machine."""
+    if ":" not in path.split("/", 1)[0]:
+        return None
+    spark = SparkSession.getActiveSession()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def write_text(path: str, text: str) -> None:
+    """A small document, written by the driver: to a store where the path names one (file:, hdfs:, ...), else to a file."""
+    if store := _open(path):
+        out = store[0].create(store[1], True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(text, encoding="utf-8")
+
+
+def read_text(path: str) -> str:
+    if store := _open(path):
+        stream = store[0].open(store[1])
+        try:
+            return SparkSession.getActiveSession()._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    return Path(path).read_text(encoding="utf-8")
