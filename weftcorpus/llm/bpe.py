@@ -8,7 +8,9 @@ words share at their beginning is computed once. Sorted order is the depth-first
 order of a trie, so the trie is kept as the sorted words and a stack of states.
 
 Edge cases: null and empty texts have no token; the text of an added token is
-that token, wherever it stands; a repeated row is encoded again.
+that token, wherever it stands; a repeated row is encoded again; very long texts are
+encoded whole, by words; an empty table gives an empty result; other columns aren't
+read, but with_ids() passes them through.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from weftcorpus.llm.common import small_batches, table, text_bytes, trim, worker_cache
 
@@ -208,6 +211,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def _coded(codec: Codec, texts: list[str], kept: bool) -> list[pa.Array]:
+    """n_tokens, the digests of ids and decoded text, and the ids themselves where they are kept."""
+    ids = codec.encode_batch(texts)
+    out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in ids], pa.string())]
+    if kept:
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())))
+    return out
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the text decoded from them, without moving either."""
     shared = codec_of(docs, path)
@@ -217,22 +230,34 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             at = 0
             for texts in blocks(batch.column(1)):
-                ids = codec.encode_batch(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(texts)),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in ids]),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *_coded(codec, texts, False)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(texts)
         trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS)
 
 
+def with_ids(docs: DataFrame, path: str) -> DataFrame:
+    """All columns of docs and n_tokens, ids_sha256, decoded_sha256 and ids of each whole text; columns of docs with one of these names go."""
+    shared = codec_of(docs, path)
+    new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>"}
+    docs = docs.drop(*new)
+    names = [*docs.columns, *new]
+    at_text = docs.columns.index("text")
+
+    def run(batches):
+        codec = _codec(shared)
+        for batch in batches:
+            at = 0
+            for texts in blocks(batch.column(at_text)):
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns), *_coded(codec, texts, True)], names)
+                at += len(texts)
+        trim()
+
+    schema = S.StructType([*docs.schema.fields, *S.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in new.items())).fields])
+    return docs.mapInArrow(run, schema)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
