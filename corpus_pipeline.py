@@ -9,7 +9,8 @@ white space one stays, which is a row like any other to the stages behind. Of eq
 texts the longest original stays, then the least id, null ids last. Rows that share
 an id are one document to the near-copies stage and rows of their own to the others;
 rows with a null id are never near copies. Columns beyond those of documents pass
-through, whatever their names. An empty table gives an empty result.
+through all stages, but one of the last stage's names is replaced by it. Very long texts
+go through whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.with_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
