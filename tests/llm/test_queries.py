@@ -1,8 +1,10 @@
 import re
 
+import public_tokenizers
+
 import __spark_entry__
 import corpus_pipeline
-from weftcorpus.llm import queries
+from weftcorpus.llm import bpe, queries
 
 
 def test_every_operator_has_its_query():
@@ -23,7 +25,9 @@ def test_pipeline_stages(spark, tables):
             assert after.distinct().exceptAll(at.distinct()).count() == 0
         at = after
     last = corpus_pipeline.STAGES[-1][1](spark, at, tables)
-    assert last.count() == at.count()
+    assert last.count() == at.count() and last.columns == [*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert last.select(docs.columns).exceptAll(at).count() == 0 and last.where("n_tokens <> size(ids)").count() == 0
+    assert {r.text or "" for r in last.collect()} == {r.text for r in bpe.decode(last, public_tokenizers.path("byte_bpe_50k.json")).collect()}
     assert corpus_pipeline.run(spark, tables).count() == at.count()
 
 
