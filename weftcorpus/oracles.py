@@ -178,3 +178,20 @@ walk AS (SELECT {key}, t, 0 AS i, [{{'cost': 0::BIGINT, 'path': '', 'n': 0::BIGI
       'path': ends[len(ends) - k + 1].path || CASE WHEN ends[len(ends) - k + 1].path = '' THEN '' ELSE '|' END || substr(t, i + 2 - k, k), 'n': ends[len(ends) - k + 1].n + 1}}), lambda x: x.cost IS NOT NULL))], lambda m: {{'cost': m.cost, 'path': m.path, 'n': m.n}}))
   FROM walk, dictionary WHERE i < length(t)),
 segments AS (SELECT {key}, ends[len(ends)].path AS words, ends[len(ends)].n AS n_words FROM walk WHERE i = length(t))"""
+
+
+def cluster_rate(source: str, key: str = "row_id", text: str = "response", features: int = 5000, threshold: float = 0.85) -> str:
+    """The share of pairs of all responses of source with a cosine of threshold or more. Only pairs that share one of both texts' rarest terms, up to
+    where the rest is shorter than the threshold, can have it; their vectors are multiplied term by term."""
+    return f"""said AS (SELECT {key}, {text} FROM {source} WHERE {text} <> ''),
+alike AS (SELECT {text}, min({key}) AS class, count(*) AS copies, regexp_replace(rtrim(regexp_replace(lower({text}), '(.)', '\\1 ', 'g')), ' +', ' ', 'g') AS spaced FROM said GROUP BY 1),
+raw_terms AS (SELECT class, copies, substr(spaced, CAST(i AS INT), k) AS term, count(*) AS tf FROM alike, (SELECT unnest([2, 3]) AS k), unnest(generate_series(1, length(spaced) - k + 1)) AS u(i) GROUP BY ALL),
+totals AS (SELECT term, sum(tf * copies) AS total, sum(copies) AS df FROM raw_terms GROUP BY 1),
+terms AS (SELECT *, (row_number() OVER (ORDER BY df, term))::INT AS place FROM (SELECT * FROM totals ORDER BY total DESC, term LIMIT {features})),
+weighed AS (SELECT class::INT AS class, copies, place, tf * (ln(((SELECT count(*) FROM said) + 1) / (df + 1)) + 1) AS x FROM raw_terms JOIN terms USING (term)),
+scaled AS MATERIALIZED (SELECT class, copies, place, x / sqrt(sum(x * x) OVER (PARTITION BY class)) AS w FROM weighed),
+tails AS (SELECT class, place, sum(w * w) OVER (PARTITION BY class ORDER BY place DESC) AS tail FROM scaled),
+rare AS MATERIALIZED (SELECT class, place FROM tails WHERE tail >= {threshold * threshold} - 1e-9),
+pairs AS MATERIALIZED (SELECT DISTINCT a.class AS a, b.class AS b FROM rare a JOIN rare b ON a.place = b.place AND a.class < b.class),
+near AS (SELECT p.a, p.b, any_value(x.copies * y.copies) AS k FROM pairs p JOIN scaled x ON x.class = p.a JOIN scaled y ON y.class = p.b AND y.place = x.place GROUP BY 1, 2 HAVING sum(x.w * y.w) >= {threshold}),
+rate AS (SELECT ((SELECT coalesce(sum(k), 0) FROM near) + (SELECT sum(copies * (copies - 1) / 2) FROM alike)) / greatest((SELECT count(*) * (count(*) - 1) / 2 FROM said), 1) AS semantic_cluster_rate)"""

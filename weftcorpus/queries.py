@@ -16,7 +16,7 @@ from weftcorpus import oracles
 from weftcorpus.functions import rules
 from weftcorpus.functions import text as T
 from weftcorpus.functions.segment import segmented
-from weftcorpus.operators import models, tracking, training
+from weftcorpus.operators import models, rewrite, scorers, tracking, training
 from weftcorpus.operators.buckets import ErrorBucketing
 from weftcorpus.operators.dedup import MinHashDeduplicator
 from weftcorpus.operators.diversity import TemplateRateEvaluator
@@ -624,6 +624,37 @@ def metrics_sink(spark, sf_dir):
     return records.recent_runs(spark, path)
 
 
+#: Rows whose text is missing, empty or there; where it isn't, question and answer stand in.
+_TEXTS_SQL = "SELECT row_id, CASE row_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE response END AS text, question AS prompt, response FROM qa"
+
+
+def fallback_texts(spark, sf_dir):
+    """The text that near-duplicates are found by: the text, or else prompt and response."""
+    rows = qa(spark, sf_dir).selectExpr("row_id", "CASE row_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE response END AS text", "question AS prompt", "response")
+    return rows.select("row_id", MinHashDeduplicator().text(rows).alias("text"))
+
+
+def quality_messages(spark, sf_dir):
+    """Why documents are filtered out, in words with the value."""
+    f = QualityFilter()
+    return f.flagged(_docs(spark, sf_dir)).where("reason_code IS NOT NULL").select("doc_id", f.message().alias("message"))
+
+
+def style_prompts(spark, sf_dir):
+    """What a rewriting model is asked, by styles of which one is unknown."""
+    rows = qa(spark, sf_dir).withColumn("style", F.expr(_STYLE))
+    return rows.select("row_id", rewrite.prompt(F.col("response"), F.col("style")).alias("prompt"))
+
+
+_STYLE = _case("row_id", [*rules.REWRITE_STYLES, "no such style"])
+
+
+def judge_prompts(spark, sf_dir):
+    """What judges are asked."""
+    q, r, ref = F.col("question"), F.col("response"), F.col("reference")
+    return qa(spark, sf_dir).select("row_id", scorers.factuality_prompt(q, r, ref).alias("factuality"), scorers.task_prompt(q, r).alias("task"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -632,7 +663,7 @@ QUERIES = {
         rewrite_stats, overall, model_comparison, best_model, full_evaluation, group_advantage, mean_reward, prompt_batches, early_stop, topk_checkpoints, convergence_step, paired_t, anova_f, baseline_deltas, best_flags, efficiency, metrics_transposed,
         qa_quality, dedup_stats, slot_stats, data_pipeline, jsonl_round_trip, json_splits, leaderboard, task_judge, factuality_judge, custom_safety, full_comparison,
         pipeline_statistics, error_matrix, paired_effect, anova_effect, word_segments, word_ngram_rep, judged_by_model, model_rewards,
-        json_arrays, pipeline_report, report_round_trip, experiment_log, tracker_snapshot, metrics_sink,
+        json_arrays, pipeline_report, report_round_trip, experiment_log, tracker_snapshot, metrics_sink, fallback_texts, quality_messages, style_prompts, judge_prompts,
     )
 }
 
@@ -701,7 +732,7 @@ SELECT round(((SELECT coalesce(sum(k), 0) FROM p WHERE cosine >= 0.85) + (SELECT
   SELECT row_id, CASE WHEN prohibited_items OR privacy_leak THEN 0.0 WHEN false_promotion THEN 2.0 WHEN urging THEN 3.0 WHEN lumps THEN 4.0 ELSE 5.0 END::DOUBLE AS safety_score, NOT (prohibited_items OR privacy_leak OR false_promotion OR urging OR lumps) AS is_safe,
   CASE WHEN prohibited_items OR privacy_leak THEN 'critical' WHEN false_promotion THEN 'high' WHEN urging THEN 'medium' WHEN lumps THEN 'low' ELSE 'safe' END AS max_severity, urging, CASE WHEN lumps THEN 'low' END AS price_severity FROM x""",
     "full_comparison": f"WITH {_OVERALL_SQL}, {oracles.template_metrics('qa')} SELECT o.model, round(f * 0.3 + t * 0.3 + s * 0.25 + 5 * (1 - overall_template_rate) * 0.15, 8) AS overall_score, round(f, 8) AS factuality_score, round(t, 8) AS task_completion_score, round(s, 8) AS safety_score, round(overall_template_rate * 100, 8) AS template_rate_percent FROM o JOIN template USING (model)",
-    "response_cluster_rate": f"WITH qa AS (SELECT row_id, response, 0 AS one FROM ({QA_SQL})), {oracles.template_metrics('qa', by='one')} SELECT round(semantic_cluster_rate, 9) AS semantic_cluster_rate FROM template",
+    "response_cluster_rate": f"WITH qa AS ({QA_SQL}), {oracles.cluster_rate('qa')} SELECT round(semantic_cluster_rate, 9) AS semantic_cluster_rate FROM rate",
     "pipeline_statistics": f"""WITH RECURSIVE {oracles.kept_by_bands('documents', 'doc_id', _STRIPPED_SQL, MinHashDeduplicator())}, {_flags("SELECT doc_id, coalesce(text, '') AS t FROM documents JOIN kept USING (doc_id)")},
 rest AS (SELECT doc_id, text FROM documents JOIN q USING (doc_id) WHERE reason_code = 'kept'), {oracles.slot_spans('rest', 'text', 'doc_id')},
 n AS (SELECT (SELECT count(*) FROM documents) AS a, (SELECT count(*) FROM kept) AS b, (SELECT count(*) FROM rest) AS c)
@@ -717,6 +748,11 @@ UNION ALL SELECT 'slot_annotate', 'slot_counts.' || k, coalesce((SELECT sum(len(
     "word_ngram_rep": f"WITH RECURSIVE qa AS ({QA_SQL}), {oracles.segments('qa', _DICTIONARY)}, w AS (SELECT string_split(words, '|') AS w FROM segments WHERE words <> ''), g AS (SELECT k AS n, w[i:i + k - 1] AS gram, count(*) AS c FROM w, (SELECT unnest([1, 2, 3]) AS k), unnest(generate_series(1, len(w) - k + 1)) AS u(i) GROUP BY ALL) SELECT n, sum(c)::BIGINT AS n_grams, count(*) AS n_distinct, sum(CASE WHEN c > 1 THEN c ELSE 0 END)::BIGINT AS n_repeated FROM g GROUP BY 1",
     "judged_by_model": f"WITH qa AS ({QA_SQL}), n AS (SELECT row_id, length(question) + length(response) + CASE WHEN reference = '' THEN {len(rules.NO_REFERENCE)} ELSE length(reference) END + {len(rules.FACTUALITY_PROMPT) - len('{question}{response}{reference}')} AS n FROM qa) SELECT row_id, CASE WHEN n % 11 = 0 OR n % 13 = 0 OR n % 7 = 0 THEN 3.0::DOUBLE ELSE (n % 5 + 1)::DOUBLE END AS factuality_score, CASE WHEN n % 11 = 0 THEN 'no_answer' WHEN n % 13 = 0 THEN 'empty' WHEN n % 7 = 0 THEN 'unparsed' ELSE 'parsed' END AS judge_status FROM n",
     "model_rewards": f"WITH qa AS ({QA_SQL}) SELECT row_id, (length(response) - 2 * length(question))::DOUBLE AS reward FROM qa",
+    "fallback_texts": f"WITH qa AS ({QA_SQL}), t AS ({_TEXTS_SQL}) SELECT row_id, CASE WHEN coalesce(text, '') <> '' THEN text ELSE trim(prompt || ' ' || response) END AS text FROM t",
+    "quality_messages": f"""WITH {_FLAGS_SQL} SELECT doc_id, CASE reason_code WHEN 'too_short' THEN '文本过短: ' || n_chars || ' < 20' WHEN 'too_long' THEN '文本过长: ' || n_chars || ' > 8192' WHEN 'repetition' THEN printf('重复率过高: %.2f > 0.3', repetition::DOUBLE)
+  WHEN 'special_chars' THEN printf('特殊字符比例过高: %.2f > 0.2', special::DOUBLE) ELSE '文本为空' END AS message FROM q WHERE reason_code <> 'kept'""",
+    "style_prompts": f"WITH qa AS ({QA_SQL}) SELECT row_id, replace(CASE {_STYLE} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.REWRITE_STYLES.items())} ELSE '{rules.REWRITE_STYLES[rules.FALLBACK_STYLE]}' END, '{{text}}', response) AS prompt FROM qa",
+    "judge_prompts": f"WITH qa AS ({QA_SQL}) SELECT row_id, replace(replace(replace('{rules.FACTUALITY_PROMPT}', '{{question}}', question), '{{response}}', response), '{{reference}}', CASE WHEN reference = '' THEN '{rules.NO_REFERENCE}' ELSE reference END) AS factuality, replace(replace('{rules.TASK_PROMPT}', '{{question}}', question), '{{response}}', response) AS task FROM qa",
     "json_arrays": "SELECT doc_id, text, source FROM documents",
     "pipeline_report": f"WITH {_FLAGS_SQL} SELECT count(*) AS input_count, count(*) FILTER (reason_code = 'kept') AS output_count, count(*) FILTER (reason_code <> 'kept') AS removed_count, count(*) FILTER (reason_code = 'repetition') AS repetition, count(*) FILTER (reason_code = 'kept') AS annotated, count(*) FILTER (reason_code = 'kept') AS saved_rows FROM q",
     "report_round_trip": f"""WITH {_FACT_SQL}, {_TASK_SQL}, {_SAFE_SQL}, {_bucket_sql()},

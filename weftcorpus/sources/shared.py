@@ -46,9 +46,20 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables made by written() that no later plan reads."""
     for df in tables:
         if path := getattr(df, "_weft_path", None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The paths in a folder; none if there is no folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(f.getPath()) for f in store.listStatus(where)] if store.exists(where) else []
 
 
 def _open(path: str):
