@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,16 +72,22 @@ def test_a_pattern_is_as_good_as_any():
 
 def strange():
     random.seed(2)
-    some = ["", " ", "don't WE'LL İi ǅ ß ΑΣ Σ", "a<|endoftext|>b<|startoftext|>", "x" * 5000, "é ́e e f\x1cg\x85h i　j", "1234 ½ ² ٣", "\t\n\r\x0b\x0c", "…—“q”", "한국어 中文 ไทย", "a ́b ᄀ ᅡ"]
+    some = ["", " ", "don't WE'LL İi ǅ ß ΑΣ Σ", "a<|endoftext|>b<|startoftext|>", "x" * 5000, "é ́e e f\x1cg\x85h i　j", "1234 ½ ² ٣", "\t\n\r\x0b\x0c", "…—“q”", "한국어 中文 ไทย", "a ́b ᄀ ᅡ", "J̌. J̌ ǰ, Åx Å. H̱! É. a.̈ É.", "a|b | |c. 's, 'S. it's. IT'S! 12. a1, ..., A.B. x?! :", "A<|endoftext|>. <|ENDOFTEXT|>."]
     return some + ["".join(random.choice("abE thiN'\n\t\x0b\x85́ 12éß中<|>.,") for _ in range(80)) for _ in range(200)]
 
 
 def test_words_are_encoded_as_the_library_does():
     texts, spec = strange(), open(PATH, encoding="utf-8").read()
     want = library(texts)
-    assert [x.tolist() for x in packing.Words(spec).encode(texts)] == want
-    small = packing.Words(spec, known=3, longest=4, batch=5)
-    assert [small.encode([t])[0].tolist() for t in texts] == want
+
+    def each(words, texts):
+        ids, at = words.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+    assert each(packing.Words(spec), texts) == want
+    small = packing.Words(spec, known=3, longest=4, together=3)
+    assert [each(small, [t])[0] for t in texts] == want
+    assert each(small, texts[3:40]) == want[3:40] and each(small, []) == []
 
 
 def check(rows, docs):

@@ -27,60 +27,157 @@ always; other columns aren't read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.bpe import blocks, codec_of
-from weftcorpus.llm.common import drop, table, trim, worker_cache, written
+from weftcorpus.llm.bpe import codec_of
+from weftcorpus.llm.common import drop, table, text_bytes, trim, worker_cache, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Separators at which the tokenizer's words always end.
-_BLANK = str.maketrans("\t\n\r", "   ")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~"
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at starts, one after another."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Words:
-    """Encodes texts by a tokenizer that drops white space and never joins what stands on both sides of it: the
-    library encodes each distinct stretch between blanks once, and a text is the stretches in a row."""
+    """Encodes texts by a tokenizer that drops white space and never joins what stands on both sides of it: the library
+    encodes each distinct word once, in lower case and without the marks at its end where that changes nothing, and
+    the texts' ids are put together from those of their words, all texts of a batch at once."""
 
-    def __init__(self, spec: str, known: int = 300_000, longest: int = 64, batch: int = 4096):
+    def __init__(self, spec: str, known: int = 500_000, longest: int = 64, together: int = 64):
+        # tasks are what runs side by side
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self._batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        self.known, self.longest, self.together = known, longest, together
+        a, b = self._alone(["a", "b"])
         for text in ("a b", "a\nb", "a\tb", "a\rb", " a  b "):
-            if self._ids([text])[0] != self._ids(["a"])[0] + self._ids(["b"])[0]:
+            if self._alone([text])[0] != a + b:
                 raise ValueError("the tokenizer keeps white space")
-        self.known, self.longest, self.batch, self.have = known, longest, batch, {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.translate(_BLANK).split(" ") for t in texts]
-        need = set(chain.from_iterable(split))
-        if len(self.have) > self.known:
-            self.have = {w: self.have[w] for w in need.intersection(self.have)} | {"": b""}
-        new = sorted(need.difference(self.have))
-        for i in range(0, len(new), self.batch):
-            part = new[i : i + self.batch]
-            self.have.update(zip(part, (np.array(x, "<u4").tobytes() for x in self._ids(part))))
-        out = [np.frombuffer(b"".join(map(self.have.__getitem__, words)), "<u4") for words in split]
-        for w in new:
-            if len(w) > self.longest:
-                del self.have[w]
-        return out
-
-
-def tokenized(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
+        for mark in [*_MARKS, "&&", "',"]:
+            if self._alone([f"A{mark}"])[0] != a + self._alone([mark])[0]:
+                raise ValueError("the tokenizer keeps letter case, or marks with the words before them")
+        bar = self._alone(["|"])[0]
+        self.bar = bar[0] if len(bar) == 1 else None
+        self._forget()
+
+    def _forget(self):
+        """Nothing is known but the empty word, which is 0."""
+        self.have, self.whole, self.flat, self.size = {"": 0}, {"": 0}, np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 1
+
+    def _alone(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._batch(texts, add_special_tokens=False)]
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has. Words go to the library many at a time, with a
+        mark between them that none of them has."""
+        ids, sizes = [], []
+        for i in range(0, len(words), self.together):
+            part = words[i : i + self.together]
+            got = np.array(self._alone([" | ".join(part)])[0], np.uint32) if self.bar is not None and not any("|" in w for w in part) else None
+            at = np.flatnonzero(got == self.bar) if got is not None else []
+            if got is not None and len(at) == len(part) - 1:
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(got)]])) - 1)
+                ids.append(np.delete(got, at))
+            else:
+                own = self._alone(part)
+                sizes.append(np.array([len(x) for x in own], np.int64))
+                ids.append(np.array([i for x in own for i in x], np.uint32))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Stores the ids of some words; their numbers."""
+        n = len(sizes)
+        while self.size + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + n > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.size : self.size + len(ids)] = ids
+        self.lengths[self.count : self.count + n] = sizes
+        self.starts[self.count : self.count + n] = self.size + np.cumsum(sizes) - sizes
+        self.size, self.count = self.size + len(ids), self.count + n
+        return range(self.count - n, self.count)
+
+    def _learn(self, words: list[str]) -> None:
+        """Words as they stand in texts: in lower case, and the marks at their end apart from what they follow."""
+        parts = []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core and core is not w and (core[-1] >= "ɐ" or not core[-1].isalnum()) or "|" in w:
+                core = w
+            mark = w[len(core) :]
+            parts += (core.lower() if core.isascii() and "|" not in core else core), mark
+        new = set(parts).difference(self.have)
+        if new:
+            # words with a bar apart, so that they don't spoil a whole lot
+            new = [w for w in new if "|" not in w] + [w for w in new if "|" in w]
+            self.have.update(zip(new, self._keep(*self._ids(new))))
+        place = np.array([self.have[w] for w in parts], np.int64)
+        lengths = self.lengths[place]
+        self.whole.update(zip(words, self._keep(gathered(self.flat, self.starts[place], lengths), lengths.reshape(-1, 2).sum(1))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each begins and the last ends."""
+        for blank in "\t\n\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        split = pc.split_pattern(texts, " ")
+        kinds = split.flatten().dictionary_encode()
+        words = kinds.dictionary.to_pylist()
+        if len(self.have) > self.known or self.size > 32 * self.known:
+            self._forget()
+        elif 2 * len(self.whole) > self.known:
+            self.whole = {"": 0}
+        known = self.whole
+        new = [w for w in words if w not in known]
+        self._learn(new)
+        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[kinds.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.lengths[place]
+        ids = gathered(self.flat, self.starts[place], lengths)
+        offsets = split.offsets.to_numpy()
+        at = np.concatenate([[0], np.cumsum(lengths)])[offsets - offsets[0]]
+        if any(len(w) > self.longest for w in new):
+            self._forget()  # a word that long isn't worth its place
+        return ids, at
+
+
+def _runs(column: pa.Array, most: int = 4 << 20):
+    """(from, to) of runs of texts of about `most` bytes."""
+    _, at = text_bytes(column)
+    i, n = 0, len(column)
+    while i < n:
+        j = max(i + 1, min(n, int(np.searchsorted(at, at[i] + most, "right")) - 1))
+        yield i, j
+        i = j
+
+
+def id_type(path: str) -> str:
+    """How ids are kept: two bytes each if the vocabulary is small enough."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, path: str, capacity: int, end: int, kept: str) -> DataFrame:
     """A written row for each document: part and row (its place), doc_id, n, the checksum of each piece of
-    `capacity` tokens and of the rest, each piece's rank among those of its length in the partition, and the ids."""
+    `capacity` tokens and of the rest, each piece's rank among those of its length in the partition, and the ids (of type kept)."""
     shared = codec_of(docs, path)
 
     def run(batches):
@@ -88,26 +185,26 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
         words = worker_cache(("words", hash(spec)), lambda: Words(spec))
         part, row, ranks = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            at = 0
-            for texts in blocks(batch.column(1)):
-                sizes, sums, places, raw = [], [], [], []
-                for ids in words.encode(texts):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    cut = range(0, len(ids), capacity)
-                    sums.append([zlib.crc32(ids[a : a + capacity].tobytes()) for a in cut])
-                    own = []
-                    for a in cut:
-                        own.append(ranks[length := min(capacity, len(ids) - a)])
+            texts = batch.column(1).fill_null("")
+            for i, j in _runs(texts):
+                ids, at = words.encode(texts.slice(i, j - i))
+                n, sizes = j - i, np.diff(at) + 1
+                sums, places, raw = [], [], []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    own = np.append(ids[a:b], np.uint32(end)).astype("<u4")
+                    cut = range(0, len(own), capacity)
+                    sums.append([zlib.crc32(own[k : k + capacity].tobytes()) for k in cut])
+                    lengths = [min(capacity, len(own) - k) for k in cut]
+                    places.append([])
+                    for length in lengths:
+                        places[-1].append(int(ranks[length]))
                         ranks[length] += 1
-                    places.append(own)
-                    sizes.append(len(ids))
-                    raw.append(ids.tobytes())
-                n = len(texts)
+                    raw.append(own.astype(kept).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), batch.column(0).slice(at, n), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
+                    [pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
                     ["part", "row", "doc_id", "n", "sums", "ranks", "ids"],
                 )
-                at, row = at + n, row + n
+                row += n
         trim()
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, row long, doc_id long, n long, sums array<long>, ranks array<long>, ids binary"), "tokens")
@@ -261,7 +358,8 @@ class Plan:
                     taken[c] += times
                     t += 1
         self.owner = np.array(sorted(owner), np.int64).reshape(-1, 3)
-        self.sequence = self.full + np.concatenate([[0], np.cumsum(self.times)])
+        self.ordinal = np.concatenate([[0], np.cumsum(self.times)])
+        self.sequence = self.full + self.ordinal
         # what is left over: of each class the numbers from kept on; before: its tokens in earlier classes
         self.kept, self.class_at = first_of + taken, first_of
         left = self.before_number(first_of + demand) - self.before_number(self.kept)
@@ -289,7 +387,7 @@ class Plan:
     def _open(self, j: np.ndarray, k: np.ndarray) -> np.ndarray:
         """What the first k sequences of pattern j leave open."""
         out = k * self.capacity
-        for t in range(self.starts.shape[1]):
+        for t in range(int(self.slots[j].max(initial=0))):
             i = np.flatnonzero(t < self.slots[j])
             start = self.starts[j[i], t]
             out[i] -= self.before_number(start + k[i]) - self.before_number(start)
@@ -317,37 +415,51 @@ class Plan:
             parts.append((i, 0 * i, length[i], self.sequence[j] + n - start, self._ahead(j, n - start, t)))
         i, n, kind = index[~slotted], number[~slotted], kind[~slotted]
         begin = self.left_at[kind] + self.before_number(n) - self.before_number(self.kept[kind])
-        at, end = begin.copy(), begin + length[i]
+        end = begin + length[i]
+        # the sequences whose gaps a leftover rest fills, from the first to the last
+        gap = np.flatnonzero(begin < self.open)
+        if len(gap):
+            first, last = self._filled(begin[gap]), self._filled(np.minimum(end[gap], self.open) - 1)
+            who, own = np.repeat(gap, last - first + 1), gathered(np.arange(int(last.max()) + 1), first, last - first + 1)
+            j = np.searchsorted(self.ordinal, own, "right") - 1
+            k = own - self.ordinal[j]
+            low, high = self.gaps[j] + self._open(j, k), self.gaps[j] + self._open(j, k + 1)
+            start, stop = np.maximum(low, begin[who]), np.minimum(high, end[who])
+            some = stop > start
+            who, j, k, low, start, stop = (x[some] for x in (who, j, k, low, start, stop))
+            parts.append((i[who], start - begin[who], stop - start, self.sequence[j] + k, self._ahead(j, k, self.slots[j]) + start - low))
+        # and those of sequences made of leftovers alone
+        late = end > self.open
+        i, begin, end = i[late], begin[late] - self.open, end[late] - self.open
+        at = np.maximum(begin, 0)
         while len(i):
-            sequence, low, high, offset = (np.zeros(len(i), np.int64) for _ in range(4))
-            gap = at < self.open
-            j = np.searchsorted(self.gaps, at[gap], "right") - 1
-            # the last sequence of the pattern that begins to be filled at or before `at`
-            a, b = np.zeros(len(j), np.int64), self.times[j] - 1
-            while (a < b).any():
-                middle = (a + b + 1) // 2
-                ok = self.gaps[j] + self._open(j, middle) <= at[gap]
-                a, b = np.where(ok, middle, a), np.where(ok, b, middle - 1)
-            low[gap], high[gap] = self.gaps[j] + self._open(j, a), self.gaps[j] + self._open(j, a + 1)
-            sequence[gap], offset[gap] = self.sequence[j] + a, self._ahead(j, a, self.slots[j]) + at[gap] - low[gap]
-            own = at[~gap] - self.open
-            whole = own < self.whole * self.capacity
-            late = np.searchsorted(self.tail, own, "right")
-            under = np.where(whole, own // self.capacity * self.capacity, self.tail[np.maximum(late - 1, 0)])
-            low[~gap], offset[~gap] = under + self.open, own - under
-            high[~gap] = self.open + np.where(whole, under + self.capacity, self.tail[np.minimum(late, len(self.tail) - 1)])
-            sequence[~gap] = self.sequence[-1] + np.where(whole, own // self.capacity, self.whole + late - 1)
+            whole = at < self.whole * self.capacity
+            place = np.searchsorted(self.tail, at, "right")
+            low = np.where(whole, at // self.capacity * self.capacity, self.tail[np.maximum(place - 1, 0)])
+            high = np.where(whole, low + self.capacity, self.tail[np.minimum(place, len(self.tail) - 1)])
+            sequence = self.sequence[-1] + np.where(whole, at // self.capacity, self.whole + place - 1)
             stop = np.minimum(end, high)
-            parts.append((i, at - begin, stop - at, sequence, offset))
+            parts.append((i, at - begin, stop - at, sequence, at - low))
             more = stop < end
             i, begin, at, end = i[more], begin[more], stop[more], end[more]
         return tuple(np.concatenate(x) for x in zip(*parts))
 
+    def _filled(self, at: np.ndarray) -> np.ndarray:
+        """The number among the patterns' sequences of the one whose gap has leftover token `at`."""
+        j = np.searchsorted(self.gaps, at, "right") - 1
+        a, b = np.zeros(len(j), np.int64), self.times[j] - 1
+        while (a < b).any():
+            middle = (a + b + 1) // 2
+            ok = self.gaps[j] + self._open(j, middle) <= at
+            a, b = np.where(ok, middle, a), np.where(ok, b, middle - 1)
+        return self.ordinal[j] + a
+
 
 def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, unit: int = 16) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of docs (doc_id, text)."""
     spark = docs.sparkSession
-    tokens = tokenized(docs, path, capacity, end)
+    kept = id_type(path)
+    tokens = tokenized(docs, path, capacity, end, kept)
     pieces = tokens.select("part", "row", "doc_id", "n", F.posexplode(F.arrays_zip("sums", "ranks")).alias("k", "p"))
     pieces = pieces.select("part", "row", "doc_id", "n", (F.col("k") * F.lit(capacity).cast("long")).alias("start"), F.col("p.sums").alias("crc"), F.col("p.ranks").alias("rank")).withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start")))
     counts = written(pieces.groupBy("part", "length").count(), "piece-counts")
@@ -376,11 +488,15 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, unit:
         for batch in batches:
             rows = []
             for doc, n, ids, cuts in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(doc, c["start"], c["length"], zlib.crc32(ids[4 * c["start"] : 4 * (c["start"] + c["length"])]), n, c["sequence_id"], c["offset"]) for c in cuts]
+                ids = np.frombuffer(ids, kept).astype("<u4")
+                rows += [(doc, c["start"], c["length"], zlib.crc32(ids[c["start"] : c["start"] + c["length"]].tobytes()), n, c["sequence_id"], c["offset"]) for c in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [()] * 7)], names)
 
-    mended = written(tokens.join(cut, ["part", "row"]).select("doc_id", "n", "ids", "cuts").mapInArrow(sums, PIECES), "cut-pieces")
-    drop(tokens, counts)
+    cut = written(cut, "cuts")
+    weight = cut.agg(F.coalesce(F.sum(F.size("cuts") * 32 + 50), F.lit(0))).first()[0]
+    # beside few cut documents the ids of the others needn't move
+    mended = written(tokens.join(F.broadcast(cut) if weight <= 32 << 20 else cut, ["part", "row"]).select("doc_id", "n", "ids", "cuts").mapInArrow(sums, PIECES), "cut-pieces")
+    drop(tokens, counts, cut)
     return placed.where("ids_crc32 IS NOT NULL").select(names).unionByName(mended)
 
 
