@@ -114,3 +114,76 @@ def test_samples_are_bounded_in_rows(spark):
     assert all(zlib.crc32(str(i).encode()) % 5 for i in ids)
     every = {r.doc_id: r.text for r in labelled_sample(docs, labels, "toxic", 100).collect()}
     assert None not in every and every.get(1, "a") == "a" and len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30))
+
+
+def plainly(docs, labels, label):
+    """(sample rows as (doc_id, text, label), all rows) by loops: labelled rows outside the held-out fifth, one text an id."""
+    outside = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 0
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r[label] in (0, 1) and outside(r.doc_id):
+            known[r.doc_id] = min(r[label], known.get(r.doc_id, 1))
+    texts = {}
+    rows = docs.select("doc_id", "text").collect()
+    for r in rows:
+        if r.doc_id in known and r.text is not None:
+            texts[r.doc_id] = min(r.text, texts.get(r.doc_id, r.text))
+    return [(i, texts.get(i), y) for i, y in sorted(known.items()) if any(r.doc_id == i for r in rows)], [(r.doc_id, r.text) for r in rows], outside
+
+
+def test_quality_scores_are_those_of_loops(spark, tables):
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    sample, rows, outside = plainly(docs, labels, "quality")
+    known = [r.quality for r in labels.collect() if r.quality in (0, 1) and outside(r.doc_id)]
+    x = np.array([quality.vector(t) for _, t, _ in sample])
+    weights, shift = quality.fit_rows(x, np.array([y for *_, y in sample], bool), at=0.3, bad_share=1 - sum(known) / len(known))
+
+    def loop(text):
+        raw, cells = (text or "").encode(), [0] * quality.CELLS
+        for i in range(len(raw) - 2):
+            h = (raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 2654435761 % (1 << 32)
+            cells[h >> (33 - quality.CELLS.bit_length())] += 1
+        v = [*quality.features(text).tolist(), *(math.sqrt(c / max(sum(cells), 1)) for c in cells)]
+        return 1 / (1 + math.exp(-(math.fsum(a * b for a, b in zip(v, weights.tolist())) + shift)))
+
+    want = {(i, t): loop(t) for i, t in rows}
+    got = quality.op2(spark, tables).join(docs.select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("c")).distinct(), "doc_id")
+    by_id = {}
+    for (i, t), p in want.items():
+        by_id.setdefault(i, []).append(p)
+    for r in got.collect():
+        assert min(abs(r.score - p) for p in by_id[r.doc_id]) < 1e-6
+        assert r.held_out == (not outside(r.doc_id)) and r.predicted == int(r.score >= 0.3)
+    assert quality.op2(spark, tables).count() == len(rows)
+
+
+def test_toxicity_scores_are_those_of_loops(spark, tables):
+    """Noisy-or over sentences by plain loops, with the model's weights."""
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    weights, bias = model = toxicity.train(docs, labels, 3000)
+
+    def loop(text):
+        clean = 1.0
+        for start, end, words in toxicity.sentences(text or ""):
+            z = bias + sum(float(weights[toxicity.features(w)].sum()) for w in words)
+            clean *= 1 - 1 / (1 + math.exp(-max(min(z, 40), -40)))
+        return 1 - clean
+
+    rows = docs.select("doc_id", "text").collect()
+    got = {(r.doc_id, r.n): r for r in toxicity.toxicity(docs, labels, model=model).join(docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")).distinct(), "doc_id").collect()}
+    for r in rows:
+        if r.doc_id is not None and r.doc_id not in (302, 303):
+            assert abs(got[r.doc_id, len(r.text or "")].score - loop(r.text)) < 1e-6
+    same = {r.doc_id: r.score for r in toxicity.op8(spark, tables).where("doc_id IS NOT NULL").collect()}
+    assert all(abs(same[i] - got[k].score) < 1e-9 for k in got if (i := k[0]) not in (302, 303))
+
+
+def test_very_long_texts_are_scored_whole(spark, tables):
+    long = "a calm word here. " * 200_000 + "what a blasted wretched thing. " * 3
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    model = toxicity.train(docs, labels, 3000)
+    one = spark.createDataFrame([(7001, long), (7002, long[: len(long) // 2])], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(one, labels, model=model).collect()}
+    assert got == {7001: 1, 7002: 0}
+    assert len(quality.vector(long)) == len(quality.vector("x"))

@@ -12,8 +12,9 @@ crowd a shortlist. Queries go in groups of bounded size over all blocks of the i
 
 Edge cases: vectors that are null, zero, of another length than most, or with
 null or non-finite components take no part; a null id neither; ties go to the
-smaller id; repeated rows are one entry; other columns are not read; an empty table
-gives an empty result.
+smaller id, but of looked-up scores that are equal at the end of a shortlist any may enter
+it; vectors of any length are compared whole; repeated rows are one entry; other columns
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@
 
 Since links within a component add nothing to it, the components are exact.
 Edge cases: texts without words (null ones too) link with nothing; rows that
-repeat a doc_id are one document; a null doc_id gets a null component.
+repeat a doc_id are one document; a null doc_id gets a null component; very long texts
+are shingled whole; an empty table gives an empty result; other columns are not read, or
+pass through without_near_copies().
 """
 
 from __future__ import annotations

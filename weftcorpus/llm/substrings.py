@@ -18,7 +18,8 @@ A byte goes if a string of `length` bytes that covers it also starts earlier.
 Order is (doc_id, start). Rows with a null doc_id come last, each unlike text among
 them a document of its own, in the order of its hash; so are unlike texts that share
 a doc_id. Rows that agree in id and text are one document and never repeats of each
-other. Null texts are empty; texts shorter than `length` lose nothing; an empty table
+other. Texts beyond `piece` bytes go through in overlapping pieces of that size, with the
+same result. Null texts are empty; texts shorter than `length` lose nothing; an empty table
 gives an empty result; other columns are not read.
 """
 
