@@ -84,17 +84,20 @@ def ngram_repetition(t: str, n: int) -> float:
     x = np.frombuffer((t or "").encode("utf-32-le"), np.uint32)
     if len(x) < n:
         return 0.0
-    kinds, dense = np.unique(x, return_inverse=True)
-    bits = max(1, int(len(kinds) - 1).bit_length())
-    grams = len(x) - n + 1
+    grams, bits = len(x) - n + 1, int(x.max()).bit_length()
+    if bits * n > 64:
+        # few kinds of characters need fewer bits than their code points
+        kinds, x = np.unique(x, return_inverse=True)
+        bits = max(1, int(len(kinds) - 1).bit_length())
     if bits * n <= 64:
-        key = np.zeros(grams, np.uint64)
+        kind = np.uint32 if bits * n <= 32 else np.uint64
+        key = np.zeros(grams, kind)
         for i in range(n):
-            key = (key << np.uint64(bits)) | dense[i : i + grams].astype(np.uint64)
+            key = (key << kind(bits)) | x[i : i + grams].astype(kind)
         key.sort()
         same = key[1:] == key[:-1]
     else:
-        rows = np.stack([dense[i : i + grams] for i in range(n)], axis=1)
+        rows = np.stack([x[i : i + grams] for i in range(n)], axis=1)
         rows = rows[np.lexsort(rows.T)]
         same = (rows[1:] == rows[:-1]).all(axis=1)
     repeated = np.zeros(grams, bool)

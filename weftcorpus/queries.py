@@ -303,8 +303,8 @@ def slot_spans(spark, sf_dir):
 
 
 def slot_counts(spark, sf_dir):
-    """How many rows have a price slot of the simplest kind, by model: what SQL can state about spans."""
-    out = SlotAnnotator(slot_types=("stock",), text_fields=("response",)).annotate(qa(spark, sf_dir))
+    """How many rows have a slot of any type, by model."""
+    out = SlotAnnotator(text_fields=("response",)).annotate(qa(spark, sf_dir))
     return out.groupBy("model").agg(F.count("*").alias("total_count"), F.count_if(F.size("slots") > 0).alias("annotated_count"))
 
 
@@ -412,7 +412,10 @@ def efficiency(spark, sf_dir):
 
 def metrics_transposed(spark, sf_dir):
     rows = _nations(spark, sf_dir).select("model", *[F.round(c, 6).alias(c) for c in ("overall_score", "template_rate")])
-    return tracking.transposed(rows, "model", ["overall_score", "template_rate"], ["BUILDING", "MACHINERY"])
+    return tracking.transposed(rows, "model", ["overall_score", "template_rate"], _SEGMENTS)
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 def dedup_stats(spark, sf_dir):
@@ -714,7 +717,7 @@ SELECT round(((SELECT coalesce(sum(k), 0) FROM p WHERE cosine >= 0.85) + (SELECT
     "early_stop": oracles.early_stop(_RUNS_SQL),
     "template_overall": f"WITH qa AS ({QA_SQL}), {oracles.template_metrics('qa')} SELECT model, total_responses, {', '.join(f'round({c}, 8) AS {c}' for c in _TEMPLATE)}, round(overall_template_rate * 100, 8) AS template_rate_percentage FROM template",
     "full_evaluation": _FULL_SQL,
-    "slot_counts": f"WITH qa AS ({QA_SQL}) SELECT model, count(*) AS total_count, count(*) FILTER ({' OR '.join(f'''regexp_matches(response, '{p}')''' for p in rules.SLOTS['stock'])}) AS annotated_count FROM qa GROUP BY 1",
+    "slot_counts": f"WITH qa AS ({QA_SQL}) SELECT model, count(*) AS total_count, count(*) FILTER ({' OR '.join(f'''regexp_matches(response, '{p}')''' for patterns in rules.SLOTS.values() for p in (x.replace("'", "''") for x in patterns))}) AS annotated_count FROM qa GROUP BY 1",
     "rewrite_stats": f"WITH qa AS ({QA_SQL}) SELECT count(*) AS total, count(*) FILTER (length(response) BETWEEN 9 AND 100000 AND response <> '') AS success_count, count(*) FILTER (NOT (length(response) BETWEEN 9 AND 100000 AND response <> '')) AS fail_count, count(*) FILTER (length(response) BETWEEN 9 AND 100000 AND response <> '') AS by_style FROM qa",
     "overall": f"WITH {_OVERALL_SQL} SELECT model, round(overall, 8) AS overall_score FROM o",
     "model_comparison": f"WITH {_OVERALL_SQL} SELECT model, round(overall, 8) AS overall_score, round(f, 8) AS factuality_score, round(t, 8) AS task_completion_score, round(s, 8) AS safety_score FROM o",
@@ -772,5 +775,5 @@ SELECT 'all' AS model, total, round(overall, 6) AS overall_score, round(f, 6) AS
     "baseline_deltas": f"WITH {_NATIONS_SQL}, l AS (UNPIVOT (SELECT model, overall_score, template_rate FROM m) ON overall_score, template_rate INTO NAME metric VALUE value), b AS (SELECT metric, value AS baseline FROM l WHERE model = 'BUILDING') SELECT model, metric, round(value, 6) AS value, round(baseline, 6) AS baseline, round(value - baseline, 6) AS absolute, round((value - baseline) / baseline * 100, 6) AS relative_percent FROM l JOIN b USING (metric) WHERE model <> 'BUILDING'",
     "best_flags": f"WITH {_NATIONS_SQL} SELECT model, overall_score = max(overall_score) OVER () AS overall_score_best, template_rate = min(template_rate) OVER () AS template_rate_best FROM m",
     "efficiency": f"WITH {_NATIONS_SQL} SELECT model, round(overall_score / gpu_hours, 8) AS efficiency, round((100 - template_rate) / 20, 8) AS diversity FROM m",
-    "metrics_transposed": f"WITH {_NATIONS_SQL} SELECT 'overall_score' AS metric, round(max(overall_score) FILTER (model = 'BUILDING'), 6) AS \"BUILDING\", round(max(overall_score) FILTER (model = 'MACHINERY'), 6) AS \"MACHINERY\" FROM m UNION ALL SELECT 'template_rate', round(max(template_rate) FILTER (model = 'BUILDING'), 6), round(max(template_rate) FILTER (model = 'MACHINERY'), 6) FROM m",
+    "metrics_transposed": f"WITH {_NATIONS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS metric, " + ", ".join(f"round(max({c}) FILTER (model = '{x}'), 6) AS \"{x}\"" for x in _SEGMENTS) + " FROM m" for c in ("overall_score", "template_rate")),
 }

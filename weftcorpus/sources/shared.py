@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Only a local session without it gets
-    a temporary folder of its own."""
+    a temporary folder of its own, which goes with the process."""
     small_batches(spark)
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -19,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="weft-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base
