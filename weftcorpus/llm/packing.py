@@ -119,11 +119,15 @@ class Words:
         """Words as they stand in texts: in lower case, and the marks at their end apart from what they follow."""
         parts = []
         for w in words:
-            core = w.rstrip(_MARKS)
-            if core and core is not w and (core[-1] >= "ɐ" or not core[-1].isalnum()) or "|" in w:
-                core = w
-            mark = w[len(core) :]
-            parts += (core.lower() if core.isascii() and "|" not in core else core), mark
+            core, mark = w, ""
+            if w[-1] in _MARKS:
+                core = w.rstrip(_MARKS)
+                if not core or core[-1] < "ɐ" and core[-1].isalnum() and "|" not in w:
+                    mark = w[len(core) :]
+                else:
+                    core = w
+            parts.append(core.lower() if core.isascii() and "|" not in core else core)
+            parts.append(mark)
         new = set(parts).difference(self.have)
         if new:
             # words with a bar apart, so that they don't spoil a whole lot
@@ -152,12 +156,25 @@ class Words:
         ids = gathered(self.flat, self.starts[place], lengths)
         offsets = split.offsets.to_numpy()
         at = np.concatenate([[0], np.cumsum(lengths)])[offsets - offsets[0]]
-        if any(len(w) > self.longest for w in new):
+        if max(map(len, new), default=0) > self.longest:
             self._forget()  # a word that long isn't worth its place
         return ids, at
 
 
-def _runs(column: pa.Array, most: int = 4 << 20):
+def _lots(batches, most: int = 12 << 20):
+    """Batches put together to lots of about `most` bytes: the larger a lot, the fewer words are distinct in it."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if size:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _runs(column: pa.Array, most: int = 16 << 20):
     """(from, to) of runs of texts of about `most` bytes."""
     _, at = text_bytes(column)
     i, n = 0, len(column)
@@ -184,7 +201,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int, end: int, kept: str) ->
         spec = shared.value
         words = worker_cache(("words", hash(spec)), lambda: Words(spec))
         part, row, ranks = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in _lots(batches):
             texts = batch.column(1).fill_null("")
             for i, j in _runs(texts):
                 ids, at = words.encode(texts.slice(i, j - i))
