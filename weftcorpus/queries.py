@@ -568,6 +568,23 @@ def model_rewards(spark, sf_dir):
     return training.scored_rewards(rows, reward).select("row_id", "reward")
 
 
+def evaluation_of_files(spark, sf_dir):
+    """Each model's responses in a file of its own, JSON lines or whole documents, loaded and compared."""
+    base, rows, sets = f"{shared_dir(spark)}/{uuid.uuid4().hex}", qa(spark, sf_dir), {}
+    for model, suffix in (("alpha", "jsonl"), ("beta", "json"), ("gamma", "jsonl")):
+        own = rows.where(F.col("model") == model).drop("model")
+        path = f"{base}-{model}.{suffix}"
+        records.save_arrays(own, path) if suffix == "json" else records.save(own, path)
+        sets[model] = records.with_row_id(records.load(spark, path, own.schema))
+    _, compared = EvalRunner(template=None).compare_models(sets)
+    return compared.select("model", *[F.round(c, 8).alias(c) for c in ("overall_score", "factuality_score", "task_completion_score", "safety_score")])
+
+
+def seeded_styles(spark, sf_dir):
+    """Styles by another seed than rewrite_styles has."""
+    return TemplateRewriter(seed=7).rewrite(qa(spark, sf_dir)).select("row_id", "rewrite_style")
+
+
 def json_arrays(spark, sf_dir):
     """Documents saved as whole JSON documents, each an array, and loaded again."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.json"
@@ -580,8 +597,8 @@ def pipeline_report(spark, sf_dir):
     """A configured run from file to file: what its statistics file says."""
     base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     records.save(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{base}-in.jsonl")
-    config = {"dedup": {"enabled": False}, "slot_annotate": {"slot_types": ["price", "date"]}}
-    DataPipeline(config).run(spark, f"{base}-in.jsonl", f"{base}-out.jsonl", "doc_id long, text string")
+    records.save_json({"dedup": {"enabled": False}, "slot_annotate": {"slot_types": ["price", "date"]}}, f"{base}-config.json")
+    DataPipeline(records.load_config(f"{base}-config.json")).run(spark, f"{base}-in.jsonl", f"{base}-out.jsonl", "doc_id long, text string")
     schema = "input_count long, output_count long, steps struct<quality_filter:array<struct<removed_count:long,filter_reasons:map<string,long>>>,slot_annotate:array<struct<total:long,items_with_slots:long>>>"
     stats = spark.read.schema(schema).json(f"{base}-out_stats.json", multiLine=True)
     q, a = F.col("steps.quality_filter")[0], F.col("steps.slot_annotate")[0]
@@ -666,7 +683,7 @@ QUERIES = {
         rewrite_stats, overall, model_comparison, best_model, full_evaluation, group_advantage, mean_reward, prompt_batches, early_stop, topk_checkpoints, convergence_step, paired_t, anova_f, baseline_deltas, best_flags, efficiency, metrics_transposed,
         qa_quality, dedup_stats, slot_stats, data_pipeline, jsonl_round_trip, json_splits, leaderboard, task_judge, factuality_judge, custom_safety, full_comparison,
         pipeline_statistics, error_matrix, paired_effect, anova_effect, word_segments, word_ngram_rep, judged_by_model, model_rewards,
-        json_arrays, pipeline_report, report_round_trip, experiment_log, tracker_snapshot, metrics_sink, fallback_texts, quality_messages, style_prompts, judge_prompts,
+        json_arrays, pipeline_report, report_round_trip, experiment_log, tracker_snapshot, metrics_sink, fallback_texts, quality_messages, style_prompts, judge_prompts, evaluation_of_files, seeded_styles,
     )
 }
 
@@ -756,6 +773,8 @@ UNION ALL SELECT 'slot_annotate', 'slot_counts.' || k, coalesce((SELECT sum(len(
   WHEN 'special_chars' THEN printf('特殊字符比例过高: %.2f > 0.2', special::DOUBLE) ELSE '文本为空' END AS message FROM q WHERE reason_code <> 'kept'""",
     "style_prompts": f"WITH qa AS ({QA_SQL}) SELECT row_id, replace(CASE {_STYLE} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.REWRITE_STYLES.items())} ELSE '{rules.REWRITE_STYLES[rules.FALLBACK_STYLE]}' END, '{{text}}', response) AS prompt FROM qa",
     "judge_prompts": f"WITH qa AS ({QA_SQL}) SELECT row_id, replace(replace(replace('{rules.FACTUALITY_PROMPT}', '{{question}}', question), '{{response}}', response), '{{reference}}', CASE WHEN reference = '' THEN '{rules.NO_REFERENCE}' ELSE reference END) AS factuality, replace(replace('{rules.TASK_PROMPT}', '{{question}}', question), '{{response}}', response) AS task FROM qa",
+    "evaluation_of_files": f"WITH {_OVERALL_SQL} SELECT model, round(overall, 8) AS overall_score, round(f, 8) AS factuality_score, round(t, 8) AS task_completion_score, round(s, 8) AS safety_score FROM o",
+    "seeded_styles": f"WITH qa AS ({QA_SQL}), {oracles.styles('qa', TemplateRewriter().styles, seed=7)} SELECT row_id, rewrite_style FROM styled",
     "json_arrays": "SELECT doc_id, text, source FROM documents",
     "pipeline_report": f"WITH {_FLAGS_SQL} SELECT count(*) AS input_count, count(*) FILTER (reason_code = 'kept') AS output_count, count(*) FILTER (reason_code <> 'kept') AS removed_count, count(*) FILTER (reason_code = 'repetition') AS repetition, count(*) FILTER (reason_code = 'kept') AS annotated, count(*) FILTER (reason_code = 'kept') AS saved_rows FROM q",
     "report_round_trip": f"""WITH {_FACT_SQL}, {_TASK_SQL}, {_SAFE_SQL}, {_bucket_sql()},
