@@ -48,7 +48,11 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~"
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches of flat that begin at starts, one after another."""
     ends = np.cumsum(lengths)
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 class Words:
@@ -161,7 +165,7 @@ class Words:
         return ids, at
 
 
-def _lots(batches, most: int = 12 << 20):
+def _lots(batches, most: int = 8 << 20):
     """Batches put together to lots of about `most` bytes: the larger a lot, the fewer words are distinct in it."""
     held, size = [], 0
     for batch in batches:
