@@ -74,6 +74,32 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert rounds.count("kept") <= 6
 
 
+def test_verified_ranges_give_the_loops_answer(spark, monkeypatch):
+    """Rows that share a band and are unlike stay; they take a round for each range, not one each."""
+    from weftcorpus.operators import dedup
+
+    rounds = []
+    monkeypatch.setattr(dedup, "written", lambda df, name, real=dedup.written: rounds.append(name) or real(df, name))
+    random.seed(4)
+    words = ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    texts, table = {}, {}
+    for i in range(120):
+        own = texts[random.randrange(i)].split() if i % 2 else random.sample(words, 12)
+        texts[i] = " ".join(own[:-1] + [random.choice(words)]) if i % 4 < 2 else " ".join(own)
+        table[i] = {random.randrange(30) for _ in range(2)} | {99}
+    shingles = {i: {t[j : j + 3] for j in range(len(t) - 2)} for i, t in texts.items()}
+    kept = []
+    for i in sorted(table):
+        if not any(table[i] & table[k] and len(shingles[i] & shingles[k]) >= 0.85 * len(shingles[i] | shingles[k]) for k in kept):
+            kept.append(i)
+    assert 40 < len(kept) < 115
+    df = spark.createDataFrame([(i, texts[i], sorted(b)) for i, b in table.items()], "row_id long, text string, bands array<long>").repartition(5)
+    for size in (40, 10_000):
+        rounds.clear()
+        got = sorted(r.row_id for r in Listed(verify=True, range_rows=size).dedup(df).collect())
+        assert got == kept and rounds.count("goes") <= (1 if size == 10_000 else 12)
+
+
 def test_dedup_of_copies_empty_and_missing_texts(spark):
     t = "这款手机屏幕很大，电池也耐用，拍照清晰，适合长辈使用。"
     rows = [(1, t, None, None), (2, t, None, None), (3, "", "问", t), (4, None, None, None), (5, " ", None, None), (6, "完全不同的一句话，讲的是另一件事情。", None, None), (7, t + "！", None, None)]

@@ -8,6 +8,8 @@ through its rows in order and decides all that don't hang on an open row of an
 earlier range, then rows that share a band with one that stays go, whatever their
 range. So a chain of rows takes as many rounds as it crosses ranges, not as it has
 links, and a band of a third of all rows is settled by its first row at once.
+With verify=True the rows of a range bring their n-gram sets along and are compared
+within it; only pairs of rows of two ranges are joined.
 """
 
 from __future__ import annotations
@@ -90,6 +92,61 @@ def _in_order(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(buckets, pa.int64())], ["row", "bucket"])
 
 
+def exact_grams(text: str, n: int) -> np.ndarray:
+    """The distinct n-grams of a stripped text as sorted numbers: the code points themselves for n up to 3, hashes beyond."""
+    x = np.frombuffer(text.strip().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if n > 3 or not len(x):
+        return grams(text, n)
+    width = min(n, len(x))
+    out = np.zeros(len(x) - width + 1, np.uint64)
+    for i in range(width):
+        out = (out << np.uint64(21)) | (x[i : i + len(out)] + np.uint64(1))
+    return np.unique(out)
+
+
+def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of threshold or more."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= threshold * (len(x) + len(y) - common)
+
+
+def _verified_in_order(batches, threshold: float):
+    """The rows of a range that certainly stay (with each of their buckets) or go. batches: row, own (bucket, first), s (its
+    n-grams), sorted by row; rows that share an id are one row with several sets."""
+    start, at, own, sets = None, None, [], []
+    kept, waiting, out = {}, set(), []
+
+    def close():
+        # a row goes if it is similar to one that stays and shares a bucket; it waits with a bucket of one that waits
+        buckets = {x["bucket"] for x in own}
+        near = {k: others for b in buckets for k, others in kept.get(b, ())}
+        if any(similar(x, y, threshold) for others in near.values() for y in others for x in sets):
+            out.append((at, None, False))
+        elif any(x["first"] < start for x in own) or not waiting.isdisjoint(buckets):
+            waiting.update(buckets)
+        else:
+            for b in buckets:
+                kept.setdefault(b, []).append((at, sets))
+            out.extend((at, b, True) for b in buckets)
+
+    for batch in batches:
+        for row, memberships, s in zip(*(c.to_pylist() for c in batch.columns)):
+            if row != at:
+                if own:
+                    close()
+                start = row if start is None else start
+                at, own, sets = row, [], []
+            own.extend(memberships)
+            sets = [*sets, np.frombuffer(s, np.uint64)]
+    if own:
+        close()
+    for i in range(0, len(out), 50_000):
+        rows, buckets, stays = zip(*out[i : i + 50_000])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(buckets, pa.int64()), pa.array([at] * len(rows), pa.int64()), pa.array(stays, pa.bool_())], ["row", "bucket", "last", "stays"])
+
+
 @dataclass(frozen=True)
 class MinHashDeduplicator:
     num_perm: int = 128
@@ -103,6 +160,8 @@ class MinHashDeduplicator:
     seed: int = 1
     #: So many open memberships go through one task of a round, in order.
     range_rows: int = 100_000
+    #: With verify, about so many bytes of n-gram sets do.
+    range_bytes: int = 32 << 20
 
     MIX = 0xD6E8FEB86659FD93
     GRAM = 0x9E3779B97F4A7C15
@@ -147,37 +206,64 @@ class MinHashDeduplicator:
         shared = every.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
         open_ = written(every.join(shared, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "row"), "bands")
         drop(every)
+        sets = written(self._sets(df, open_), "sets") if self.verify else None
         gone = []
         while n := open_.count():
             first = open_.groupBy("bucket").agg(F.min("row").alias("first"))
             at = open_.join(first, "bucket")
             if self.verify:
-                # the earliest open row of each bucket; a row that is that in all its buckets stays
-                stays = at.groupBy("row").agg(F.bool_and(F.col("row") == F.col("first")).alias("stays")).where("stays").select(F.col("row").alias("kept"))
-                kept = written(open_.join(stays, F.col("row") == F.col("kept"), "left_semi").select("row", "bucket"), "kept")
+                size = open_.select("row").distinct().join(sets.select("row", "size"), "row").agg(F.sum("size")).first()[0]
+                rows = at.groupBy("row").agg(F.collect_list(F.struct("bucket", "first")).alias("own")).join(sets.select("row", "s"), "row")
+                ranges = rows.repartitionByRange(max(-(-n // self.range_rows), -(-size // self.range_bytes)), "row").sortWithinPartitions("row")
+                threshold = self.threshold
+                found = written(ranges.mapInArrow(lambda batches: _verified_in_order(batches, threshold), "row long, bucket long, last long, stays boolean"), "found")
+                kept = found.where("stays").select("row", "bucket")
+                near = found.where("NOT stays").select("row")
+                # within its range a row has been compared to those that stay
+                behind = open_.join(found.where("stays").select("bucket", F.col("row").alias("kept"), "last"), "bucket").where("row > last")
+                apart = behind.join(near, "row", "left_anti").select("row", "kept").distinct()
+                goes = written(near.unionByName(self._similar(sets, apart).select("row")).distinct(), "goes")
             else:
+                found = None
                 ranges = at.select("row", "bucket", "first").repartitionByRange(-(-n // self.range_rows), "row").sortWithinPartitions("row")
                 kept = written(ranges.mapInArrow(_in_order, "row long, bucket long"), "kept")
-            behind = open_.join(kept.select("bucket", F.col("row").alias("kept")), "bucket").where("row > kept")
-            if self.verify:
-                behind = self._similar(df, behind.select("row", "kept").distinct())
-            goes = written(behind.select("row").distinct(), "goes")
+                behind = open_.join(kept.select("bucket", F.col("row").alias("kept")), "bucket").where("row > kept")
+                goes = written(behind.select("row").distinct(), "goes")
             rest = open_.join(goes, "row", "left_anti").join(kept.select("row").distinct(), "row", "left_anti")
             after = written(rest.select("bucket", "row"), "bands")
-            drop(open_, kept)
+            drop(open_, found if self.verify else kept)
             gone.append(goes)
             open_ = after
+        if sets is not None:
+            drop(sets)
         out = spark.createDataFrame([], "row long")
         for g in gone:
             out = out.unionByName(g)
         return out.distinct()
 
-    def _similar(self, df: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The pairs whose n-gram sets have a Jaccard similarity of threshold or more."""
-        sets = df.select(F.col(self.id_field).cast("long").alias("i"), T.shingles(self.text(df), self.ngram_size).alias("g"))
-        both = pairs.join(sets.select(F.col("i").alias("row"), F.col("g").alias("x")), "row").join(sets.select(F.col("i").alias("kept"), F.col("g").alias("y")), "kept")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(common >= self.threshold * (F.size("x") + F.size("y") - common)).select("row", "kept")
+    def _sets(self, df: DataFrame, members: DataFrame) -> DataFrame:
+        """(row, s, size): the n-grams of each row of members, as bytes, and how many bytes these are."""
+        n = self.ngram_size
+
+        def run(batches):
+            for batch in batches:
+                s = [exact_grams(t, n).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary()), pa.array([len(x) for x in s], pa.int64())], ["row", "s", "size"])
+
+        own = df.select(F.col(self.id_field).cast("long").alias("row"), self.text(df).alias("t")).where("t <> '' AND row IS NOT NULL")
+        return own.join(members.select("row").distinct(), "row", "left_semi").mapInArrow(run, "row long, s binary, size long")
+
+    def _similar(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The pairs (row, kept) whose n-gram sets have a Jaccard similarity of threshold or more."""
+        threshold = self.threshold
+        both = pairs.join(sets.select("row", F.col("s").alias("x")), "row").join(sets.select(F.col("row").alias("kept"), F.col("s").alias("y")), "kept")
+
+        def run(batches):
+            for batch in batches:
+                ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), threshold) for x, y in zip(batch.column(2), batch.column(3))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["row", "kept"]).filter(pa.array(ok, pa.bool_()))
+
+        return both.select("row", "kept", "x", "y").mapInArrow(run, "row long, kept long")
 
     def dedup(self, df: DataFrame) -> DataFrame:
         """df without the rows that go; rows without text go too."""
