@@ -249,3 +249,14 @@ def test_whole_json_documents(spark, tmp_path):
     records.save_arrays(df, f"{tmp_path}/x.json", rows_per_file=10)
     assert sorted(map(tuple, records.load(spark, f"{tmp_path}/x.json", df.schema).collect())) == sorted(map(tuple, df.collect()))
     assert re.match(r"\[\{", spark.read.text(f"{tmp_path}/x.json").first().value)
+
+
+def test_json_documents_are_written_row_by_row(spark, tmp_path):
+    """No line holds more than a row, whatever a document holds; no rows give no document."""
+    df = spark.createDataFrame([(i, "x" * 50) for i in range(2_000)], "doc_id long, text string").coalesce(1)
+    records.save_arrays(df, f"{tmp_path}/y.json", rows_per_file=1_000)
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/y.json").collect()]
+    assert max(map(len, lines)) < 100 and lines.count("]") == 2
+    assert records.load(spark, f"{tmp_path}/y.json", df.schema).count() == 2_000
+    records.save_arrays(df.where("false"), f"{tmp_path}/z.json")
+    assert records.load(spark, f"{tmp_path}/z.json", df.schema).count() == 0

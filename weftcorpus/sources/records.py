@@ -67,9 +67,15 @@ def save_arrays(df: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
     rows = df.select(F.to_json(F.struct("*")).alias("r")).repartition(parts)
 
     def run(batches):
-        held = [r for batch in batches for r in batch.column(0).to_pylist()]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"])], ["value"])
+        # a line for each row, between brackets: no task holds more than a batch of its document
+        begin = "["
+        for batch in batches:
+            if batch.num_rows:
+                lines = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([begin + lines[0], *("," + r for r in lines[1:])])], ["value"])
+                begin = ","
+        if begin == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
 
     rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
