@@ -103,3 +103,11 @@ def test_empty_table(spark):
     _, f, df = reasons(spark, [(1, "x", None, None)])
     s = f.stats(df.where("false")).first()
     assert (s.original_count, s.filtered_count, s.filter_ratio) == (0, 0, 0.0)
+
+
+def test_a_filter_on_repetition_runs_it_once_in_small_batches(spark):
+    from weftcorpus import queries
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    plan = queries.quality_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)

@@ -108,13 +108,14 @@ def ngram_repetition(t: str, n: int) -> float:
 
 def repetition_ratio(c: Column, n: int = 4) -> Column:
     """ngram_repetition() for Arrow batches. Measured on whole documents it is an
-    order of magnitude faster than exploding or extracting n-grams in the JVM."""
+    order of magnitude faster than exploding or extracting n-grams in the JVM. Called
+    nondeterministic, so that a filter on it doesn't run it a second time."""
 
     @pandas_udf("double")
     def ratio(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: ngram_repetition(t, n))
 
-    return ratio(c)
+    return ratio.asNondeterministic()(c)
 
 
 def repetition_ratio_native(c: Column, n: int = 4) -> Column:

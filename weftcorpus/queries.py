@@ -29,10 +29,11 @@ from weftcorpus.operators.slots import SlotAnnotator
 from weftcorpus.plans.cli import snapshot
 from weftcorpus.plans.pipeline import DataPipeline
 from weftcorpus.sources import records
-from weftcorpus.sources.shared import shared_dir
+from weftcorpus.sources.shared import shared_dir, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
