@@ -260,3 +260,11 @@ def test_interval_expansion_finds_equal_prefixes(raw, length):
 
 def test_no_repeats_of_nothing(spark, empty):
     assert substrings.op7(spark, empty).count() == 0
+
+
+def test_only_rows_with_a_partner_in_reach_are_posted_and_led(spark):
+    """Rows of a key whose sizes no other row's size allows are not posted; leaders follow the sizes."""
+    # key 1: 64 and 79 reach each other, 50 and 100 nobody; key 4: seven pairs of equal sizes far apart
+    rows = [(1, 10, 100), (1, 11, 50), (1, 12, 79), (1, 13, 64), (2, 10, 100), (2, 14, 20), (3, 15, 5), *((4, 20 + i, 10 * 2 ** (i // 2)) for i in range(14))]
+    got = {(r.key, r.v): r.leader for r in jaccard.shared_keys(spark.createDataFrame(rows, "key long, v long, n long"), 80).collect()}
+    assert got == {(1, 13): 13, (1, 12): 13} | {(4, 20 + i): 20 + i // 2 * 2 for i in range(14)}

@@ -131,40 +131,42 @@ def indexed(docs: DataFrame, classes, bits: int, width: int, percent: int) -> Da
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, sig binary, keys array<long>")
 
 
-def shared_keys(postings: DataFrame, percent: int, most_leaders: int = 4) -> DataFrame:
-    """The postings (key, v, n) of keys with two vertices or more, each with a leader
-    of its key that its size allows, if one came before it."""
-
-    def leaders_of(k, v, n, open_):
-        out = []
-        for key, x, m in zip(k.tolist(), v.tolist(), n.tolist()):
-            if key != open_["key"]:
-                open_["key"], open_["leaders"] = key, []
-            lead = next((y for y, o in open_["leaders"] if min(m, o) * 100 >= percent * max(m, o)), None)
-            if lead is None and len(open_["leaders"]) < most_leaders:
-                open_["leaders"].append((x, m))
-            out.append(lead)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.int64())], ["key", "v", "n", "leader"])
+def shared_keys(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings (key, v, n) that share their key with a vertex whose size allows the threshold,
+    each with a leader: the smallest vertex of its key in reach, so that leaders follow the sizes."""
 
     def run(batches):
-        held, prev, open_ = None, None, {"key": None, "leaders": []}
+        # in the order of sizes a row has a partner in reach if a row beside it is in reach
+        fits = lambda k, n, i, j: (k[i] == k[j]) & (n[i] * 100 >= percent * n[j])
+        held, partner, lead = None, False, None
         for batch in batches:
             k, v, n = (as_long(batch.column(i)) for i in range(3))
-            if held is not None:
-                k, v, n = (np.concatenate([[a], b]) for a, b in zip(held, (k, v, n)))
             if not len(k):
                 continue
-            same = k[1:] == k[:-1]
-            keep = np.concatenate([[prev is not None and prev == k[0]], same])
-            keep[:-1] |= same
-            prev = k[-2] if len(k) > 1 else prev
-            held = (k[-1], v[-1], n[-1])
+            if held is not None:
+                k, v, n = (np.concatenate([[a], b]) for a, b in zip(held, (k, v, n)))
+            near = fits(k, n, slice(None, -1), slice(1, None))
+            keep = np.concatenate([[partner], near])
+            keep[:-1] |= near
+            held, partner = (k[-1], v[-1], n[-1]), bool(keep[-1])
             at = np.flatnonzero(keep[:-1])
-            yield leaders_of(k[at], v[at], n[at], open_)
-        if held is not None and prev is not None and prev == held[0]:
-            yield leaders_of(*(np.array([x]) for x in held), open_)
+            if len(at):
+                out, lead = _led(k[at], v[at], n[at], lead, percent)
+                yield out
+        if held is not None and partner:
+            yield _led(*(np.array([x]) for x in held), lead, percent)[0]
+
+    return postings.repartition("key").sortWithinPartitions("key", "n", "v").mapInArrow(run, "key long, v long, n long, leader long")
 
-    return postings.repartition("key").sortWithinPartitions("key", "v").mapInArrow(run, "key long, v long, n long, leader long")
+
+def _led(k, v, n, lead, percent):
+    """Rows in the order of (key, n, v) with their leaders, and the last leader (key, v, n)."""
+    out = []
+    for key, x, m in zip(k.tolist(), v.tolist(), n.tolist()):
+        if lead is None or lead[0] != key or lead[2] * 100 < percent * m:
+            lead = (key, x, m)
+        out.append(lead[1])
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.int64())], ["key", "v", "n", "leader"]), lead
 
 
 def bounded(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +210,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([own, pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "s"])
 
     sets = docs.where("doc_id IS NOT NULL").mapInArrow(run, "v long, s binary")
-    both = pairs.join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a")
+    # sets are shuffled, never broadcast: so no task has a Python worker for sets and one for pairs
+    side = lambda x: sets.select(F.col("v").alias(x), F.col("s").alias(f"s{x}")).hint("merge")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def exact(batches):
         for batch in batches:
@@ -225,13 +229,17 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 def tiles(postings: DataFrame, vertices: DataFrame, labels: DataFrame, percent: int, tile_rows: int = 8192) -> DataFrame:
     """Pairs of different components that share a key and that size and signature allow."""
     rows = postings.select("key", "v", "n").join(labels, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("rows")).where("r0 <> r1").select("key", F.ceil(F.col("rows") / tile_rows).cast("int").alias("cuts"))
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
-    cut = F.pmod(F.xxhash64("v"), F.col("cuts")).cast("int")
-    # a row meets its own band and the one above it, and every cut of its key
+    # a row meets its own band and the one above it, and every cut of its key and band
     homes = F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("lower")), F.struct((band + 1).alias("band"), F.lit(1).alias("lower"))))
+    homed = rows.select("key", "v", "n", "root", homes.alias("home")).select("key", "v", "n", "root", "home.band", "home.lower")
+    # only tiles with rows of two components, one of them in its own band, get signatures
+    mixed = homed.groupBy("key", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("lower").alias("own"), F.count("*").alias("rows")).where("r0 <> r1 AND own = 0").select("key", "band", F.ceil(F.col("rows") / tile_rows).cast("int").alias("cuts"))
+    cut = F.pmod(F.xxhash64("v"), F.col("cuts")).cast("int")
     spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: F.struct(F.least(c, F.col("cut")).alias("i"), F.greatest(c, F.col("cut")).alias("j"))))
-    placed = rows.join(mixed, "key").join(vertices.select("v", "sig"), "v").withColumn("cut", cut).select("key", "v", "n", "root", "sig", "cut", homes.alias("home"), "cuts").select("key", "v", "n", "root", "sig", "cut", "home.band", "home.lower", spread.alias("t"))
+    homed = written(homed.join(mixed, ["key", "band"]), "tile-rows")
+    freed(postings.sparkSession)
+    placed = homed.join(vertices.select("v", "sig"), "v").withColumn("cut", cut).select("key", "v", "n", "root", "sig", "cut", "band", "lower", spread.alias("t"))
     placed = placed.select("key", "band", "t.i", "t.j", "lower", "cut", "v", "n", "root", "sig")
 
     def run(batches):
