@@ -148,3 +148,23 @@ def test_models_comparison_and_reports(spark, tmp_path):
 def test_ids_fall_back_to_the_row(spark):
     df = spark.createDataFrame([(7, None), (8, "x")], "row_id long, id string")
     assert [r.id for r in with_id(df).orderBy("row_id").collect()] == ["7", "x"]
+
+
+def test_equal_responses_are_worked_out_once(spark, monkeypatch):
+    """Template metrics of a table and of its distinct responses with their numbers are the same."""
+    from weftcorpus.operators import diversity
+
+    sizes = {}
+    monkeypatch.setattr(diversity, "written", lambda df, name, real=diversity.written: sizes.setdefault(name, real(df, name)))
+    texts = ["综上所述，推荐 手机", "价格 100元", "价格 200元", ""]
+    rows = [(i, "ab"[i % 2], texts[i % 4 if i % 3 else 0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, model string, response string")
+    got = {r.model: r for r in diversity.TemplateRateEvaluator().evaluate(df, "model").collect()}
+    assert sizes["classes"].count() == len({r[1:] for r in rows if r[2]})
+    for m in "ab":
+        own = [t.replace(" ", "") for _, x, t in rows if x == m and t]
+        grams = [t[i : i + 2] for t in own for i in range(len(t) - 1)]
+        assert got[m].total_responses == len(own)
+        assert abs(got[m].distinct_2 - len(set(grams)) / len(grams)) < 1e-12
+        assert abs(got[m].cross_ngram_rep_2 - sum(grams.count(g) > 1 for g in grams) / len(grams)) < 1e-12
+        assert abs(got[m].sentence_pattern_rate - sum(t.startswith("综上所述") for t in own) / len(own)) < 1e-12

@@ -81,9 +81,14 @@ class TemplateRateEvaluator:
     def responses(self, df: DataFrame, *by: str) -> DataFrame:
         return df.where(T.text(self.response_field) != "").select(*by, F.col(self.id_field).alias("_id"), F.col(self.response_field).alias("_r"))
 
-    def ngrams(self, df: DataFrame, *by: str) -> DataFrame:
+    def classes(self, df: DataFrame, *by: str) -> DataFrame:
+        """(by..., _r, class, copies): each distinct response, its least id and how often it occurs. Whatever
+        hangs on a response's text alone is worked out once for each of them."""
+        return self.responses(df, *by).groupBy(*by, "_r").agg(F.min("_id").alias("class"), F.count("*").alias("copies"))
+
+    def ngrams(self, df: DataFrame, *by: str, classes: DataFrame | None = None) -> DataFrame:
         """For each size: n_grams, n_distinct and n_repeated (occurrences of grams that occur more than once)."""
-        r = self.responses(df, *by)
+        r = self.classes(df, *by) if classes is None else classes
         if self.words:
             r = r.withColumn("_w", self.words(T.tokens(F.col("_r"))))
             grams = lambda n: F.transform(word_ngrams(F.col("_w"), n), lambda g: F.array_join(g, "\x01"))
@@ -91,24 +96,26 @@ class TemplateRateEvaluator:
             grams = lambda n: T.char_ngrams(T.tokens(F.col("_r")), n)
         sized = lambda n: F.transform(grams(n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
         every = F.concat(*map(sized, self.ngram_sizes))
-        counts = r.select(*by, F.explode(every).alias("g")).groupBy(*by, "g.n", "g.gram").agg(F.count("*").alias("c"))
+        counts = r.select(*by, "copies", F.explode(every).alias("g")).groupBy(*by, "g.n", "g.gram").agg(F.sum("copies").alias("c"))
         return counts.groupBy(*by, "n").agg(F.sum("c").alias("n_grams"), F.count("*").alias("n_distinct"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("n_repeated"))
 
-    def cross_response(self, df: DataFrame, *by: str) -> DataFrame:
+    def cross_response(self, df: DataFrame, *by: str, classes: DataFrame | None = None) -> DataFrame:
         """total_responses, cross_ngram_rep_n for every size and distinct_n for the first two."""
-        r = self.responses(df, *by).groupBy(*by).agg(F.count("*").alias("total_responses"), F.avg(T.matches_any(F.col("_r"), rules.TEMPLATE_SENTENCES).cast("double")).alias("sentence_pattern_rate"))
+        classes = self.classes(df, *by) if classes is None else classes
+        matching = F.sum(F.when(T.matches_any(F.col("_r"), rules.TEMPLATE_SENTENCES), F.col("copies")).otherwise(0))
+        r = classes.groupBy(*by).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("total_responses"), (matching / F.sum("copies")).alias("sentence_pattern_rate"))
         at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-        wide = self.ngrams(df, *by).groupBy(*by).agg(*[at(n, c).alias(f"_{c}_{n}") for n in self.ngram_sizes for c in ("n_grams", "n_distinct", "n_repeated")])
+        wide = self.ngrams(df, *by, classes=classes).groupBy(*by).agg(*[at(n, c).alias(f"_{c}_{n}") for n in self.ngram_sizes for c in ("n_grams", "n_distinct", "n_repeated")])
         both = _join(r, wide, by)
         rep = {f"cross_ngram_rep_{n}": F.when(F.col("total_responses") < 2, 0.0).otherwise(F.coalesce(F.col(f"_n_repeated_{n}") / F.col(f"_n_grams_{n}"), F.lit(0.0))) for n in self.ngram_sizes}
         distinct = {f"distinct_{n}": F.coalesce(F.col(f"_n_distinct_{n}") / F.col(f"_n_grams_{n}"), F.lit(1.0)) for n in self.ngram_sizes[:2]}
         return both.select(*by, "total_responses", F.coalesce("sentence_pattern_rate", F.lit(0.0)).alias("sentence_pattern_rate"), *[c.alias(k) for k, c in {**rep, **distinct}.items()])
 
-    def weights(self, df: DataFrame, *by: str) -> DataFrame:
+    def weights(self, df: DataFrame, *by: str, classes: DataFrame | None = None) -> DataFrame:
         """TF-IDF of character 2- and 3-grams of the spaced text: (class, copies, term, w, df, place), rows of
         length 1; a class is a distinct response, of size `copies`, `place` the term's number."""
         spaced = F.regexp_replace(F.lower(F.regexp_replace("_r", "(?s)(.)(?!\\z)", "$1 ")), r"(?U)[\s\x1c-\x1f]{2,}", " ")
-        classes = self.responses(df, *by).groupBy(*by, "_r").agg(F.min("_id").alias("class"), F.count("*").alias("copies"))
+        classes = self.classes(df, *by) if classes is None else classes
         n = classes.groupBy(*by).agg(F.sum("copies").alias("n"))
         grams = F.explode(F.concat(T.char_ngrams(spaced, 2), T.char_ngrams(spaced, 3)))
         tf = classes.select(*by, "class", "copies", grams.alias("term")).groupBy(*by, "class", "copies", "term").agg(F.count("*").alias("tf"))
@@ -124,11 +131,11 @@ class TemplateRateEvaluator:
         w = tf.join(F.broadcast(top) if top.count() <= 100_000 else top, _keys(by, "term")).withColumn("x", F.col("tf") * F.col("idf"))
         return w.withColumn("w", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*by, "class")))).select(*by, "class", "copies", "term", "w", "df", "place")
 
-    def vectors(self, df: DataFrame, *by: str) -> DataFrame:
+    def vectors(self, df: DataFrame, *by: str, classes: DataFrame | None = None) -> DataFrame:
         """(by..., class, copies, terms, weights, prefix): a row for each distinct response, its terms from the rarest on; prefix
         is how many of them to look at: what comes behind is shorter than the threshold."""
         t = self.cluster_threshold
-        v = self.weights(df, *by).groupBy(*by, "class", "copies").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("v"))
+        v = self.weights(df, *by, classes=classes).groupBy(*by, "class", "copies").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("v"))
         tails = F.aggregate(
             F.reverse("v"),
             F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("short")),
@@ -137,7 +144,7 @@ class TemplateRateEvaluator:
         )
         return v.select(*by, "class", "copies", F.col("v.place").alias("terms"), F.col("v.w").alias("weights"), (F.size("v") - tails).alias("prefix"))
 
-    def cluster_rate(self, df: DataFrame, *by: str) -> DataFrame:
+    def cluster_rate(self, df: DataFrame, *by: str, classes: DataFrame | None = None) -> DataFrame:
         """semantic_cluster_rate: the share of all pairs of responses with a cosine of cluster_threshold or more.
 
         Two vectors that reach the threshold share a term of both their prefixes, their rarest terms. So the vectors
@@ -145,7 +152,8 @@ class TemplateRateEvaluator:
         pairs of tiles, dealt over all tasks whatever their term, are multiplied as matrices. A pair counts under the
         rarest term that its prefixes share. Only counts leave a task, never pairs."""
         t, size = self.cluster_threshold, self.tile
-        v = written(self.vectors(df, *by), "vectors")
+        classes = written(self.classes(df, *by), "classes") if classes is None else classes
+        v = written(self.vectors(df, *by, classes=classes), "vectors")
         posted = v.select(*by, F.struct("class", "copies", "terms", "weights", "prefix").alias("c"), F.explode(F.slice("terms", F.lit(1), F.col("prefix"))).alias("term"))
         # a row for each term of each group
         tiles = v.select(*by, F.explode(F.slice("terms", F.lit(1), F.col("prefix"))).alias("term")).groupBy(*by, "term").agg(F.ceil(F.count("*") / size).cast("int").alias("n"), F.count("*").alias("m")).where("m > 1").drop("m")
@@ -167,13 +175,14 @@ class TemplateRateEvaluator:
         across = pairs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "k long"]))
         within = v.select(*by, (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("k"))
         hits = across.unionByName(within).groupBy(*by).agg(F.sum("k").alias("k"))
-        n = self.responses(df, *by).groupBy(*by).agg(F.count("*").alias("m"))
+        n = classes.groupBy(*by).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("m"))
         rate = F.coalesce(F.col("k"), F.lit(0)) / F.greatest(F.col("m") * (F.col("m") - 1) / 2, F.lit(1))
         return _join(n, hits, by).select(*by, rate.alias("semantic_cluster_rate"))
 
     def evaluate(self, df: DataFrame, *by: str) -> DataFrame:
         """All metrics, overall_template_rate and template_rate_percentage."""
-        out = _join(self.cross_response(df, *by), self.cluster_rate(df, *by), by)
+        classes = written(self.classes(df, *by), "classes")
+        out = _join(self.cross_response(df, *by, classes=classes), self.cluster_rate(df, *by, classes=classes), by)
         has = lambda c, d: F.col(c) if c in out.columns else F.lit(d)
         overall = (has("cross_ngram_rep_3", 0.0) + F.col("sentence_pattern_rate") + F.col("semantic_cluster_rate") + (F.lit(1.0) - has("distinct_2", 1.0))) / 4
         return out.withColumn("overall_template_rate", overall).withColumn("template_rate_percentage", F.col("overall_template_rate") * 100)
