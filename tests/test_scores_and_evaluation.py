@@ -168,3 +168,22 @@ def test_equal_responses_are_worked_out_once(spark, monkeypatch):
         assert abs(got[m].distinct_2 - len(set(grams)) / len(grams)) < 1e-12
         assert abs(got[m].cross_ngram_rep_2 - sum(grams.count(g) > 1 for g in grams) / len(grams)) < 1e-12
         assert abs(got[m].sentence_pattern_rate - sum(t.startswith("综上所述") for t in own) / len(own)) < 1e-12
+
+
+def test_rows_that_read_alike_are_scored_once(spark):
+    """Their copies count in every summary, also across blocks of copies."""
+    kinds = [("推荐 手机", "推荐 手机，价格：100元", "¥100"), ("买 什么", "可能 要 5元", ""), ("", "", None)]
+    df = spark.createDataFrame([(i, "ab"[i % 2], *kinds[i % 5 % 3]) for i in range(70)], "row_id long, model string, question string, response string, reference string")
+
+    class Small(EvalRunner):
+        COPIES = 3
+
+    e = Small(template=None)
+    assert e._distinct(df, "model").count() == 6
+    got = {r.model: r for r in e.models(df).collect()}
+    for part in (e.factuality, e.task, e.safety):
+        for r in part.evaluate(df, "model").collect():
+            for k, v in r.asDict().items():
+                assert got[r.model][k] == v or abs(got[r.model][k] - v) < 1e-12
+    for r in e.buckets.stats(df, "model").collect():
+        assert got[r.model].error_counts == r.error_counts and got[r.model].total == r.total

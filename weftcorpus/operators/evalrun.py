@@ -41,9 +41,21 @@ class EvalRunner:
     buckets: ErrorBucketing | None = field(default_factory=ErrorBucketing)
     output_dir: str = "reports"
 
+    #: So many copies of a row are made at once.
+    COPIES = 10_000
+
+    def _distinct(self, df: DataFrame, model_field: str) -> DataFrame | None:
+        """The distinct rows of what the built-in parts read, with _copies; None if a judge or a part of another kind reads more."""
+        parts = [p for p in (self.factuality, self.task, self.safety, self.buckets) if p is not None]
+        if any(type(p) not in (FactualityEvaluator, TaskCompletionEvaluator, SafetyEvaluator, ErrorBucketing) or getattr(p, "judge", None) for p in parts):
+            return None
+        fields = {v for p in parts for k, v in vars(p).items() if k.endswith("_field") and k != "id_field"} | {"question", "prompt", "response", "reference"}
+        return df.groupBy(model_field, *sorted(c for c in fields if c in df.columns and c != model_field)).agg(F.count("*").alias("_copies"))
+
     def models(self, df: DataFrame, model_field: str = "model") -> DataFrame:
-        """A row for each model with every summary and overall_score."""
-        rows, summaries = df, [F.count("*").alias("total")]
+        """A row for each model with every summary and overall_score. Rows that read alike are scored once and counted as often as they are there."""
+        distinct = self._distinct(df, model_field)
+        rows, summaries = df if distinct is None else distinct, [F.count("*").alias("total")]
         for part in (self.factuality, self.task, self.safety):
             if part is not None:
                 rows = part.score(rows)
@@ -51,6 +63,9 @@ class EvalRunner:
         if self.buckets is not None:
             rows = self.buckets.bucket(rows)
             summaries += self.buckets.summary_columns()
+        if distinct is not None:
+            rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / self.COPIES))))
+            rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(self.COPIES).cast("long"), F.col("_copies") - F.col("_block") * self.COPIES))))
         out = rows.groupBy(model_field).agg(*summaries)
         if self.template is not None:
             out = out.join(self.template.evaluate(df, model_field), model_field, "left")
