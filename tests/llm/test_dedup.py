@@ -268,3 +268,28 @@ def test_only_rows_with_a_partner_in_reach_are_posted_and_led(spark):
     rows = [(1, 10, 100), (1, 11, 50), (1, 12, 79), (1, 13, 64), (2, 10, 100), (2, 14, 20), (3, 15, 5), *((4, 20 + i, 10 * 2 ** (i // 2)) for i in range(14))]
     got = {(r.key, r.v): r.leader for r in jaccard.shared_keys(spark.createDataFrame(rows, "key long, v long, n long"), 80).collect()}
     assert got == {(1, 13): 13, (1, 12): 13} | {(4, 20 + i): 20 + i // 2 * 2 for i in range(14)}
+
+
+@pytest.mark.parametrize("options", [{}, {"most": 300, "few": 0}])
+def test_near_misses_leave_no_pairs(spark, options):
+    """Rows that link with their base alone, not with each other: edges stay fewer than rows, and join what all pairs join."""
+    random.seed(9)
+    base = [f"b{i}" for i in range(104)]
+    # two words replaced spoil 7 shingles of 100: 87 % with the base, 75 % with those that replace elsewhere
+    rows = [(0, " ".join(base))]
+    rows += [(j, " ".join(f"e{j}" if i in (p, p + 2) else w for i, w in enumerate(base))) for j in range(1, 91) for p in [5 + 7 * (j % 13)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = 18
+    classes = spark.sparkContext.broadcast(jaccard.cell_classes(df, bits, 5))
+    v = jaccard.indexed(df, classes, bits, 5, 80).withColumnRenamed("doc_id", "v").cache()
+    postings = jaccard.shared_keys(v.select(F.explode("keys").alias("key"), "v", "n"), 80)
+    none = spark.createDataFrame([], "v long, root long")
+    edges = jaccard.tiles(postings, v, none, 80, spanning=True).cache()
+    pairs = jaccard.tiles(postings, v, none, 80)
+    families = {r.v: r.root for r in components(edges).collect()}
+    assert families == {r.v: r.root for r in components(pairs).collect()}
+    assert edges.count() < 4 * len(rows) < pairs.count()
+    found = jaccard.settled(spark.createDataFrame(list(families.items()), "v long, root long"), v, none, df, 5, 80, **options).collect()
+    got = {r.v: r.root for r in components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == expected_components(rows)
+    assert options or len(found) == len(got) - len(set(got.values()))

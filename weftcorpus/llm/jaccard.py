@@ -9,7 +9,11 @@
 4. What is left, rows of one key in different components, goes to tiles by key and
    size band; a key with more rows than a tile may hold is cut into several tiles.
    In a tile, the bits in which two parity signatures differ bound the overlap
-   from above; pairs that pass are intersected exactly, as sorted arrays.
+   from above. Components with rows that pass are joined to families; a tile says so
+   by the edges of a forest, fewer than it has rows, not by its pairs.
+5. Each family's texts meet in one place, or in places by two cuts where they are many.
+   Its rows of different components are compared exactly there, as bitmaps over the
+   shingles that they share; again a forest of the links leaves the task.
 
 Since links within a component add nothing to it, the components are exact.
 Edge cases: texts without words (null ones too) link with nothing; rows that
@@ -226,8 +230,38 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
 
 
-def tiles(postings: DataFrame, vertices: DataFrame, labels: DataFrame, percent: int, tile_rows: int = 8192) -> DataFrame:
-    """Pairs of different components that share a key and that size and signature allow."""
+class Forest:
+    """Disjoint sets of whole numbers."""
+
+    def __init__(self):
+        self.up = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        some, at = np.unique(x, return_inverse=True)
+        return np.array([self.find(y) for y in some.tolist()], np.int64)[at]
+
+    def new(self, a: np.ndarray, b: np.ndarray):
+        """The edges (a, b) that join what was apart, as a batch."""
+        some = np.unique(np.stack([a, b]), axis=1).T.tolist()
+        some = [x for x in some if self.join(*x)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def tiles(postings: DataFrame, vertices: DataFrame, labels: DataFrame, percent: int, tile_rows: int = 8192, spanning: bool = False) -> DataFrame:
+    """Pairs of different components that share a key and that size and signature allow; with
+    spanning, edges between the components' roots that join the same ones as these pairs do."""
     rows = postings.select("key", "v", "n").join(labels, "v", "left").withColumn("root", F.coalesce("root", "v"))
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
     # a row meets its own band and the one above it, and every cut of its key and band
@@ -243,10 +277,16 @@ def tiles(postings: DataFrame, vertices: DataFrame, labels: DataFrame, percent:
     placed = placed.select("key", "band", "t.i", "t.j", "lower", "cut", "v", "n", "root", "sig")
 
     def run(batches):
-        held, name = [], None
+        held, name, forest = [], None, Forest()
 
         def pairs():
             lower, cut, v, n, root = (np.array([r[c] for r in held]) for c in (0, 1, 2, 3, 4))
+            if spanning:
+                if len(forest.up) > 1 << 20:
+                    forest.up.clear()
+                root = forest.of(root)
+                if (root == root[0]).all():
+                    return
             bits = folded([r[5] for r in held])
             some = max(256, (1 << 20) // bits.shape[1])
             own = np.flatnonzero(lower == 0)
@@ -259,7 +299,15 @@ def tiles(postings: DataFrame, vertices: DataFrame, labels: DataFrame, percent:
                 i, j = np.nonzero(fits)
                 for part in range(0, len(i), some):
                     p, q = own[at + i[part : part + some]], j[part : part + some]
+                    if spanning:
+                        apart = root[p] != root[q]
+                        p, q = p[apart], q[apart]
                     ok = _allowed(n[p], n[q], np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64), percent)
+                    if spanning:
+                        if ok.any():
+                            yield forest.new(root[p[ok]], root[q[ok]])
+                            root = forest.of(root)
+                        continue
                     p, q = v[p[ok]], v[q[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64())], ["a", "b"])
 
@@ -274,7 +322,97 @@ def tiles(postings: DataFrame, vertices: DataFrame, labels: DataFrame, percent:
         if len(held) > 1:
             yield from pairs()
 
-    return placed.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    out = placed.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(run, "a long, b long")
+    return out if spanning else out.distinct()
+
+
+def linked(sets: list[np.ndarray], root: np.ndarray, cut: np.ndarray, across: bool, percent: int, forest: Forest, block: int = 256):
+    """Batches of edges (a, b) between roots that join what the links between the sets join; of sets of
+    different cuts only, if across."""
+    n = np.array([len(s) for s in sets])
+    start = np.concatenate([[0], np.cumsum(n)])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    # a shingle of one set alone is in no overlap
+    shared = count[column] > 1
+    start, row, column = np.concatenate([[0], np.cumsum(shared)])[start], row[shared], column[shared]
+    place = np.full(len(count), -1)
+    root = forest.of(root)
+    for at in range(0, len(sets), block):
+        own = np.unique(column[start[at] : start[min(at + block, len(sets))]])
+        x, y = np.arange(at, min(at + block, len(sets)))[:, None], np.arange(at, len(sets))[None, :]
+        fits = (x < y) & (root[x] != root[y]) & (np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y]))
+        if across:
+            fits &= cut[x] != cut[y]
+        p, q = np.nonzero(fits)
+        if not len(p) or not len(own):
+            continue
+        place[own] = np.arange(len(own))
+        c, r = place[column[start[at] :]], row[start[at] :] - at
+        c, r = c[c >= 0], r[c >= 0]
+        bits = np.zeros((len(sets) - at, len(own) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (r, c >> 6), np.uint64(1) << (c & 63).astype(np.uint64))
+        place[own] = -1
+        some = max(256, (1 << 20) // bits.shape[1])
+        for part in range(0, len(p), some):
+            i, j = p[part : part + some], q[part : part + some]
+            apart = root[at + i] != root[at + j]
+            i, j = i[apart], j[apart]
+            both = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+            i, j = at + i, at + j
+            ok = 100 * both >= percent * (n[i] + n[j] - both)
+            if ok.any():
+                yield forest.new(root[i[ok]], root[j[ok]])
+                root = forest.of(root)
+
+
+def settled(families: DataFrame, vertices: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int, most: int = 1 << 20, few: int = 500_000) -> DataFrame:
+    """Edges between roots of the same family (v: root, root: its family) that join what exact links
+    join. A cut of a family holds about `most` shingles, a task those of two cuts; every text moves once if one
+    cut is enough. Up to `few` rows of families go to the documents, else the documents come to them."""
+    spark = docs.sparkSession
+    rows = vertices.select("v", "n").join(labels, "v", "left").withColumn("root", F.coalesce("root", "v")).join(families.select(F.col("v").alias("root"), F.col("root").alias("family")), "root")
+    rows = written(rows.groupBy("v", "root", "family").agg(F.sum("n").alias("n")), "family-rows")
+    freed(spark)
+    cuts = rows.groupBy("family").agg(F.ceil(F.sum("n") / most).cast("int").alias("cuts"))
+    cut = F.pmod(F.xxhash64("v"), F.col("cuts")).cast("int")
+    placed = rows.join(cuts, "family").withColumn("cut", cut).select("v", "family", "cuts", "cut", "root")
+    docs = docs.where("doc_id IS NOT NULL")
+    if rows.count() <= few:
+        placed = F.broadcast(placed)
+    else:
+        may = spark.sparkContext.broadcast(bloom_of(rows, "v"))
+
+        def named(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(may.value.may_have(as_long(batch.column(0)))))
+
+        docs = docs.mapInArrow(named, docs.schema)
+    spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: F.struct(F.least(c, F.col("cut")).alias("i"), F.greatest(c, F.col("cut")).alias("j"))))
+    texts = docs.join(placed, docs["doc_id"] == placed["v"]).withColumn("t", spread).select("v", "text", "family", "t.i", "t.j", "cut", "root")
+
+    def run(batches):
+        held, name, forest = [], None, Forest()
+
+        def links():
+            _, cut, root, sets = zip(*held)
+            yield from linked(sets, np.array(root), np.array(cut), name[1] != name[2], percent, forest)
+
+        for batch in batches:
+            where = zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)))
+            for _, sets in _sets(batch, width):
+                for s, (v, *at, cut, root) in zip(sets, where):
+                    if at != name:
+                        if len(held) > 1:
+                            yield from links()
+                        # edges of a family's other tasks are not known here, those of other families don't matter
+                        held, name, forest = [], at, Forest()
+                    if len(s) and not (held and held[-1][0] == v and np.array_equal(held[-1][3], s)):
+                        held.append((v, cut, root, s))
+        if len(held) > 1:
+            yield from links()
+
+    return texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "v").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
@@ -298,12 +436,11 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataF
     stars = postings.where("leader <> v").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct()
     links = written(verified(bounded(stars, vertices, percent), docs, width, percent), "star-links")
     labels = written(components(links), "star-labels")
-    more = written(verified(tiles(postings, vertices, labels, percent), docs, width, percent), "tile-links")
+    families = written(components(tiles(postings, vertices, labels, percent, spanning=True)), "families")
+    more = written(settled(families, vertices, labels, docs, width, percent), "root-links")
     if not more.isEmpty():
         # links across components join their roots; members follow
-        side = lambda x: labels.select(F.col("v").alias(x), F.col("root").alias(f"r{x}"))
-        roots = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        over = written(components(roots), "root-labels").withColumnRenamed("v", "r").withColumnRenamed("root", "top")
+        over = written(components(more), "root-labels").withColumnRenamed("v", "r").withColumnRenamed("root", "top")
         members = labels.join(over, labels["root"] == over["r"], "left").select("v", F.coalesce("top", "root").alias("root"))
         alone = over.join(labels, over["r"] == labels["v"], "left_anti").select(F.col("r").alias("v"), F.col("top").alias("root"))
         labels = written(members.unionByName(alone), "labels")
