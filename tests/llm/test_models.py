@@ -187,3 +187,27 @@ def test_very_long_texts_are_scored_whole(spark, tables):
     got = toxicity.toxicity(one, labels, model=model).first()
     assert got.predicted == 1 and len(got.offending) == 3 and min(x.start for x in got.offending) >= 18 * 200_000 - 1
     assert len(quality.vector(long)) == len(quality.vector("x"))
+
+
+def test_all_pairs_are_those_listed():
+    rng = np.random.default_rng(4)
+    s, y = rng.normal(size=70) * 6, rng.random(70) < 0.4
+    good, bad = (g.ravel() for g in np.meshgrid(np.flatnonzero(y), np.flatnonzero(~y)))
+    loss, slope = quality.pair_loss(np.ones(1), s[:, None], good, bad, np.zeros(1))
+    got, table = quality.all_pairs(quality.laid(s, y))
+    at, weights = quality.nodes(s)
+    pull = (np.where(y, table[1][at], table[0][at]) * weights).sum(axis=0)
+    assert got == pytest.approx(loss, abs=1e-6) and (pull * s).sum() == pytest.approx(slope[0], abs=1e-6)
+
+
+def test_quality_is_learnt_from_every_row(spark, tables):
+    """One model whether the driver or jobs add up; more rows of a class than any sample held count."""
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.labelled(docs, labels, "quality").cache()
+    assert rows.count() == len(plainly(docs, labels, "quality")[0])
+    assert rows.count() == quality.labelled(docs, labels, "quality", few=0).count()
+    (w, shift), (v, moved) = quality.fit(rows), quality.fit(rows, few=0)
+    assert shift == pytest.approx(moved, abs=1e-6) and w == pytest.approx(v, abs=1e-6 * np.abs(w).max())
+    many = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text", "CAST(id % 2 AS INT) AS quality")
+    want = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30_000))
+    assert quality.labelled(many, many.drop("text"), "quality").count() == want > 2 * 8000

@@ -2,7 +2,8 @@
 
 Every pair of a good and a bad training document is a preference; the model
 learns a linear score whose difference explains the preferences by logistic
-loss. Its features are the shape of a whole text (character classes, repetition,
+loss, over all pairs of all training rows (by counts of scores on a grid, so that
+the work grows with rows). Its features are the shape of a whole text (character classes, repetition,
 word and line statistics) and the frequencies of all its three-byte strings, in
 hashed cells whose weights are learned. The share of bad training documents gives the score quantile that
 becomes the threshold; the reported score is shifted so that this quantile
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import held_out, table
-from weftcorpus.llm.samples import labelled_sample
+from weftcorpus.llm.common import as_long, drop, held_out, table, text_bytes, written
+from weftcorpus.llm.samples import labelled
 
 #: Hashed cells of three-byte strings, a power of two.
 CELLS = 512
@@ -96,46 +97,174 @@ def pair_loss(w: np.ndarray, z: np.ndarray, good: np.ndarray, bad: np.ndarray, r
     return float(np.logaddexp(0, -gap).mean() + (ridge * w * w).sum() / 2), np.einsum("ij,i->j", z, pull) + ridge * w
 
 
-def fit_rows(x: np.ndarray, y: np.ndarray, n_pairs: int = 60_000, rounds: int = 300, ridge: float = 1e-4, seed: int = 7, at: float = 0.3, bad_share: float | None = None) -> tuple[np.ndarray, float]:
-    """(weights, shift): a text's score is 1 / (1 + exp(-(weights . x + shift)))."""
-    width = x.shape[1]
+#: Scores are laid on a grid of this step up to this size, by the four nodes about each.
+STEP, REACH = 1 / 16, 256
+
+
+def nodes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The four grid nodes about each score and their weights (Lagrange's, of third order)."""
+    at = (np.clip(s, -REACH, REACH) + REACH) / STEP
+    k = np.floor(at).astype(np.int64)
+    f = at - k
+    weights = np.stack([-f * (f - 1) * (f - 2) / 6, (f + 1) * (f - 1) * (f - 2) / 2, -(f + 1) * f * (f - 2) / 2, (f + 1) * f * (f - 1) / 6])
+    return k + np.arange(4)[:, None], weights
+
+
+def laid(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of bad and of good scores at each node."""
+    at, weights = nodes(s)
+    size = int(2 * REACH / STEP) + 4
+    return np.stack([np.bincount(at[:, y == c].ravel(), weights[:, y == c].ravel(), size) for c in (False, True)])
+
+
+def all_pairs(n: np.ndarray) -> tuple[float, np.ndarray]:
+    """From laid(): the mean logistic loss of all pairs of a good and a bad score, and its slope for a bad and
+    a good score at each node. Work grows with nodes, not with pairs; the step leaves an error of about 1e-7."""
+    used = np.flatnonzero(n.any(axis=0))
+    a, b = used[0], used[-1] + 1
+    bad, good = n[:, a:b]
+    pairs = bad.sum() * good.sum()
+    gap = np.arange(-(b - a) + 1, b - a) * STEP
+    meet = lambda h, kernel: np.convolve(h, kernel)[b - a - 1 : 2 * (b - a) - 1] / pairs
+    slope = np.zeros_like(n)
+    slope[0, a:b] = meet(good, 1 / (1 + np.exp(np.clip(-gap, -500, 500))))
+    slope[1, a:b] = -meet(bad, 1 / (1 + np.exp(np.clip(gap, -500, 500))))
+    return float(good @ meet(bad, np.logaddexp(0, -gap))), slope
+
+
+def minimum(loss, slope, w: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    """Where a smooth convex loss is least, by limited-memory quasi-Newton steps."""
+    past, value, grad = [], loss(w), slope(w)
+    for _ in range(rounds):
+        if np.abs(grad).max() < 1e-7:
+            break
+        d, kept = -grad, []
+        for move, bend in reversed(past):
+            kept.append((move @ d) / (move @ bend))
+            d = d - kept[-1] * bend
+        if past:
+            d = d * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        else:
+            d = d / max(np.linalg.norm(d), 1e-12)
+        for move, bend in past:
+            d = d + (kept.pop() - (bend @ d) / (move @ bend)) * move
+        length = 1.0
+        while (after := loss(w + length * d)) > value + 1e-4 * length * (grad @ d):
+            length /= 2
+            if length < 1e-6:
+                return w
+        old, w, value = grad, w + length * d, after
+        grad = slope(w)
+        if (length * d) @ (grad - old) > 1e-12:
+            past = [*past[1 - memory :], (length * d, grad - old)]
+    return w
+
+
+def reached(counts, enough) -> tuple[float, np.ndarray]:
+    """The least score up to which there are enough rows, and the numbers of bad and good ones below it, by counts in ever smaller bins."""
+    low, width = -float(REACH), 2.0 * REACH / 4096
+    for _ in range(4):
+        up_to = np.cumsum(counts(low, width), axis=1)
+        ok = enough(*up_to)
+        k = min(max(int(np.argmax(ok)) if ok.any() else 4096, 1), 4096)
+        low, width, below = low + (k - 1) * width, width / 4096, up_to[:, k - 1]
+    return low + 2048 * width, below
+
+
+def fitted(sums, rounds: int = 40, ridge: float = 1e-4, at: float = 0.3, bad_share: float | None = None) -> tuple[np.ndarray, float]:
+    """(weights, shift) of all pairs of good and bad rows: sums(f) adds up f(x, y) over blocks of all rows. None without both labels."""
+    first = sums(lambda x, y: np.concatenate([[len(y) - y.sum(), y.sum()], x.sum(axis=0)]))
+    if first is None or not first[:2].all():
+        return None
+    n_bad, n_good = first[:2]
+    mean = first[2:] / (n_bad + n_good)
+    width = len(mean)
+    deviation = np.sqrt(sums(lambda x, y: ((x - mean) ** 2).sum(axis=0)) / (n_bad + n_good))
     # shape features by their own deviation, cells by the whole block's, so that rare cells don't weigh more
-    scale = x.std(axis=0) + 1e-6
+    live, scale = deviation > 1e-9, deviation + 1e-6
     if width > CELLS:
         scale[-CELLS:] = np.sqrt((scale[-CELLS:] ** 2).mean()) * 4
     penalty = np.full(width, ridge)
     penalty[-CELLS:] = 10 * ridge
-    z = x / scale
-    rng = np.random.default_rng(seed)
-    good, bad = rng.choice(np.flatnonzero(y), n_pairs), rng.choice(np.flatnonzero(~y), n_pairs)
-    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
-    for step in range(1, rounds + 1):
-        _, grad = pair_loss(w, z, good, bad, penalty)
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    s = np.einsum("ij,j->i", z, w)
+    # plain sums: threads of a linear algebra library would spin on products this small
+    scores = lambda x, u: np.einsum("ij,j->i", x, u) - (mean * u).sum()
+    flat = lambda w: np.where(live, w / scale, 0.0)
+    last = {}
+
+    def loss(w):
+        u = flat(w)
+        value, last["slope"] = all_pairs(sums(lambda x, y: laid(scores(x, u), y)))
+        return value + (penalty * w * w).sum() / 2
+
+    def slope(w):
+        u, table = flat(w), last["slope"]
+
+        def pulled(x, y):
+            k, weights = nodes(scores(x, u))
+            pull = (np.where(y, table[1][k], table[0][k]) * weights).sum(axis=0)
+            return np.append(np.einsum("ij,i->j", x, pull), pull.sum())
+
+        total = sums(pulled)
+        return np.where(live, (total[:-1] - mean * total[-1]) / scale, 0.0) + penalty * w
+
+    u = flat(minimum(loss, slope, np.zeros(width), rounds))
+
+    def counts(low, width):
+        def binned(x, y):
+            k = np.clip(np.floor((scores(x, u) - low) / width), -1, 4096).astype(np.int64) + 1
+            return np.stack([np.bincount(k[y == c], minlength=4098).astype(float) for c in (False, True)])
+
+        return sums(binned)
+
     # the quantile of the label's own mix: each class weighs what it weighs among all labels
-    share = float((~y).mean()) if bad_share is None else bad_share
-    weight = np.where(y, (1 - share) / y.sum(), share / (~y).sum())
-    order = np.argsort(s, kind="stable")
-    below = np.searchsorted(np.cumsum(weight[order]), share)
-    low, high = s[order[max(below - 1, 0)]], s[order[min(below, len(s) - 1)]]
-    return w / scale, math.log(at / (1 - at)) - (low + high) / 2
+    share = n_bad / (n_bad + n_good) if bad_share is None else bad_share
+    mass = lambda bad, good: bad * share / n_bad + good * (1 - share) / n_good
+    high, below = reached(counts, lambda bad, good: mass(bad, good) > share + 1e-9)
+    low = reached(counts, lambda bad, good: bad + good >= below.sum())[0] if below.any() else high
+    return u, math.log(at / (1 - at)) - (low + high) / 2 - (mean * u).sum()
+
+
+def fit_rows(x: np.ndarray, y: np.ndarray, **options) -> tuple[np.ndarray, float]:
+    """(weights, shift): a text's score is 1 / (1 + exp(-(weights . x + shift)))."""
+    return fitted(lambda f: f(x, y), **options)
+
+
+def added(rows: DataFrame):
+    """The sums of fitted() over a table (doc_id, x, label), made by its tasks; the driver gets one result of each."""
+
+    def sums(f):
+        def run(batches):
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = text_bytes(batch.column(1))[0].view(np.float64).reshape(batch.num_rows, -1)
+                    part = f(x, as_long(batch.column(2)) == 1)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int32()))], ["n", "shape"])
+
+        parts = [np.frombuffer(r.n).reshape(r.shape) for r in rows.mapInArrow(run, "n binary, shape array<int>").collect()]
+        return sum(parts) if parts else None
+
+    return sums
 
 
-def fit(sample: DataFrame, **options) -> tuple[np.ndarray, float]:
-    """fit_rows() of a bounded sample; without rows of both labels every score is 0.5."""
-    rows = sorted(matrix(sample, ("label",)).collect())
-    y = np.array([r.label for r in rows], bool)
-    if not len(rows) or y.all() or not y.any():
-        return np.zeros(len(vector(""))), 0.0
-    return fit_rows(np.frombuffer(b"".join(r.x for r in rows)).reshape(len(rows), -1), y, **options)
+def fit(training: DataFrame, few: int = 8000, **options) -> tuple[np.ndarray, float]:
+    """The model of all training rows; without rows of both labels every score is 0.5. Up to `few` rows are fitted in the driver, more by jobs over their table."""
+    rows = written(matrix(training, ("label",)), "quality-rows")
+    if rows.count() > few:
+        model = fitted(added(rows), **options)
+    else:
+        here = sorted(rows.collect())
+        model = fit_rows(np.frombuffer(b"".join(r.x for r in here)).reshape(len(here), -1), np.array([r.label for r in here], bool), **options) if here else None
+    drop(rows)
+    return model or (np.zeros(len(vector(""))), 0.0)
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = 4000, at: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted. Trains on at most per_class rows of each label."""
+def quality(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted. Trains on all labelled rows that are not held out."""
     shares = labels.where(~held_out() & F.col("quality").isin(0, 1)).agg(F.avg(1 - F.col("quality"))).first()[0]
-    weights, shift = fit(labelled_sample(docs, labels, "quality", per_class), at=at, bad_share=shares)
+    weights, shift = fit(labelled(docs, labels, "quality"), at=at, bad_share=shares)
 
     def scored(batches):
         for batch in batches:
