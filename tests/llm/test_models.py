@@ -211,3 +211,13 @@ def test_quality_is_learnt_from_every_row(spark, tables):
     many = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text", "CAST(id % 2 AS INT) AS quality")
     want = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30_000))
     assert quality.labelled(many, many.drop("text"), "quality").count() == want > 2 * 8000
+
+
+def test_toxicity_is_learnt_from_every_row(spark, tables):
+    """One model whether the driver or jobs add up over all training rows; those over any sample's size count."""
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    (w, b), (v, c) = toxicity.train(docs, labels), toxicity.train(docs, labels, few=0)
+    assert b == pytest.approx(c, abs=1e-6) and np.abs(w).max() > 0 and v == pytest.approx(w, abs=1e-5)
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text", "CAST(id % 2 AS INT) AS toxic")
+    seen = {r.label: r.n for r in toxicity.labelled(rows, rows.drop("text"), "toxic").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert min(seen.values()) > 2 * 3000

@@ -17,20 +17,22 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm.common import drop, held_out, table, trim, written
-from weftcorpus.llm.samples import labelled_sample
+from weftcorpus.llm.common import as_long, drop, held_out, table, text_bytes, trim, written
+from weftcorpus.llm.samples import labelled, labelled_sample
 
 BUCKETS = 1 << 20
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _WORD = re.compile(r"\w+")
 
 
+@lru_cache(1 << 16)
 def features(word: str) -> list[int]:
     """Hashed features of a word: itself and its beginnings, so that stems count in inflected words."""
     out = [zlib.crc32(b"=" + word.encode())]
@@ -77,7 +79,7 @@ def telling(sample: DataFrame, least_gap: float = 4.0, most: int = 1 << 16) -> n
     return np.array(sorted(r.feature for r in found.select("feature").collect()), np.int32)
 
 
-def bags(sample: DataFrame, kinds: np.ndarray) -> list:
+def bags(sample: DataFrame, kinds: np.ndarray) -> DataFrame:
     """The sample's rows as their telling features (places in kinds), the
     sentence that each belongs to and the number of sentences."""
     shared = sample.sparkSession.sparkContext.broadcast(kinds)
@@ -93,33 +95,38 @@ def bags(sample: DataFrame, kinds: np.ndarray) -> list:
                 n.append(len(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(s, pa.binary()), pa.array(n, pa.int32()), batch.column(2)], ["doc_id", "f", "s", "n", "y"])
 
-    return sorted(sample.mapInArrow(hashed, "doc_id long, f binary, s binary, n int, y int").collect())
+    return sample.mapInArrow(hashed, "doc_id long, f binary, s binary, n int, y int")
 
 
-def fit(rows: list, kinds: np.ndarray, rounds: int = 160, rate: float = 0.15, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
-    """From bags(): weights of the hashed features and the intercept, by Adam on the noisy-or likelihood."""
-    rows = [r for r in rows if r.n]
+def block(y, counts, f, s, lengths) -> tuple:
+    """Labels, sentences' bags, features and their sentences, of bags with a sentence each."""
+    start = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+    return y, np.repeat(np.arange(len(y)), counts), f, s + np.repeat(start, lengths)
+
+
+def descend(sums, kinds: np.ndarray, rounds: int = 160, rate: float = 0.15, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Weights of the hashed features and the intercept, by Adam on the noisy-or likelihood of all bags: sums(g) adds up g(block) over them."""
     weights = np.zeros(BUCKETS, np.float32)
-    y = np.array([r.y for r in rows], bool)
-    if not len(rows) or y.all() or not y.any():
+    first = sums(lambda y, bag, f, s: np.array([len(y), y.sum(), len(bag)], float))
+    if first is None or not 0 < first[1] < first[0]:
         return weights, -40.0
-    counts = np.array([r.n for r in rows])
-    start = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    f = np.concatenate([np.frombuffer(r.f, np.int32) for r in rows])
-    s = np.concatenate([np.frombuffer(r.s, np.int32) + a for r, a in zip(rows, start)])
-    bag = np.repeat(np.arange(len(rows)), counts)
-    share = y.mean()
-    class_weight = np.where(y, 0.5 / share, 0.5 / (1 - share)) / len(rows)
-    w, b = np.zeros(len(kinds)), -math.log(np.mean(counts) * 2 + 1)
+    n = int(first[0])
+    share = first[1] / first[0]
+    w, b = np.zeros(len(kinds)), -math.log(first[2] / n * 2 + 1)
     m, v = np.zeros(len(kinds) + 1), np.zeros(len(kinds) + 1)
     for step in range(1, rounds + 1):
-        z = np.clip(np.bincount(s, w[f], len(bag)) + b, -40, 40)
-        total = np.bincount(bag, np.logaddexp(0, z), len(rows))
-        # minus the likelihood's slope: sentences of clean bags go down, those of
-        # toxic bags share what the noisy-or still lacks
-        outer = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) * class_weight
-        slope = outer[bag] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(f, slope[s], len(kinds)) + ridge * w / len(rows), slope.sum())
+
+        def slopes(y, bag, f, s):
+            class_weight = np.where(y, 0.5 / share, 0.5 / (1 - share)) / n
+            z = np.clip(np.bincount(s, w[f], len(bag)) + b, -40, 40)
+            total = np.bincount(bag, np.logaddexp(0, z), len(y))
+            # minus the likelihood's slope: sentences of clean bags go down, those of
+            # toxic bags share what the noisy-or still lacks
+            outer = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) * class_weight
+            slope = outer[bag] / (1 + np.exp(-z))
+            return np.append(np.bincount(f, slope[s], len(kinds)), slope.sum())
+
+        grad = sums(slopes) + np.append(ridge * w / n, 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -127,11 +134,43 @@ def fit(rows: list, kinds: np.ndarray, rounds: int = 160, rate: float = 0.15, ri
     return weights, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[np.ndarray, float]:
-    sample = written(labelled_sample(docs, labels, "toxic", per_class).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label"), "toxic-sample")
+def fit(rows: list, kinds: np.ndarray, **options) -> tuple[np.ndarray, float]:
+    """descend() over rows of bags() in the driver."""
+    rows = [r for r in rows if r.n]
+    f, s = ([np.frombuffer(getattr(r, c), np.int32) for r in rows] for c in "fs")
+    one = block(np.array([r.y for r in rows], bool), np.array([r.n for r in rows], np.int64), np.concatenate([np.zeros(0, np.int32), *f]), np.concatenate([np.zeros(0, np.int32), *s]), [len(x) for x in f]) if rows else None
+    return descend(lambda g: g(*one) if one else None, kinds, **options)
+
+
+def added(rows: DataFrame):
+    """The sums of descend() over the table of bags(), made by its tasks; the driver gets one result of each."""
+    rows = rows.where("n > 0").select("f", "s", "n", "y")
+
+    def sums(g):
+        def run(batches):
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    (f, at), (s, _) = text_bytes(batch.column(0)), text_bytes(batch.column(1))
+                    part = g(*block(as_long(batch.column(3)) == 1, as_long(batch.column(2)), f.view(np.int32), s.view(np.int32), np.diff(at) // 4))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
+
+        parts = [np.frombuffer(r.n) for r in rows.mapInArrow(run, "n binary").collect()]
+        return sum(parts) if parts else None
+
+    return sums
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int | None = None, few: int = 6000) -> tuple[np.ndarray, float]:
+    """The model of all training rows, or of per_class of each label. Up to `few` bags are fitted in the driver, more by jobs over their table."""
+    chosen = labelled(docs, labels, "toxic") if per_class is None else labelled_sample(docs, labels, "toxic", per_class)
+    sample = written(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label"), "toxic-rows")
     kinds = telling(sample)
-    model = fit(bags(sample, kinds), kinds)
-    drop(sample)
+    rows = written(bags(sample, kinds), "toxic-bags")
+    model = descend(added(rows), kinds) if rows.count() > few else fit(sorted(rows.collect()), kinds)
+    drop(sample, rows)
     return model
 
 
@@ -176,7 +215,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int | None = None, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose score is under the threshold; a pure filter, no row moves."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
@@ -189,8 +228,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 3000, thr
     return docs.mapInArrow(kept, docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = 0.5, model=None) -> DataFrame:
-    """doc_id, held_out, score, predicted, offending. Trains on at most per_class rows of each label."""
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int | None = None, threshold: float = 0.5, model=None) -> DataFrame:
+    """doc_id, held_out, score, predicted, offending. Trains on all labelled rows that are not held out, or on per_class of each label."""
     model = model or train(docs, labels, per_class)
     return score(docs, model, threshold).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
 
