@@ -100,6 +100,57 @@ def test_verified_ranges_give_the_loops_answer(spark, monkeypatch):
         assert got == kept and rounds.count("goes") <= (1 if size == 10_000 else 12)
 
 
+def test_unlike_rows_of_a_bucket_take_no_rounds(spark, monkeypatch):
+    """Rounds follow similar rows, not the ranges that rows of a bucket lie in."""
+    from weftcorpus.operators import dedup
+
+    names = []
+    monkeypatch.setattr(dedup, "written", lambda df, name, real=dedup.written: names.append(name) or real(df, name))
+    random.seed(6)
+    texts = {i: "".join(random.choice("abcdefghijklmnop") for _ in range(40)) for i in range(120)}
+    texts |= {i: texts[0] + random.choice("abcdef") for i in range(120, 160)} | {i: texts[i % 7] for i in range(160, 200)}
+    df = spark.createDataFrame([(i, t, [1, 2 + i % 2]) for i, t in texts.items()], "row_id long, text string, bands array<long>").repartition(5)
+    assert sorted(r.row_id for r in Listed(verify=True, range_rows=20).dedup(df).collect()) == list(range(120))
+    assert names.count("goes") <= 2 and len(names) < 40
+
+
+def test_tiles_find_what_the_loop_finds(spark):
+    """Whatever the size of tiles, with copies, rows that share an id and rows that are first in some of their buckets only."""
+    random.seed(9)
+    words = ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    texts, table = {}, {}
+    for i in range(150):
+        own = texts[random.randrange(i)].split() if i % 3 else random.sample(words, 12)
+        texts[i] = " ".join(own[:-1] + [random.choice(words)]) if i % 4 < 2 else " ".join(own)
+        table[i] = {random.randrange(25) for _ in range(3)}
+    twice = {i: texts[i + 1] for i in range(0, 149, 10)}
+    sets = {i: [{t[j : j + 3] for j in range(len(t) - 2)} for t in [texts[i], *([twice[i]] if i in twice else [])]] for i in texts}
+    kept = []
+    for i in sorted(table):
+        if not any(table[i] & table[k] and any(len(x & y) >= 0.85 * len(x | y) for x in sets[i] for y in sets[k]) for k in kept):
+            kept.append(i)
+    assert 40 < len(kept) < 140
+    df = spark.createDataFrame([(i, t, sorted(table[i])) for part in (texts, twice) for i, t in part.items()], "row_id long, text string, bands array<long>").repartition(5)
+    for options in ({"tile_rows": 4}, {"range_rows": 100}):
+        gone = {r.row for r in Listed(verify=True, **options).dropped(df).collect()}
+        assert sorted(set(table) - gone) == kept
+
+
+def test_common_counts_and_packed_sets():
+    import numpy as np
+
+    from weftcorpus.operators.dedup import common_counts, packed, unpacked
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n, dtype=np.uint64) * np.uint64(1 << 55)) for n in (0, 1, 50, 200, 400)]
+    assert all((unpacked(packed(x)) == x).all() and len(unpacked(packed(x))) == len(x) for x in sets)
+    every = np.arange(len(sets))
+    for columns in (3, 4096):
+        got = common_counts(sets, every, every[1:], columns)
+        want = [[len(set(x.tolist()) & set(y.tolist())) for y in sets[1:]] for x in sets]
+        assert [[v if i != j + 1 else len(sets[i]) for j, v in enumerate(r)] for i, r in enumerate(got.tolist())] == want
+
+
 def test_dedup_of_copies_empty_and_missing_texts(spark):
     t = "这款手机屏幕很大，电池也耐用，拍照清晰，适合长辈使用。"
     rows = [(1, t, None, None), (2, t, None, None), (3, "", "问", t), (4, None, None, None), (5, " ", None, None), (6, "完全不同的一句话，讲的是另一件事情。", None, None), (7, t + "！", None, None)]
