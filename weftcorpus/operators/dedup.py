@@ -290,7 +290,7 @@ class MinHashDeduplicator:
             drop(at, near)
             at = rest
             gone.append(goes)
-            if 10 * goes.count() < at.select("row").distinct().count():
+            if 10 * goes.count() <= at.select("row").distinct().count():
                 break
         # a bucket is cut into parts at random; each pair of parts is a tile
         cuts = at.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
